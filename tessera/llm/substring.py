@@ -142,13 +142,14 @@ class WindowIndex:
     The runs are the partitions of one bucketed table in the shared folder, so a new run is merged with the history
     bucket by bucket, and the history never moves. Its rows are postings: consecutive windows of a document
     with the same anchor (the first of their GRAM-word sequences with the smallest hash, which depends on a window's
-    words alone, so equal windows have equal anchors). A window of an earlier run counts as earlier, then the smaller id.
+    words alone, so equal windows have equal anchors). Of equal windows that of the smaller id is the earlier one, in
+    whichever run it is.
     """
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, fan_in: int = FAN_IN):
         self.spark, self.fan_in = spark, fan_in
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.age, self.runs = 0, 0
+        self.runs = 0
         self._new_table()
 
     def _new_table(self) -> None:
@@ -163,13 +164,12 @@ class WindowIndex:
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Ingests a batch as a new run; compacts when there are fan_in of them."""
         keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("_text"))
-        self._write(keyed.mapInArrow(_postings, _POSTING).withColumn("age", F.lit(self.age)))
-        self.age += 1
+        self._write(keyed.mapInArrow(_postings, _POSTING))
         if self.runs >= self.fan_in:
             self.compact()
 
     def compact(self) -> None:
-        """Merges all runs into one, which keeps what each says about order and repeats."""
+        """Merges all runs into one, with the same postings."""
         merged, name, path = self.postings(), self.name, self.path
         self._new_table()
         self.runs = 0
@@ -188,7 +188,7 @@ class WindowIndex:
 
     def suspects(self) -> DataFrame:
         """Postings that are repeats, and first ones whose anchor has other postings too, from one merge of all runs."""
-        here = Window.partitionBy("a", "c", "sure").orderBy("age", "_id", "_tie", "start")
+        here = Window.partitionBy("a", "c", "sure").orderBy("_id", "_tie", "start")
         merged = self.postings().withColumn("_nth", F.rank().over(here))
         all_of = Window.partitionBy("a")
         merged = merged.withColumn("_low", F.min("c").over(all_of)).withColumn("_high", F.max("c").over(all_of))
