@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Dimensions that the hashes of byte n-grams are folded to.
 DIMENSIONS = 1 << 14
@@ -129,14 +130,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return model
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, lang_pred, score, rejected) of every row, and the columns `keep`; nothing but the text is looked at.
-
-    lang_pred is the language of the centroid with the largest cosine, score that cosine. A text that is null or has no
-    letter, and every text if there is no model, gets `und` with score 0 and is rejected. A text is also rejected if its
-    cosine is under the centroid's limit. Texts are read whole; repeated rows give a row each. No shuffle.
-    """
-    given = docs.sparkSession.sparkContext.broadcast(model)
+def _predicted(taken: DataFrame, model: Model | None) -> DataFrame:
+    """taken, whose first column is the text, with lang_pred, score and rejected in front."""
+    given = taken.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = given.value
@@ -148,8 +144,26 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 some = known[k : k + 128]
                 for i, found in zip(some, m.predict([counts(texts[i]) for i in some])):
                     out[i] = found
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.bool_())], names=[*batch.schema.names[1:], "lang_pred", "score", "rejected"])
+            new = [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*new, *batch.columns], names=["lang_pred", "score", "rejected", *batch.schema.names])
+
+    new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    return taken.mapInArrow(run, T.StructType(new + taken.schema.fields))
+
+
+def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score, rejected) of every row; nothing but the text is looked at.
+
+    lang_pred is the language of the centroid with the largest cosine, score that cosine. A text that is null or has no
+    letter, and every text if there is no model, gets `und` with score 0 and is rejected. A text is also rejected if its
+    cosine is under the centroid's limit. Texts are read whole; repeated rows give a row each. No shuffle.
+    """
+    found = _predicted(docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("_id")), model)
+    return found.select(F.col("_id").alias(id_col), "lang_pred", "score", "rejected")
+
 
-    taken = docs.select(F.col(text_col).alias("_text"), F.col(id_col), *[F.col(f"`{c}`") for c in keep])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[1:])
-    return taken.mapInArrow(run, schema + ", lang_pred string, score double, rejected boolean")
+def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs that aren't rejected, with the same columns, whatever their names."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    found = _predicted(docs.select(F.col(text_col).alias("_text"), rest.alias("_rest")), model)
+    return found.where("NOT rejected").select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_rest.`{c}`") for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, mix, quality, simhash, substring, tokens
+from . import bpe, html, langid, media, mix, quality, simhash, substring, tokens, warc
 from .common import table
 
 
@@ -24,6 +24,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("_rest.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html.main_text(pages, html.fit(pages))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), quality.POLICIES[quality.POLICY])
     base_failed = F.col("failed").bitwiseAND(F.lit(quality.BASE).cast("long")) != 0
@@ -40,6 +45,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs))
@@ -51,7 +60,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix, op2_token_counts, op3_substring_dedup, op5_quality_rules, op6_media, op7_byte_bpe, op9_language, op10_simhash)}
+    return {f.__name__: f for f in (op1_mix, op2_token_counts, op3_substring_dedup, op4_main_text, op5_quality_rules, op6_media, op7_byte_bpe, op8_warc, op9_language, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -236,7 +236,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the near-duplicates: of each component the row with the smallest id stays, of repeats of it one."""
-    kept = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    numbered = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
-    return numbered.dropDuplicates([id_col]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without the near-duplicates: of each component the row with the smallest id stays, of repeats of it one.
+
+    The texts are dealt once, by id; the semi-join and the choice among rows with one id use that.
+    """
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
+    kept = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key.alias("_key")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_key"), F.hash(text_col).alias("_tie"))
+    first = F.row_number().over(Window.partitionBy("_key").orderBy("_tie"))
+    return rows.join(kept, "_key", "left_semi").withColumn("_nth", first).where("_nth = 1").select("_row.*")

@@ -278,6 +278,19 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     return joined.mapInArrow(clean, _schema(joined.schema["_rest"].dataType))
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """docs with the repeated words cut from their texts; all rows and columns stay, length_col (if any) is the new length."""
+
+    def column(name: str):
+        if name == text_col:
+            return F.col("text").alias(name)
+        if name == length_col:
+            return F.char_length("text").cast(docs.schema[name].dataType).alias(name)
+        return F.col(f"_rest.`{name}`")
+
+    return dedup(docs, id_col, text_col).select(*map(column, docs.columns))
+
+
 def _schema(rest):
     from pyspark.sql import types as T
 
