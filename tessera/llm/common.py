@@ -17,7 +17,7 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 #: Bytes of text that the vectorised kernels look at together; one longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -113,7 +113,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     known = _POWERS.get(base)
     if known is None or len(known[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             steps = np.full(size, b, np.uint64)
@@ -124,12 +124,12 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word, the same wherever the word stands; works through 1 MB of bytes at a time."""
+    """A 64-bit hash of the bytes of each word, the same wherever the word stands; works through a quarter MB of bytes at a time."""
     out = np.empty(len(starts), np.uint64)
     first = 0
     while first < len(starts):
         low = starts[first]
-        last = max(first + 1, int(np.searchsorted(ends, low + (1 << 20), "right")))
+        last = max(first + 1, int(np.searchsorted(ends, low + (1 << 18), "right")))
         part = data[low : ends[last - 1]]
         power, inverse = _powers(base, len(part) + 1)
         sums = np.zeros(len(part) + 1, np.uint64)

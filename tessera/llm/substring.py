@@ -206,7 +206,8 @@ class WindowIndex:
         open_ = suspects.where("NOT repeat").groupBy("_id", "_tie").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
         texts = _keyed(docs, id_col, text_col)
         runs = open_.select(F.col("_id").alias("_oid"), F.col("_tie").alias("_otie"), "spans")
-        wanted = texts.join(runs, (F.col("_id") == F.col("_oid")) & (F.col("_tie") == F.col("_otie"))).select("_id", "_tie", "_text", "spans")
+        # with all columns, so that dedup's own join with the texts uses the same exchange again
+        wanted = texts.join(runs, (F.col("_id") == F.col("_oid")) & (F.col("_tie") == F.col("_otie"))).select("_id", "_tie", "_text", "spans", "_rest")
         windows = wanted.mapInArrow(_window_rows, "w long, v long, _id long, _tie int, start int, sure boolean")
         nth = F.rank().over(Window.partitionBy("w", "v", "sure").orderBy("_id", "_tie", "start"))
         again = windows.withColumn("_nth", nth).where("sure OR _nth > 1").select("_id", "_tie", "start", F.lit(1).alias("n"))
