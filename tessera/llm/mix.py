@@ -126,7 +126,7 @@ def plan_mix(
 
     line = line.withColumn("positions", F.when(copies > 0, F.transform(F.sequence(F.lit(0).cast("long"), copies - 1), position)).otherwise(F.array().cast("array<double>")))
     kept = [c for c in sized.columns if c not in ("_id", "source", "size", "_order", "_range")]
-    return line.select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", "taken", "positions", *kept).orderBy(F.get("positions", F.lit(0)).asc_nulls_last())
+    return line.select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", "taken", "positions", *kept).orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), id_col)
 
 
 def _with_targets(offsets: DataFrame, targets: DataFrame) -> DataFrame:
