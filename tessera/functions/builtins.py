@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -12,6 +13,7 @@ from . import terms as t
 from .terms import NUMERIC, RDF, XSD, Val
 
 _RANK = {"int": 0, "dec": 1, "flt": 2, "dbl": 3}
+_ZONE = r"(Z|[+-]\d\d:\d\d)$"
 _NULL = {"str": "string", "bool": "boolean", "int": "bigint", "dec": "decimal(38,12)", "dbl": "double", "iri": "string", "term": "string", "time": "timestamp_ntz"}
 
 
@@ -40,7 +42,7 @@ def constant(term: str) -> Val:
         return Val("bool", F.lit(lex in ("true", "1")))
     if short == "string":
         return Val("str", F.lit(lex))
-    if short in ("dateTime", "date") and not lex.endswith("Z") and "+" not in lex:
+    if short in ("dateTime", "date") and not re.search(_ZONE, lex):
         return Val("time" if short == "dateTime" else "date", F.lit(lex).try_cast("timestamp_ntz" if short == "dateTime" else "date"))
     return Val("term", F.lit(term))
 
@@ -164,9 +166,6 @@ def _part(field_name: str, kind: str = "int") -> Callable[[Val], Val]:
     return run
 
 
-_ZONE = r"(Z|[+-]\d\d:\d\d)$"
-
-
 def _tz(a: Val) -> Val:
     return Val("str", F.regexp_extract(t.string(a), _ZONE, 1) if a.kind == "term" else F.when(a.col.isNotNull(), F.lit("")))
 

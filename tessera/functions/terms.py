@@ -219,11 +219,12 @@ def _ordered(op, a: Val, b: Val) -> Column:
 
 
 def sort_key(v: Val) -> list[Column]:
-    """ORDER BY columns: unbound, then blank nodes, IRIs, literals; numbers by value, others by form."""
+    """ORDER BY columns: unbound, then blank nodes, IRIs, numbers by value, other literals by form."""
     if v.kind != "term":
         return [v.col]
-    rank = F.when(v.col.isNull(), 0).when(v.col.startswith("B"), 1).when(v.col.startswith("I"), 2).when(v.col.startswith("L"), 3).otherwise(4)
-    return [rank, term_number(v.col), lexical(v.col), v.col]
+    n = term_number(v.col)
+    rank = F.when(v.col.isNull(), 0).when(v.col.startswith("B"), 1).when(v.col.startswith("I"), 2).when(n.isNotNull(), 3).when(v.col.startswith("L"), 4).otherwise(5)
+    return [rank, n, lexical(v.col), v.col]
 
 
 def native(data_type: str) -> str:

@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .engine import Dataset
-from .operators import graph, paths, temporal
+from .functions import geo, jsonata, jsonschema
+from .functions import terms as t
+from .operators import graph, inference, paths, shacl, temporal
+from .operators.update import GraphStore
+from .sources import rdf
 from .sources.mapping import BASE, tpch
 
 Q = Callable[[SparkSession, str], DataFrame]
@@ -263,3 +267,136 @@ SELECT 'n' || n_nationkey AS s, 'type' AS p, 'Nation' AS o FROM nation UNION ALL
     lambda s, f: temporal.statistics(dataset(s, f).mapping.quads().where(F.col("s").startswith(f"I{BASE}nation/")))
 )
 plan("key_statistics", "SELECT avg(n) AS mean, max(n) AS most, sum(n * n) / sum(n) AS weighted FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)")(lambda s, f: temporal.key_statistics(read(s, f, "orders"), "o_custkey"))
+
+
+# quads: graphs, construction, updates, entailment, validation
+def nation_quads(spark: SparkSession, folder: str) -> DataFrame:
+    """Nations and regions as quads, each nation's triples also in a graph named after its region."""
+    quads = tpch(spark, folder)
+    quads.tables = {k: v for k, v in quads.tables.items() if k in ("nation", "region")}
+    base = quads.quads()
+    region = base.where(F.col("p") == t.iri(BASE + "inRegion")).select("s", F.col("o").alias("_g"))
+    return base.unionByName(base.join(region, "s").select("s", "p", "o", F.col("_g").alias("g")))
+
+
+def quad_dataset(spark: SparkSession, folder: str) -> Dataset:
+    return Dataset(spark, nation_quads(spark, folder), prefixes={"": BASE, "rdfs": t.RDFS})
+
+
+def on_quads(name: str, text: str, sql: str) -> None:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        found = quad_dataset(spark, folder).query(text)
+        if found.quads is not None:
+            return found.quads.select(*[t.lexical(F.col(c)).alias(c) for c in "spo"])
+        s = found.solutions
+        return s.df.select(*[(t.string(s.val(n)) if s.kinds[n] in ("term", "iri") else F.col(n)).alias(n) for n in s.kinds])
+
+    plan(name, sql)(run)
+
+
+on_quads("graph_named", "SELECT ?g (COUNT(*) AS ?n) WHERE { GRAPH ?g { ?s :n_name ?name } } GROUP BY ?g", "SELECT 'http://example.org/region/' || n_regionkey AS g, count(*) AS n FROM nation GROUP BY 1")
+on_quads("graph_constant", "SELECT ?name WHERE { GRAPH <http://example.org/region/2> { ?s :n_name ?name } }", "SELECT n_name AS name FROM nation WHERE n_regionkey = 2")
+on_quads("graph_join", "SELECT ?name ?r WHERE { GRAPH ?g { ?s :n_name ?name } ?g :r_name ?r }", "SELECT n_name AS name, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey")
+on_quads("from_graph", "SELECT (COUNT(*) AS ?n) FROM <http://example.org/region/1> FROM <http://example.org/region/3> WHERE { ?s :n_name ?x }", "SELECT count(*) AS n FROM nation WHERE n_regionkey IN (1, 3)")
+on_quads("construct", "CONSTRUCT { ?r :hasNation ?s ; :label ?name } WHERE { ?s :inRegion ?r ; :n_name ?name }", """
+  SELECT 'http://example.org/region/' || n_regionkey AS s, 'http://example.org/hasNation' AS p, 'http://example.org/nation/' || n_nationkey AS o FROM nation UNION
+  SELECT 'http://example.org/region/' || n_regionkey, 'http://example.org/label', n_name FROM nation""")
+on_quads("describe", "DESCRIBE <http://example.org/region/2>", """
+  SELECT 'http://example.org/region/2' AS s, unnest(['http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'http://example.org/r_regionkey', 'http://example.org/r_name']) AS p, unnest(['http://example.org/Region', r_regionkey::VARCHAR, r_name]) AS o FROM region WHERE r_regionkey = 2""")
+on_quads("path_star_quads", "SELECT (COUNT(*) AS ?n) WHERE { ?s :n_name ?x . ?s :inRegion* ?y }", "SELECT 2 * count(*) AS n FROM nation")
+plan("ask", "SELECT true AS answer")(lambda s, f: s.createDataFrame([(quad_dataset(s, f).query("ASK { ?s :n_name 'NATION_2' }").boolean,)], "answer boolean"))
+
+
+def _store(spark: SparkSession, folder: str) -> GraphStore:
+    store = GraphStore(spark)
+    store.insert(nation_quads(spark, folder))
+    return store
+
+
+@plan("update_modify", "SELECT 'http://example.org/nation/' || n_nationkey AS s, lower(n_name) AS o FROM nation")
+def _update(spark: SparkSession, folder: str) -> DataFrame:
+    store = _store(spark, folder)
+    store.update("DELETE { ?s :n_name ?n } INSERT { ?s :n_name ?l } WHERE { ?s :n_name ?n BIND(LCASE(?n) AS ?l) }", prefixes={"": BASE})
+    return store.quads().where(F.col("g").isNull() & (F.col("p") == t.iri(BASE + "n_name"))).select(t.lexical(F.col("s")).alias("s"), t.lexical(F.col("o")).alias("o"))
+
+
+@plan("world_diff", "SELECT change, count(*) AS n FROM (SELECT unnest([-1, 1]) AS change FROM nation WHERE n_regionkey = 1) GROUP BY 1")
+def _worlds(spark: SparkSession, folder: str) -> DataFrame:
+    store = _store(spark, folder)
+    store.fork("moved")
+    store.update("DELETE { ?s :inRegion :region\\/1 } INSERT { ?s :inRegion :region\\/9 } WHERE { ?s :inRegion :region\\/1 }", "moved", {"": BASE})
+    return store.diff("main", "moved").groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+
+
+plan("state_hash")(lambda s, f: temporal.state_hash(nation_quads(s, f)))
+plan("canonical_nquads", "SELECT '<http://example.org/region/' || r_regionkey || '> <http://example.org/r_name> \"' || r_name || '\" .' AS value FROM region")(
+    lambda s, f: rdf.canonical_nquads(nation_quads(s, f).where(F.col("p") == t.iri(BASE + "r_name")))
+)
+plan("result_json", "SELECT '{\"s\":{\"type\":\"uri\",\"value\":\"http://example.org/region/' || r_regionkey || '\"},\"n\":{\"type\":\"literal\",\"value\":\"' || r_name || '\"}}' AS value FROM region")(
+    lambda s, f: rdf.result_lines(quad_dataset(s, f).query("SELECT ?s ?n WHERE { ?s :r_name ?n }").terms(), "json")
+)
+
+_SCHEMA = f"""@prefix : <{BASE}> . @prefix rdfs: <{t.RDFS}> . @prefix owl: <{t.OWL}> .
+:Nation rdfs:subClassOf :Place . :Place rdfs:subClassOf :Thing . :inRegion rdfs:subPropertyOf :within ; rdfs:range :Area . :within rdfs:domain :Located ; owl:inverseOf :holds . :within a owl:TransitiveProperty ."""
+
+
+def _triples(spark: SparkSession, folder: str) -> DataFrame:
+    return nation_quads(spark, folder).where("g IS NULL").unionByName(spark.createDataFrame(rdf.parse_turtle(_SCHEMA), rdf.QUADS))
+
+
+plan("rdfs_types", """SELECT 'http://example.org/nation/' || n_nationkey AS s, 'http://example.org/' || unnest(['Place', 'Thing', 'Located']) AS o FROM nation
+UNION ALL SELECT 'http://example.org/region/' || n_regionkey, 'http://example.org/Area' FROM (SELECT DISTINCT n_regionkey FROM nation)""")(
+    lambda s, f: inference.rdfs(_triples(s, f)).where(F.col("p") == inference.TYPE).select(t.lexical(F.col("s")).alias("s"), t.lexical(F.col("o")).alias("o"))
+)
+plan("owl_rl_inverse", "SELECT 'http://example.org/region/' || n_regionkey AS s, 'http://example.org/nation/' || n_nationkey AS o FROM nation")(
+    lambda s, f: inference.owl_rl(_triples(s, f))[0].where(F.col("p") == t.iri(BASE + "holds")).select(t.lexical(F.col("s")).alias("s"), t.lexical(F.col("o")).alias("o"))
+)
+plan("type_expansion", "SELECT count(*) AS n FROM nation")(
+    lambda s, f: Dataset(s, _triples(s, f), prefixes={"": BASE}, types_of=inference.types_of(_triples(s, f))).select("SELECT (COUNT(*) AS ?n) WHERE { ?s a :Thing }")
+)
+
+
+def shapes(name: str, text: str, sql: str) -> None:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        m = tpch(spark, folder)
+        m.tables = {k: v for k, v in m.tables.items() if k in ("supplier", "nation", "region")}
+        data = Dataset(spark, m.quads(), prefixes={"": BASE})
+        head = f"@prefix : <{BASE}> . @prefix sh: <{t.SH}> . @prefix xsd: <{t.XSD}> .\n"
+        return shacl.Validator(data, shacl.Shapes(rdf.parse_turtle(head + text))).report().select(t.lexical(F.col("focus")).alias("focus"), F.col("component").substr(F.lit(len(t.SH) + 1), F.lit(99)).alias("component"))
+
+    plan(name, sql)(run)
+
+
+_S = "'http://example.org/supplier/' || s_suppkey AS focus, '{0}ConstraintComponent' AS component FROM supplier"
+shapes("shacl_range", ":S a sh:NodeShape ; sh:targetClass :Supplier ; sh:property [ sh:path :s_acctbal ; sh:minInclusive 0 ; sh:maxExclusive 9000.0 ] .", f"SELECT {_S.format('MinInclusive')} WHERE s_acctbal < 0 UNION ALL SELECT {_S.format('MaxExclusive')} WHERE s_acctbal >= 9000")
+shapes("shacl_count", ":S a sh:NodeShape ; sh:targetClass :Supplier ; sh:property [ sh:path :phone ; sh:minCount 1 ] , [ sh:path :s_name ; sh:maxCount 0 ] .", f"SELECT {_S.format('MinCount')} UNION ALL SELECT {_S.format('MaxCount')}")
+shapes("shacl_pattern_datatype", ":S a sh:NodeShape ; sh:targetClass :Supplier ; sh:property [ sh:path :s_name ; sh:pattern '[05]$' ; sh:datatype xsd:string ] , [ sh:path :s_suppkey ; sh:datatype xsd:string ] .", f"SELECT {_S.format('Pattern')} WHERE NOT regexp_matches(s_name, '[05]$') UNION ALL SELECT {_S.format('Datatype')}")
+shapes("shacl_path_class", ":S a sh:NodeShape ; sh:targetClass :Supplier ; sh:property [ sh:path (:supplierNation :inRegion) ; sh:class :Nation ] , [ sh:path (:supplierNation :inRegion :r_name) ; sh:in ('ASIA' 'EUROPE') ] .", f"SELECT {_S.format('Class')} UNION ALL SELECT {_S.format('In')} JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name NOT IN ('ASIA', 'EUROPE')")
+shapes("shacl_logic_closed", ":S a sh:NodeShape ; sh:targetClass :Supplier ; sh:closed true ; sh:ignoredProperties (<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>) ; sh:property [ sh:path :s_suppkey ] , [ sh:path :s_name ] , [ sh:path :supplierNation ] ; sh:or ([ sh:property [ sh:path :s_acctbal ; sh:minInclusive 5000 ] ] [ sh:property [ sh:path :s_suppkey ; sh:maxInclusive 20 ] ]) .", f"SELECT {_S.format('Closed')} UNION ALL SELECT {_S.format('Or')} WHERE s_acctbal < 5000 AND s_suppkey > 20")
+
+# JSON and geometry
+plan("jsonata_path", "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")(lambda s, f: read(s, f, "events").select("event_id", jsonata.path_column("k", "props", "bigint").alias("k")))
+plan("jsonata_expression", "SELECT event_id, CASE WHEN json_extract(props, '$.k')::BIGINT > 50 THEN '\"big\"' ELSE (json_extract(props, '$.k')::BIGINT * 2)::VARCHAR END AS x FROM events")(
+    lambda s, f: read(s, f, "events").select("event_id", jsonata.column("k > 50 ? 'big' : k * 2", "props").alias("x"))
+)
+plan("json_schema", "SELECT event_id, json_extract(props, '$.k')::BIGINT <= 60 AS ok FROM events")(
+    lambda s, f: read(s, f, "events").select("event_id", (F.size(jsonschema.validate(F.col("props"), {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "maximum": 60}}})) == 0).alias("ok"))
+)
+plan("json_required", "SELECT event_id, json_extract(props, '$.k') IS NOT NULL AS ok FROM events")(lambda s, f: read(s, f, "events").select("event_id", jsonschema.required(F.col("props"), {"k": "bigint"}).alias("ok")))
+
+
+def _places(spark: SparkSession, folder: str) -> DataFrame:
+    x, y = F.col("s_suppkey") % 17, F.col("s_suppkey") % 23
+    return read(spark, folder, "supplier").select("s_suppkey", F.format_string("POINT(%d %d)", x, y).alias("place"))
+
+
+def _boxes(spark: SparkSession, folder: str) -> DataFrame:
+    a, b = F.col("n_nationkey") % 9, F.col("n_nationkey") % 11
+    c, d = a + 4, b + 5
+    return read(spark, folder, "nation").select("n_nationkey", F.format_string("POLYGON((%d %d, %d %d, %d %d, %d %d, %d %d))", a, b, c, b, c, d, a, d, a, b).alias("box"))
+
+
+plan("geo_join", """SELECT s_suppkey, n_nationkey FROM supplier, nation WHERE s_suppkey % 17 > n_nationkey % 9 AND s_suppkey % 17 < n_nationkey % 9 + 4 AND s_suppkey % 23 > n_nationkey % 11 AND s_suppkey % 23 < n_nationkey % 11 + 5""")(
+    lambda s, f: geo.spatial_join(_places(s, f), _boxes(s, f), "place", "box", 4.0, "sfWithin").select("s_suppkey", "n_nationkey")
+)
+plan("geo_bounds", "SELECT n_nationkey, (n_nationkey % 9)::DOUBLE AS x0, (n_nationkey % 11 + 5)::DOUBLE AS y1 FROM nation")(lambda s, f: _boxes(s, f).select("n_nationkey", geo.bounds(F.col("box"))["x0"].alias("x0"), geo.bounds(F.col("box"))["y1"].alias("y1")))
