@@ -4,32 +4,37 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose ids a worker remembers; when it is full it starts anew.
-CACHE_WORDS = 200_000
+#: Words whose ids a worker remembers in each of two generations.
+CACHE_WORDS = 120_000
 #: Longer segments are encoded without being remembered.
 CACHE_WORD_CHARS = 64
 
+_ENDS = frozenset(".,;:!?")
+_EMPTY = hashlib.sha256().hexdigest()
 _LOADED: dict[tuple[str, str], "ByteBpe"] = {}
 
 
 class _Memo(dict):
-    """segment -> (ids as text, count, decoded bytes); bounded."""
+    """segment -> (ids as text, count, decoded bytes) in two generations: what is met again outlives the older one."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, segment: str):
-        found = self.make(segment)
+        found = self.older.get(segment) or self.make(segment)
         if len(segment) <= CACHE_WORD_CHARS:
             if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[segment] = found
         return found
@@ -58,14 +63,20 @@ class ByteBpe:
                 reachable[token] = rank
                 self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
+        self.by_letters = {token.decode("latin-1"): rank for token, rank in reachable.items()}
+        self.size_of = {rank: len(token) for token, rank in reachable.items()}
+        self.most = max(map(len, reachable))
         self.shorter: dict[int, int] = {}
         for token, rank in reachable.items():
             for n in range(len(token) - 1, 0, -1):
                 if token[:n] in reachable:
                     self.shorter[rank] = reachable[token[:n]]
                     break
-        self.compatible = lru_cache(1 << 18)(self._compatible)
+        self.history = lru_cache(1 << 16)(self._history)
+        self.compatible = lru_cache(1 << 19)(self._compatible)
         self.memo = _Memo(self._segment)
+        self.spaced = _Memo(lambda word: self._segment(" " + word))
+        self.space_behind_space = re.compile(r"^ |\s ").search
 
     @staticmethod
     def load(path: str, pattern: str) -> "ByteBpe":
@@ -87,36 +98,72 @@ class ByteBpe:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
+    def _history(self, rank: int) -> list[tuple[int, bytes, bytes]]:
+        """How the merges form a token: for each step its rank, and the first and last part after it."""
+        data = self.bytes_of[rank]
+        parts = [data[i : i + 1] for i in range(len(data))]
+        out = [(-1, parts[0], parts[-1])]
+        while len(parts) > 1:
+            r, i = min((self.ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.ranks)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            out.append((r, parts[0], parts[-1]))
+        return out
+
     def _compatible(self, a: int, b: int) -> bool:
-        return self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        """Whether merging the bytes of both gives the two again.
+
+        The merges inside each go on as they would alone, lowest rank first, unless the parts that meet at the seam are
+        next in that order (of equal ranks the leftmost).
+        """
+        left, right, rank_of, none = self.history(a), self.history(b), self.ranks.get, 1 << 60
+        i = j = 0
+        while True:
+            seam = rank_of(left[i][2] + right[j][1], none)
+            next_left = left[i + 1][0] if i + 1 < len(left) else none
+            next_right = right[j + 1][0] if j + 1 < len(right) else none
+            if seam < next_left and seam <= next_right and seam != none:
+                return False
+            if next_left == none and next_right == none:
+                return True
+            if next_left <= next_right:
+                i += 1
+            else:
+                j += 1
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """The ids of one match of the pattern."""
-        if piece in self.ranks:
-            return [self.ranks[piece]]
-        longest: list[int | None] = [None] * len(piece)
-        for end, (n, rank) in self.automaton.iter(piece.decode("latin-1")):
-            longest[end - n + 1] = rank  # matches at one start come with growing ends
-        dead = bytearray(len(piece) + 1)
+        rank = self.ranks.get(piece)
+        if rank is not None:
+            return [rank]
+        letters, end_of, most = piece.decode("latin-1"), len(piece), self.most
+        reach, token_of, shorter, compatible, size_of = self.automaton.longest_prefix, self.by_letters.get, self.shorter.get, self.compatible, self.size_of
+        dead: set[int] = set()
         taken: list[int] = []
-        at, token = 0, longest[0]
-        while at < len(piece):
-            while token is not None:
-                end = at + len(self.bytes_of[token])
-                if not dead[end] and (not taken or self.compatible(taken[-1], token)):
-                    break
-                token = self.shorter.get(token)
+        at, back = 0, None
+        while at < end_of:
+            if back is None:
+                # the longest token from here: the automaton follows its trie as far as it goes, then back to a token
+                rest = letters[at : at + most]
+                n = reach(rest)
+                token = token_of(rest[:n])
+                while token is None and n > 1:
+                    n -= 1
+                    token = token_of(rest[:n])
+            else:
+                token = shorter(back)
+            last = taken[-1] if taken else None
+            while token is not None and (at + size_of[token] in dead or last is not None and not compatible(last, token)):
+                token = shorter(token)
             if token is not None:
                 taken.append(token)
-                at = end
-                token = longest[at] if at < len(piece) else None
+                at += size_of[token]
+                back = None
+            elif last is None:
+                raise ValueError("a byte of the text is not in the vocabulary")
             else:
-                if not taken:
-                    raise ValueError("a byte of the text is not in the vocabulary")
-                dead[at] = 1
-                last = taken.pop()
-                at -= len(self.bytes_of[last])
-                token = self.shorter.get(last)
+                dead.add(at)
+                back = taken.pop()
+                at -= size_of[back]
         return taken
 
     def encode(self, text: str) -> list[int]:
@@ -126,34 +173,53 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def _segment(self, segment: str) -> tuple[str, int, bytes]:
-        ids = self.encode(segment)
+        word = segment[1:] if segment[:1] == " " else segment
+        if word.isalpha():
+            ids = self.encode_piece(segment.encode())
+        elif word[-1:] in _ENDS and word[:-1].isalpha():
+            # a letter and one of these marks never share a match
+            ids, _, data = self.spaced[word[:-1]] if word is not segment else self.memo[word[:-1]]
+            mark = self.ranks[word[-1].encode()]
+            return f"{ids} {mark}", ids.count(" ") + 2, data + self.bytes_of[mark]
+        else:
+            ids = self.encode(segment)
         return " ".join(map(str, ids)), len(ids), self.decode(ids)
 
     def segments(self, text: str) -> list[str]:
-        """The text cut in front of single spaces behind a character that isn't white space.
+        """The text cut in front of spaces behind a character that isn't white space.
 
         White space stands only at the start of a match of the pattern, so a match ends there in any case, and what the
         pattern looks ahead at lies inside one segment.
         """
-        parts = text.split(" ")
-        out = [parts[0]]
-        for part in parts[1:]:
+        first, *parts = text.split(" ")
+        out = [first]
+        for part in parts:
             if out[-1] and not out[-1][-1].isspace():
                 out.append(" " + part)
             else:
                 out[-1] += " " + part
         return out
 
+    def pieces(self, text: str):
+        """What the memos hold of each segment; where every space parts two segments, their keys are what split() gives."""
+        if self.space_behind_space(text):
+            yield from map(self.memo.__getitem__, self.segments(text))
+        else:
+            first, *rest = text.split(" ")
+            yield self.memo[first]
+            yield from map(self.spaced.__getitem__, rest)
+
     def digest(self, text: str) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the ids in decimal, SHA-256 of the decoded bytes)."""
+        if not text:
+            return 0, _EMPTY, _EMPTY
         ids_hash, bytes_hash, n = hashlib.sha256(), hashlib.sha256(), 0
-        segments = self.segments(text) if text else []
-        for k in range(0, len(segments), 4096):
-            found = [self.memo[s] for s in segments[k : k + 4096]]
-            ids = " ".join([x[0] for x in found])
-            ids_hash.update(((" " if k else "") + ids).encode())
-            bytes_hash.update(b"".join([x[2] for x in found]))
-            n += sum([x[1] for x in found])
+        pieces = self.pieces(text)
+        while some := list(islice(pieces, 4096)):
+            ids, counts, decoded = zip(*some)
+            ids_hash.update(((" " if n else "") + " ".join(ids)).encode())
+            bytes_hash.update(b"".join(decoded))
+            n += sum(counts)
         return n, ids_hash.hexdigest(), bytes_hash.hexdigest()
 
 

@@ -82,3 +82,12 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert tokens.count_tokens(df, SP).count() == 0
     assert bpe.encode_documents(df, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_compatibility_is_what_merging_gives():
+    own = bpe.ByteBpe.load(RANKS, public_tokenizers.PATTERN)
+    r = random.Random(9)
+    tokens_ = list(own.size_of)
+    for _ in range(30_000):
+        a, b = r.choice(tokens_), r.choice(tokens_)
+        assert own.compatible(a, b) == (own.merge(own.bytes_of[a] + own.bytes_of[b]) == [a, b])
