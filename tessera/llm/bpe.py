@@ -7,7 +7,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,6 +55,7 @@ class ByteBpe:
 
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.text_of = {rank: str(rank) for rank in ranks.values()}
         self.split = regex.compile(pattern).findall
         self.automaton = ahocorasick.Automaton()
         reachable = {}
@@ -139,7 +140,7 @@ class ByteBpe:
         reach, token_of, shorter, compatible, size_of = self.automaton.longest_prefix, self.by_letters.get, self.shorter.get, self.compatible, self.size_of
         dead: set[int] = set()
         taken: list[int] = []
-        at, back = 0, None
+        at, last, back = 0, None, None
         while at < end_of:
             if back is None:
                 # the longest token from here: the automaton follows its trie as far as it goes, then back to a token
@@ -151,18 +152,20 @@ class ByteBpe:
                     token = token_of(rest[:n])
             else:
                 token = shorter(back)
-            last = taken[-1] if taken else None
-            while token is not None and (at + size_of[token] in dead or last is not None and not compatible(last, token)):
+                n = 0 if token is None else size_of[token]
+            while token is not None and (last is not None and not compatible(last, token) or dead and at + n in dead):
                 token = shorter(token)
+                n = 0 if token is None else size_of[token]
             if token is not None:
                 taken.append(token)
-                at += size_of[token]
-                back = None
+                at += n
+                last, back = token, None
             elif last is None:
                 raise ValueError("a byte of the text is not in the vocabulary")
             else:
                 dead.add(at)
                 back = taken.pop()
+                last = taken[-1] if taken else None
                 at -= size_of[back]
         return taken
 
@@ -178,12 +181,12 @@ class ByteBpe:
             ids = self.encode_piece(segment.encode())
         elif word[-1:] in _ENDS and word[:-1].isalpha():
             # a letter and one of these marks never share a match
-            ids, _, data = self.spaced[word[:-1]] if word is not segment else self.memo[word[:-1]]
+            ids, n, data = self.spaced[word[:-1]] if word is not segment else self.memo[word[:-1]]
             mark = self.ranks[word[-1].encode()]
-            return f"{ids} {mark}", ids.count(" ") + 2, data + self.bytes_of[mark]
+            return f"{ids} {mark}", n + 1, data + self.bytes_of[mark]
         else:
             ids = self.encode(segment)
-        return " ".join(map(str, ids)), len(ids), self.decode(ids)
+        return " ".join(map(self.text_of.__getitem__, ids)), len(ids), b"".join(map(self.bytes_of.__getitem__, ids))
 
     def segments(self, text: str) -> list[str]:
         """The text cut in front of spaces behind a character that isn't white space.
@@ -203,11 +206,9 @@ class ByteBpe:
     def pieces(self, text: str):
         """What the memos hold of each segment; where every space parts two segments, their keys are what split() gives."""
         if self.space_behind_space(text):
-            yield from map(self.memo.__getitem__, self.segments(text))
-        else:
-            first, *rest = text.split(" ")
-            yield self.memo[first]
-            yield from map(self.spaced.__getitem__, rest)
+            return map(self.memo.__getitem__, self.segments(text))
+        first, *rest = text.split(" ")
+        return chain((self.memo[first],), map(self.spaced.__getitem__, rest))
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the ids in decimal, SHA-256 of the decoded bytes)."""
