@@ -20,12 +20,16 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 BLOCK_BYTES = 1 << 20
 
 
+#: The local folders made for applications without a shared one.
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where it is unset (tests) a local one is made and set."""
+    """The folder named by spark.checkpoint.dir; only where it is unset (tests) a local one is made."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _OWN.get(app) or _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tessera-"))
     return found.rstrip("/")
 
 
