@@ -12,6 +12,7 @@ from .functions.builtins import Registry
 from .plans import algebra as A
 from .plans.compiler import Context, Solutions, compile_pattern
 from .plans.parser import parse_query
+from .plans.rewrites import rewrite
 from .shared import settle
 from .sources.mapping import RelationalMap
 
@@ -60,9 +61,7 @@ class Dataset:
     def query(self, text: str, base: str = "") -> Result:
         q = parse_query(text, self.prefixes, base, frozenset(self.registry.aggregates))
         ctx = replace(self.context(), base=base, default_graphs=q.default_graphs, named_graphs=q.named_graphs)
-        pattern = q.pattern
-        for rewrite in self.rewrites:
-            pattern = rewrite(pattern)
+        pattern = rewrite(q.pattern, self.rewrites) if self.rewrites else q.pattern
         s = compile_pattern(pattern, ctx)
         if q.form == "SELECT":
             columns = [t.as_iri(s.val(n)).col.alias(n) for n in s.kinds]

@@ -469,7 +469,7 @@ def functions() -> dict:
     for name, function, kind in (
         ("area", area, "dbl"), ("length", length, "dbl"), ("dimension", lambda g: g.dimension, "int"), ("isEmpty", lambda g: g.empty, "bool"), ("geometryType", lambda g: g.kind, "str"),
         ("numGeometries", lambda g: len(g.members()), "int"), ("asGeoJSON", to_geojson, "str"), ("asWKT", to_wkt, "str"), ("getSRID", lambda g: g.crs, "str"),
-        ("coordinateDimension", lambda g: max(map(len, g.vertices()), default=2), "int"), ("is3D", lambda g: any(len(p) > 2 for p in g.vertices()), "bool"),
+        ("isSimple", is_simple, "bool"), ("asGML", to_gml, "str"), ("asKML", to_kml, "str"), ("coordinateDimension", lambda g: max(map(len, g.vertices()), default=2), "int"), ("is3D", lambda g: any(len(p) > 2 for p in g.vertices()), "bool"),
     ):
         one(name, function, kind)
     d = _udf(lambda x, y: distance(parse_wkt(x), parse_wkt(y)), "double")
@@ -481,6 +481,110 @@ def functions() -> dict:
     return out
 
 
+def is_simple(g: Geometry) -> bool:
+    """No repeated point, and no line that meets itself or another one but at ends."""
+    if len({p[:2] for p in g.points}) < len(g.points):
+        return False
+    e = _exact(g)
+    pieces = [(x, k, s) for x, line in enumerate(e.lines) for k, s in enumerate(zip(line, line[1:])) if s[0] != s[1]]
+    for i, (x, k, s) in enumerate(pieces):
+        for y, j, o in pieces[:i]:
+            for p in _crossing(*s, *o):
+                neighbours = x == y and abs(k - j) == 1 and p in s and p in o and not (_on(s[0], *o) and _on(s[1], *o))
+                ends = all(p in (e.lines[z][0], e.lines[z][-1]) for z in (x, y)) and (x != y or e.lines[x][0] == e.lines[x][-1])
+                if not (neighbours or ends):
+                    return False
+    return True
+
+
+def to_gml(g: Geometry) -> str:
+    def positions(ps: list[Point]) -> str:
+        return " ".join(_n(c) for p in ps for c in p[:2])
+
+    def ring(r: list[Point], name: str) -> str:
+        return f"<gml:{name}><gml:LinearRing><gml:posList>{positions(r)}</gml:posList></gml:LinearRing></gml:{name}>"
+
+    out = []
+    for m in g.members():
+        if m.points:
+            out.append(f"<gml:Point><gml:pos>{positions(m.points)}</gml:pos></gml:Point>")
+        elif m.lines:
+            out.append(f"<gml:LineString><gml:posList>{positions(m.lines[0])}</gml:posList></gml:LineString>")
+        else:
+            out.append(f"<gml:Polygon>{ring(m.polygons[0][0], 'exterior')}{''.join(ring(r, 'interior') for r in m.polygons[0][1:])}</gml:Polygon>")
+    return out[0] if len(out) == 1 else "<gml:MultiGeometry>" + "".join(f"<gml:geometryMember>{x}</gml:geometryMember>" for x in out) + "</gml:MultiGeometry>"
+
+
+def to_kml(g: Geometry) -> str:
+    def coordinates(ps: list[Point]) -> str:
+        return "<coordinates>" + " ".join(",".join(map(_n, p[:2])) for p in ps) + "</coordinates>"
+
+    out = []
+    for m in g.members():
+        if m.points:
+            out.append(f"<Point>{coordinates(m.points)}</Point>")
+        elif m.lines:
+            out.append(f"<LineString>{coordinates(m.lines[0])}</LineString>")
+        else:
+            outer, *inner = [f"<LinearRing>{coordinates(r)}</LinearRing>" for r in m.polygons[0]]
+            out.append(f"<Polygon><outerBoundaryIs>{outer}</outerBoundaryIs>{''.join(f'<innerBoundaryIs>{r}</innerBoundaryIs>' for r in inner)}</Polygon>")
+    return out[0] if len(out) == 1 else f"<MultiGeometry>{''.join(out)}</MultiGeometry>"
+
+
+def aggregates() -> dict:
+    """geof: aggregates by IRI that need no more than sums and bounds of a group; a text that isn't WKT, or no text, gives null."""
+
+    def sound(x: Column) -> Column:
+        b = bounds(x)
+        return F.count_if(x.isNotNull() & b["x0"].isNull()) == 0
+
+    def box(a: Val, distinct: bool = False) -> Val:
+        x = string(a)
+        b = bounds(x)
+        parts = [F.min(b["x0"]), F.min(b["y0"]), F.max(b["x1"]), F.max(b["y1"])]
+        p, q, r, s = [F.regexp_replace(c.cast("string"), r"\.0$", "") for c in parts]
+        corners = [(p, q), (r, q), (r, s), (p, s), (p, q)]
+        text = F.concat(F.lit("POLYGON(("), F.concat_ws(", ", *[F.concat_ws(" ", u, v) for u, v in corners]), F.lit("))"))
+        return Val("str", F.when(sound(x) & parts[0].isNotNull(), text))
+
+    def centre(a: Val, distinct: bool = False) -> Val:
+        x = string(a)
+        b = bounds(x)
+        points = F.count_if(x.isNotNull() & ~x.rlike(r"(?i)^\s*(<[^>]*>)?\s*POINT")) == 0
+        text = F.concat(F.lit("POINT("), F.regexp_replace(F.avg(b["x0"]).cast("string"), r"\.0$", ""), F.lit(" "), F.regexp_replace(F.avg(b["y0"]).cast("string"), r"\.0$", ""), F.lit(")"))
+        return Val("str", F.when(points, text))
+
+    return {GEOF + "aggBoundingBox": box, GEOF + "aggCentroid": centre}
+
+
+GEO = "http://www.opengis.net/ont/geosparql#"
+
+
+def rewrite_relations(n):
+    """A rewrite of one operator: a pattern with a relation as its predicate also matches what the geometries show.
+
+    Asserted and derived pairs are one set. Features lead to their text by geo:hasDefaultGeometry/geo:asWKT, geometries
+    by geo:asWKT.
+    """
+    from ..plans import algebra as A
+    from .terms import iri
+
+    if not isinstance(n, A.Bgp):
+        return n
+    mine = [x for x in n.triples if isinstance(x.p, A.Const) and x.p.term.removeprefix("I" + GEO) in RELATIONS]
+    rest = tuple(x for x in n.triples if x not in mine)
+    out = A.Bgp(rest) if rest else A.Unit()
+    wkt = A.Alt((A.Link(GEO + "asWKT"), A.Seq((A.Link(GEO + "hasDefaultGeometry"), A.Link(GEO + "asWKT")))))
+    for k, x in enumerate(mine):
+        a, b = A.Var(f"__wa{k}"), A.Var(f"__wb{k}")
+        name = x.p.term.removeprefix("I" + GEO)
+        derived = A.Filter(A.Join(A.Path(x.s, wkt, a), A.Path(x.o, wkt, b)), A.Call(GEOF + name, (a, b)))
+        names = tuple(v.name for v in (x.s, x.o) if isinstance(v, A.Var))
+        both = A.Distinct(A.Project(A.Union(A.Bgp((A.Triple(x.s, A.Const(iri(GEO + name)), x.o),)), derived), names))
+        out = both if isinstance(out, A.Unit) else A.Join(out, both)
+    return out if mine else n
+
+
 def bounds(wkt: Column) -> Column:
     """STRUCT<x0, y0, x1, y1>, in the JVM: the least and largest of a text's coordinates."""
     numbers = F.transform(F.regexp_extract_all(wkt, F.lit(r"(-?[0-9.]+(?:[eE][-+]?\d+)?)\s+(-?[0-9.]+(?:[eE][-+]?\d+)?)"), F.lit(0)), lambda x: F.transform(F.split(x, r"\s+"), lambda y: y.try_cast("double")))

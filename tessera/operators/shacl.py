@@ -12,8 +12,10 @@ from ..engine import Dataset
 from ..functions import terms as t
 from ..functions.terms import RDF, RDFS, SH, XSD, Val, iri
 from ..plans import algebra as A
-from ..plans.compiler import Context
+from ..plans.compiler import Context, Solutions, semi
+from ..plans.parser import parse_query
 from ..shared import settle
+from ..sources.rdf import ntriples_term
 from . import paths
 
 TYPE = iri(RDF + "type")
@@ -145,7 +147,8 @@ class Validator:
                             F.lit(SH + name[0].upper() + name[1:] + "ConstraintComponent").alias("component"), F.lit(shape.severity).alias("severity"), F.lit(shape.node).alias("shape"),
                         )
                     out = out.unionByName(found.select(*COLUMNS))
-        return out
+        own = _custom(self, shape, values)
+        return out if own is None else out.unionByName(own)
 
     def report(self) -> DataFrame:
         """All results, as (focus, path, value, component, severity, shape); none if the data conform."""
@@ -373,6 +376,58 @@ def _member_shape(v, shape, focus, values, arg):
     return items.join(_failing(v, items, arg), "value", "left_semi")
 
 
+def _unique_values(v, shape, focus, values, arg):
+    """Focus nodes that share their values of all the listed properties with another one."""
+    row, names = focus.select("focus").distinct(), []
+    for k, p in enumerate(v.shapes.list_of(arg)):
+        row = row.join(v.triples.where(F.col("p") == p).select(F.col("s").alias("focus"), F.col("o").alias(f"k{k}")), "focus")
+        names.append(f"k{k}")
+    shared = row.groupBy(*names).agg(F.count_distinct("focus").alias("n")).where("n > 1").drop("n")
+    return row.join(shared, names, "left_semi").select("focus").distinct()
+
+
+def _reifier(v, shape, focus, values, arg):
+    """Reifiers of the triples from focus to value must conform."""
+    term = F.concat(F.lit("T"), F.concat_ws("\x02", "focus", F.lit(shape.path_text), "value"))
+    reified = v.triples.where(F.col("p") == iri(RDF + "reifies")).select(F.col("s").alias("r"), F.col("o").alias("_t"))
+    met = settle(values.withColumn("_t", term).join(reified, "_t").select("focus", F.col("r").alias("value")), "reifiers")
+    return met.join(_failing(v, met, arg), "value", "left_semi")
+
+
+def _custom(v: Validator, shape: Shape, values: DataFrame) -> DataFrame | None:
+    """Results of the shapes graph's own components that the shape has all parameters of."""
+    out = None
+    for node, ps in v.shapes.by.items():
+        if iri(SH + "ConstraintComponent") not in ps.get(TYPE, ()):
+            continue
+        given = {}
+        for p in v.shapes.get(node, "parameter"):
+            name = v.shapes.get(p, "path")[0]
+            value = v.shapes.by.get(shape.node, {}).get(name)
+            optional = v.shapes.get(p, "optional")[:1] and v.shapes.get(p, "optional")[0].endswith("\x01true")
+            if value:
+                given[name.rsplit("/", 1)[-1].rsplit("#", 1)[-1]] = value[0]
+            elif not optional:
+                given = None
+                break
+        if not given:
+            continue
+        for role in ("validator", "nodeValidator", "propertyValidator"):
+            for validator in v.shapes.get(node, role):
+                kind = "ask" if v.shapes.get(validator, "ask") else "select"
+                text = t.parse_term(v.shapes.get(validator, kind)[0])[1]
+                for name, term in given.items():
+                    text = text.replace(f"${name}", ntriples_term(term)).replace(f"?{name}", ntriples_term(term))
+                pattern = parse_query(text.replace("$", "?"), v.data.prefixes).pattern
+                while isinstance(pattern, (A.Project, A.Distinct, A.Slice, A.OrderBy)):
+                    pattern = pattern.input
+                rows = Solutions(values.select(F.col("focus").alias("this"), "value"), {"this": "term", "value": "term"}, frozenset({"this", "value"}))
+                bad = semi(rows, pattern, v.ctx, "left_anti" if kind == "ask" else "left_semi").df
+                one = bad.select(F.col("this").alias("focus"), F.lit(shape.path_text).cast("string").alias("path"), "value", F.lit(node[1:]).alias("component"), F.lit(shape.severity).alias("severity"), F.lit(shape.node).alias("shape"))
+                out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _root_class(v, shape, focus, values, arg):
     up = paths.closure(v.triples.where(F.col("p") == iri(RDFS + "subClassOf")).select(F.col("s").alias("src"), F.col("o").alias("dst")))
     return values.where(F.col("value") != arg).join(up.where(F.col("dst") == arg).select(F.col("src").alias("value")), "value", "left_anti")
@@ -388,5 +443,5 @@ EVALUATORS: dict[str, Evaluator] = {
     "hasValue": _has_value, "in": _value_test(lambda v, s, a: F.col("value").isin(v.shapes.list_of(a))), "closed": _closed, "node": _node, "not": _not, "property": _property,
     "and": _logical("and"), "or": _logical("or"), "xone": _logical("xone"), "qualifiedValueShape": _qualified, "sparql": _sparql,
     "minListLength": _list_test(lambda a: F.size("members") < _int(a)), "maxListLength": _list_test(lambda a: F.size("members") > _int(a)),
-    "uniqueMembers": _list_test(lambda a: F.lit(a.endswith("\x01true")) & (F.size(F.array_distinct("members")) < F.size("members"))), "memberShape": _member_shape, "rootClass": _root_class,
+    "uniqueMembers": _list_test(lambda a: F.lit(a.endswith("\x01true")) & (F.size(F.array_distinct("members")) < F.size("members"))), "memberShape": _member_shape, "rootClass": _root_class, "uniqueValuesFor": _unique_values, "reifierShape": _reifier,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -40,7 +41,9 @@ class GraphStore:
     heads: dict[str, Version] = field(default_factory=dict)
     observers: list[Callable[[int, DataFrame], None]] = field(default_factory=list)
     contextual: bool = False
+    manifest: str | None = None
     _count: int = 0
+    _generation: int = 0
 
     def __post_init__(self):
         if not self.heads:
@@ -52,6 +55,21 @@ class GraphStore:
         self._count += 1
         return Version(self._count, path, parent, graphs, delta)
 
+    def _publish(self) -> None:
+        """The heads as the next generation of the manifest, if there is one; a reader takes the last that is complete."""
+        if self.manifest is not None:
+            self._generation += 1
+            heads = {w: {"number": v.number, "path": v.path, "graphs": sorted(v.graphs), "delta": v.delta} for w, v in self.heads.items()}
+            text = json.dumps({"generation": self._generation, "count": self._count, "heads": heads})
+            self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("append").text(self.manifest)
+
+    @staticmethod
+    def open(spark: SparkSession, manifest: str) -> "GraphStore":
+        """The store as its manifest's last generation has it; versions before the heads are no longer linked."""
+        found = max((json.loads(r["value"]) for r in spark.read.text(manifest).toLocalIterator()), key=lambda x: x["generation"])
+        heads = {w: Version(v["number"], v["path"], None, frozenset(v["graphs"]), v["delta"]) for w, v in found["heads"].items()}
+        return GraphStore(spark, heads=heads, manifest=manifest, _count=found["count"], _generation=found["generation"])
+
     def quads(self, world: str = "main") -> DataFrame:
         return self.spark.read.schema(QUADS).parquet(self.heads[world].path)
 
@@ -74,6 +92,7 @@ class GraphStore:
         if self.heads[world] is not head:
             raise ConflictError(f"{world} moved during the commit")
         self.heads[world] = version
+        self._publish()
         for observe in self.observers:
             observe(version.number, delta)
         return version
@@ -145,12 +164,14 @@ class GraphStore:
         if name in self.heads:
             raise ValueError(f"there is a world {name}")
         self.heads[name] = self.heads[source]
+        self._publish()
         return self.heads[name]
 
     def drop(self, name: str) -> None:
         if name == "main":
             raise ValueError("the main world stays")
         del self.heads[name]
+        self._publish()
 
     def diff(self, a: str, b: str) -> DataFrame:
         """(s, p, o, g, change): 1 for what b has and a has not, -1 for the reverse."""

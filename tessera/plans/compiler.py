@@ -386,13 +386,13 @@ def _marked(s: Solutions, e, ctx: Context) -> tuple[Solutions, object]:
     e = swap(e)
     s = Solutions(settle(s.df.withColumn("__row", F.monotonically_increasing_id())), {**s.kinds, "__row": "int"}, s.certain | {"__row"})
     for name, x in found:
-        hits = _semi(s, x.pattern, ctx).df.select("__row").distinct().withColumn(name, F.lit(True))
+        hits = semi(s, x.pattern, ctx).df.select("__row").distinct().withColumn(name, F.lit(True))
         df = s.df.join(hits, "__row", "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)) != F.lit(x.negated))
         s = Solutions(df, {**s.kinds, name: "bool"}, s.certain | {name})
     return s, e
 
 
-def _semi(s: Solutions, pattern, ctx: Context, how: str = "left_semi") -> Solutions:
+def semi(s: Solutions, pattern, ctx: Context, how: str = "left_semi") -> Solutions:
     """The rows for which the pattern has (or, left_anti, hasn't) a compatible solution; filters in it see the row's variables."""
     conditions = []
     while isinstance(pattern, A.Filter):
@@ -418,7 +418,7 @@ def _filtered(s: Solutions, condition, ctx: Context) -> Solutions:
     if isinstance(condition, A.Call) and condition.name == "and":
         return _filtered(_filtered(s, condition.args[0], ctx), condition.args[1], ctx)
     if isinstance(condition, A.Exists):
-        return _semi(s, condition.pattern, ctx, "left_anti" if condition.negated else "left_semi")
+        return semi(s, condition.pattern, ctx, "left_anti" if condition.negated else "left_semi")
     if _has_exists(condition):
         marked, e = _marked(s, condition, ctx)
         out = marked.df.where(t.boolean(evaluate(e, lambda n: marked.val(n) if n in marked.kinds else None, ctx)))

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from .engine import Dataset
 from .functions import geo, jsonata, jsonschema
 from .functions import terms as t
-from .operators import graph, inference, paths, shacl, temporal
+from .operators import graph, inference, multiway, paths, regions, scans, shacl, temporal
 from .operators.update import GraphStore
-from .sources import rdf
+from .sources import canonical, rdf
 from .sources.mapping import BASE, tpch
 
 Q = Callable[[SparkSession, str], DataFrame]
@@ -400,3 +400,52 @@ plan("geo_join", """SELECT s_suppkey, n_nationkey FROM supplier, nation WHERE s_
     lambda s, f: geo.spatial_join(_places(s, f), _boxes(s, f), "place", "box", 4.0, "sfWithin").select("s_suppkey", "n_nationkey")
 )
 plan("geo_bounds", "SELECT n_nationkey, (n_nationkey % 9)::DOUBLE AS x0, (n_nationkey % 11 + 5)::DOUBLE AS y1 FROM nation")(lambda s, f: _boxes(s, f).select("n_nationkey", geo.bounds(F.col("box"))["x0"].alias("x0"), geo.bounds(F.col("box"))["y1"].alias("y1")))
+
+
+# scans and joins of many patterns
+plan("match_scan", "SELECT 'http://example.org/nation/' || n_nationkey AS s FROM nation WHERE n_regionkey = 3")(
+    lambda s, f: scans.match(dataset(s, f).mapping.quads(), p=t.iri(BASE + "inRegion"), o=t.iri(BASE + "region/3")).select(t.lexical(F.col("s")).alias("s"))
+)
+plan("match_many_subjects", "SELECT count(*) AS n FROM nation WHERE n_regionkey < 2")(
+    lambda s, f: scans.match_many(nation_quads(s, f).where("g IS NULL"), read(s, f, "nation").where("n_regionkey < 2").select(F.concat(F.lit(f"I{BASE}nation/"), "n_nationkey").alias("x")), "s", p=t.iri(BASE + "n_name")).agg(F.count(F.lit(1)).alias("n"))
+)
+plan("visibility_view", "SELECT count(*) AS n FROM nation WHERE n_regionkey = 1")(
+    lambda s, f: scans.View(nation_quads(s, f)).where(lambda: F.col("g") == t.iri(BASE + "region/1")).where(lambda: F.col("p") == t.iri(BASE + "n_name")).scan().agg(F.count(F.lit(1)).alias("n"))
+)
+
+
+def _named(df: DataFrame, *names: str) -> DataFrame:
+    return df.toDF(*names)
+
+
+plan("semijoin_reduction", """SELECT count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1))""")(
+    lambda s, f: multiway.reduced([
+        _named(read(s, f, "orders").select("o_orderkey", "o_custkey"), "o", "c"), _named(read(s, f, "customer").select("c_custkey", "c_nationkey"), "c", "n"),
+        _named(read(s, f, "nation").where("n_regionkey = 1").select("n_nationkey", "n_regionkey"), "n", "r"),
+    ])[0].agg(F.count(F.lit(1)).alias("n"))
+)
+plan("star_count", "SELECT count(*) AS count FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey")(
+    lambda s, f: multiway.star_count([read(s, f, "lineitem").select(F.col("l_partkey").alias("k"))] * 2, "k")
+)
+plan("star_keys", "SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey IN (SELECT s_suppkey FROM supplier)")(
+    lambda s, f: multiway.star_keys([read(s, f, "orders").select(F.col("o_custkey").alias("k")), read(s, f, "supplier").select(F.col("s_suppkey").alias("k"))], "k")
+)
+
+
+@plan("hypercube_triangles", f"WITH {_LINKS} SELECT 6 * count(*) AS n FROM u x JOIN u y ON x.dst = y.src JOIN u z ON z.src = x.src AND z.dst = y.dst")
+def _hypercube(spark: SparkSession, folder: str) -> DataFrame:
+    both = graph.both_ways(graph.undirected(part_links(spark, folder)))
+    a, b, c = (both.toDF(*names) for names in (("a", "b"), ("b", "c"), ("c", "a")))
+    return multiway.hypercube_triangles(a, b, c).agg(F.count(F.lit(1)).alias("n"))
+
+
+plan("canonical_labels", "SELECT count(*) AS n, count(DISTINCT r_regionkey) AS labels FROM region")(
+    lambda s, f: canonical.labelled(nation_quads(s, f).where((F.col("p") == t.iri(BASE + "r_name")) & F.col("g").isNull()).withColumn("s", F.concat(F.lit("B"), F.xxhash64("s").cast("string")))).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("s").alias("labels"))
+)
+plan("rcc8_closure", "SELECT 'http://example.org/nation/' || a.n_nationkey AS a, 'http://example.org/nation/' || b.n_nationkey AS b FROM nation a, nation b WHERE a.n_regionkey <> b.n_regionkey")(
+    lambda s, f: regions.rcc8_closure(
+        read(s, f, "nation").select(F.concat(F.lit(BASE + "nation/"), "n_nationkey").alias("a"), F.concat(F.lit(BASE + "region/"), "n_regionkey").alias("b"), F.lit(regions.mask("ntpp")).alias("relations"))
+        .unionByName(_named(read(s, f, "region").alias("x").join(read(s, f, "region").alias("y"), F.col("x.r_regionkey") < F.col("y.r_regionkey")).select(F.concat(F.lit(BASE + "region/"), "x.r_regionkey"), F.concat(F.lit(BASE + "region/"), "y.r_regionkey"), F.lit(regions.mask("dc"))), "a", "b", "relations"))
+    ).where((F.col("relations") == regions.mask("dc")) & F.col("a").contains("nation") & F.col("b").contains("nation")).select("a", "b")
+)
+plan("owl_profile", "SELECT 'EL' AS profile, 'inverseOf' AS construct, 1::BIGINT AS n UNION ALL SELECT 'QL', 'TransitiveProperty', 1")(lambda s, f: regions.profile_violations(_triples(s, f)))
