@@ -13,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import thrifty
+
 #: Words whose ids a worker remembers in each of two generations.
-CACHE_WORDS = 120_000
+CACHE_WORDS = 100_000
 #: Longer segments are encoded without being remembered.
 CACHE_WORD_CHARS = 64
 
@@ -73,8 +75,8 @@ class ByteBpe:
                 if token[:n] in reachable:
                     self.shorter[rank] = reachable[token[:n]]
                     break
-        self.history = lru_cache(1 << 16)(self._history)
-        self.compatible = lru_cache(1 << 19)(self._compatible)
+        self.history = lru_cache(1 << 13)(self._history)
+        self.compatible = lru_cache(300_000)(self._compatible)
         self.memo = _Memo(self._segment)
         self.spaced = _Memo(lambda word: self._segment(" " + word))
         self.space_behind_space = re.compile(r"^ |\s ").search
@@ -169,6 +171,10 @@ class ByteBpe:
                 at -= size_of[back]
         return taken
 
+    def forget(self) -> None:
+        """Lets go of the older generations, for tasks of other kinds that may come next."""
+        self.memo.older = self.spaced.older = {}
+
     def encode(self, text: str) -> list[int]:
         return [i for piece in self.split(text) for i in self.encode_piece(piece.encode())]
 
@@ -243,7 +249,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                 columns.append(pa.array([bpe.encode(t or "") for t in texts], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        bpe.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(thrifty(run), schema)

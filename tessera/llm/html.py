@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import thrifty
+
 #: Labelled pages (those that mark their article) that the weights are fitted on, in expectation, chosen by a hash of the id.
 SAMPLE = 2000
 #: Least distance of a weight from zero: words always score above it, tags below minus it.
@@ -208,7 +210,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sampl
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["kind", "inside", "outside"])
 
     chosen = pages.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) < min(1.0, sample / max(n, 1)) * (1 << 30))
-    sums = chosen.select(F.col(html_col).alias("_html")).mapInArrow(counted, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"))
+    sums = chosen.select(F.col(html_col).alias("_html")).mapInArrow(thrifty(counted), "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"))
     rows = sums.orderBy(F.desc(F.col("i") + F.col("o")), "kind").limit(1000).collect()
     return weights_of([(r["kind"], r["i"], r["o"]) for r in rows])
 
@@ -226,4 +228,4 @@ def main_text(pages: DataFrame, weights: Weights, id_col: str = "page_id", url_c
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(F.col(html_col).alias("_html"), F.col(id_col), F.col(url_col)).mapInArrow(run, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long")
+    return pages.select(F.col(html_col).alias("_html"), F.col(id_col), F.col(url_col)).mapInArrow(thrifty(run), f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long")

@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from .common import thrifty
 from pyspark.sql import types as T
 
 #: Dimensions that the hashes of byte n-grams are folded to.
@@ -105,7 +107,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             at = [np.flatnonzero(c) for _, c in keep]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.string()), pa.array([a.astype(np.int32).tobytes() for a in at], pa.binary()), pa.array([c[a].astype(np.int32).tobytes() for (_, c), a in zip(keep, at)], pa.binary())], names=["lang", "at", "n"])
 
-    rows = chosen.select("_text", "_lang").mapInArrow(sparse, "lang string, at binary, n binary").collect()
+    rows = chosen.select("_text", "_lang").mapInArrow(thrifty(sparse), "lang string, at binary, n binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["at"], r["n"]))
     if not rows:
         return None
@@ -148,7 +150,7 @@ def _predicted(taken: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*new, *batch.columns], names=["lang_pred", "score", "rejected", *batch.schema.names])
 
     new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    return taken.mapInArrow(run, T.StructType(new + taken.schema.fields))
+    return taken.mapInArrow(thrifty(run), T.StructType(new + taken.schema.fields))
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, flat, fresh_path, mix, row_key
+from .common import blocks, cut, flat, fresh_path, mix, row_key, thrifty
 
 UNIT = 576
 SIDE = 24
@@ -93,7 +93,7 @@ def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.binary()))], names=["_id", "_tie", "digests"])
 
     keys = row_key(id_col, text_col)
-    listed = docs.select(*keys, F.col(text_col).alias("_text")).mapInArrow(digests, "_id long, _tie int, digests array<binary>")
+    listed = docs.select(*keys, F.col(text_col).alias("_text")).mapInArrow(thrifty(digests), "_id long, _tie int, digests array<binary>")
     places = cut(listed.select("_id", "_tie", F.posexplode("digests").alias("seq", "digest")), "media-digests")
     shared = places.groupBy("digest").agg(F.min(F.struct("_id", "_tie", "seq")).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("_d"), "owner")
     marks = cut(
@@ -135,7 +135,7 @@ def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_doc"), F.monotonically_increasing_id().alias("_n"), F.col(text_col).alias("_text"), *keys)
     rows = rows.join(marks, (F.col("_id") == F.col("_mid")) & (F.col("_tie") == F.col("_mtie")), "left").select("_n", "_doc", "owned", "named", "_text")
-    rows.mapInArrow(write, f"_n long, doc {kind}, n_bytes long, media_sha256 binary, digests array<binary>, blobs array<binary>, shared array<int>, whole boolean").write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(thrifty(write), f"_n long, doc {kind}, n_bytes long, media_sha256 binary, digests array<binary>, blobs array<binary>, shared array<int>, whole boolean").write.option("compression", "zstd").parquet(path)
 
 
 def feature(payload: bytes) -> str:
@@ -194,7 +194,7 @@ def read(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("seq", "digests", "blobs"))).alias("c"))
         .select("doc", "n_bytes", "media_sha256", F.col("c.digests").alias("digests"), F.col("c.blobs").alias("blobs"))
     )
-    return stored.where("whole").select(*columns).mapInArrow(rebuild, schema).unionByName(gathered.select(*columns).mapInArrow(rebuild, schema))
+    return stored.where("whole").select(*columns).mapInArrow(thrifty(rebuild), schema).unionByName(gathered.select(*columns).mapInArrow(thrifty(rebuild), schema))
 
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, thrifty
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(thrifty(run), f"`{id_col}` {kind}, fp long")
 
 
 class Golay:
@@ -197,8 +197,8 @@ def links(distinct: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(of.view(np.int64))], names=["key", "fp"])
 
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = distinct.select("fp").mapInArrow(expand, "key long, fp long").repartition(n, "key").sortWithinPartitions("key", "fp")
-    return keyed.mapInArrow(_links_of_sorted, "a long, b long").distinct()
+    keyed = distinct.select("fp").mapInArrow(thrifty(expand), "key long, fp long").repartition(n, "key").sortWithinPartitions("key", "fp")
+    return keyed.mapInArrow(thrifty(_links_of_sorted), "a long, b long").distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, delete_path, flat, fresh_path, mix, row_key, word_hashes, word_spans
+from .common import blocks, cut, delete_path, flat, fresh_path, mix, row_key, thrifty, word_hashes, word_spans
 
 #: Words of a window; every window whose words stand earlier too is removed.
 WINDOW = 20
@@ -164,7 +164,7 @@ class WindowIndex:
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Ingests a batch as a new run; compacts when there are fan_in of them."""
         keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("_text"))
-        self._write(keyed.mapInArrow(_postings, _POSTING))
+        self._write(keyed.mapInArrow(thrifty(_postings), _POSTING))
         if self.runs >= self.fan_in:
             self.compact()
 
@@ -208,7 +208,7 @@ class WindowIndex:
         runs = open_.select(F.col("_id").alias("_oid"), F.col("_tie").alias("_otie"), "spans")
         # with all columns, so that dedup's own join with the texts uses the same exchange again
         wanted = texts.join(runs, (F.col("_id") == F.col("_oid")) & (F.col("_tie") == F.col("_otie"))).select("_id", "_tie", "_text", "spans", "_rest")
-        windows = wanted.mapInArrow(_window_rows, "w long, v long, _id long, _tie int, start int, sure boolean")
+        windows = wanted.mapInArrow(thrifty(_window_rows), "w long, v long, _id long, _tie int, start int, sure boolean")
         nth = F.rank().over(Window.partitionBy("w", "v", "sure").orderBy("_id", "_tie", "start"))
         again = windows.withColumn("_nth", nth).where("sure OR _nth > 1").select("_id", "_tie", "start", F.lit(1).alias("n"))
         return suspects.where("repeat").select("_id", "_tie", "start", "n").unionByName(again).groupBy("_id", "_tie").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
@@ -276,7 +276,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
                 text = pa.array([None if t is None else f[3] for t, f in zip(texts, found)], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns, text], names=["_rest", "n_words", "n_removed", "kept_sha256", "text"])
 
-    return joined.mapInArrow(clean, _schema(joined.schema["_rest"].dataType))
+    return joined.mapInArrow(thrifty(clean), _schema(joined.schema["_rest"].dataType))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:

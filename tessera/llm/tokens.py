@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import thrifty
+
 #: Bytes of a text that are encoded in one call; longer texts are encoded by overlapping chunks.
 CHUNK_BYTES = 32_768
 OVERLAP_BYTES = 256
@@ -142,5 +144,5 @@ def count_tokens(
 
     taken = docs.select(F.col(id_col), F.col(text_col).alias("_text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
     kind = docs.schema[id_col].dataType.simpleString()
-    found = taken.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, n_bytes long")
+    found = taken.mapInArrow(thrifty(run), f"`{id_col}` {kind}, n_tokens long, n_bytes long")
     return found.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path
+from .common import cut, fresh_path, thrifty
 
 #: Bytes of a record's block beyond which it is dealt over continuation records, and bytes of a transfer chunk.
 SEGMENT_BYTES, CHUNK_BYTES = 16_384, 4_096
@@ -107,7 +107,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
                 out = [r for args in zip(*[c[k : k + 200] for c in columns]) for r in records(*args)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    judged.withColumn("_revisit", revisit).mapInArrow(run, "value string").write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    judged.withColumn("_revisit", revisit).mapInArrow(thrifty(run), "value string").write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def parse(compressed: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -191,9 +191,9 @@ def read(spark, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    segments = files.mapInArrow(rows, "origin string, number int, total long, kind string, refers string, n long, block binary")
+    segments = files.mapInArrow(thrifty(rows), "origin string, number int, total long, kind string, refers string, n long, block binary")
     grouped = segments.groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("number", "total", "kind", "refers", "n", "block"))).alias("segments"))
-    found = cut(grouped.mapInArrow(assembled, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"), "warc-records")
+    found = cut(grouped.mapInArrow(thrifty(assembled), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"), "warc-records")
     responses = found.where("record_type = 'response'")
     lengths = responses.groupBy(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest")).agg(F.max("payload_bytes").alias("_n"))
     revisits = found.where("record_type = 'revisit'").join(lengths, (F.col("refers_to") == F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left")
