@@ -20,6 +20,7 @@ CACHE_WORDS = 100_000
 #: Longer segments are encoded without being remembered.
 CACHE_WORD_CHARS = 64
 
+_CUT = re.compile(r"(?<=\S) ")
 _ENDS = frozenset(".,;:!?")
 _EMPTY = hashlib.sha256().hexdigest()
 _LOADED: dict[tuple[str, str], "ByteBpe"] = {}
@@ -200,14 +201,8 @@ class ByteBpe:
         White space stands only at the start of a match of the pattern, so a match ends there in any case, and what the
         pattern looks ahead at lies inside one segment.
         """
-        first, *parts = text.split(" ")
-        out = [first]
-        for part in parts:
-            if out[-1] and not out[-1][-1].isspace():
-                out.append(" " + part)
-            else:
-                out[-1] += " " + part
-        return out
+        first, *parts = _CUT.split(text)
+        return [first, *[" " + part for part in parts]]
 
     def pieces(self, text: str):
         """What the memos hold of each segment; where every space parts two segments, their keys are what split() gives."""
