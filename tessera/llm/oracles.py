@@ -59,3 +59,13 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN top END AS refers_to
 FROM m
 """
+
+SQL["op3_substring_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT r, doc_id, i, array_to_string(ws[i:i + 19], ' ') AS g FROM d, unnest(range(1, len(ws) - 18)) AS u(i)),
+f AS (SELECT r, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM w),
+c AS (SELECT DISTINCT r, i + k AS i FROM f, range(0, 20) AS o(k) WHERE n > 1),
+x AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d),
+k AS (SELECT r, count(c.i)::BIGINT AS gone, string_agg(CASE WHEN c.i IS NULL THEN word END, ' ' ORDER BY i) AS kept FROM x LEFT JOIN c USING (r, i) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
