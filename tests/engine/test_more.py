@@ -193,3 +193,27 @@ def test_store_recovers(spark, tmp_path):
     assert again.quads().count() == 1 and again.quads("other").count() == 2 and again.heads["main"].graphs == {"Ihttp://g"}
     again.insert([("Ix", "Ip", "Iy", None)])
     assert GraphStore.open(spark, where).quads().count() == 2
+
+
+def test_owl_syntaxes(spark):
+    from tessera.operators import inference
+    from tessera.sources import owl
+
+    text = """Prefix(:=<http://x/>) Ontology(<http://x/o> Declaration(Class(:A)) SubClassOf(:A ObjectSomeValuesFrom(:r :B)) EquivalentClasses(:C ObjectSomeValuesFrom(:r :B)) TransitiveObjectProperty(:t)
+      SubObjectPropertyOf(ObjectPropertyChain(:p :q) :u) ClassAssertion(:B :b) ObjectPropertyAssertion(:r :a :b) DataPropertyAssertion(:d :a "5"^^xsd:integer) DisjointClasses(:A :B :E) SameIndividual(:a :a2)
+      SubClassOf(:F ObjectMaxCardinality(1 :r :B)) HasKey(:A () (:d)) NegativeObjectPropertyAssertion(:t :a :b) ObjectPropertyAssertion(ObjectInverseOf(:t) :m :n))"""
+    rows = owl.parse_functional(text)
+    got = {(s, p, o) for s, p, o, _ in rows}
+    x = lambda n: f"I{X}{n}"
+    assert {(x("A"), t.iri(t.RDF + "type"), t.iri(t.OWL + "Class")), (x("t"), t.iri(t.RDF + "type"), t.iri(t.OWL + "TransitiveProperty")), (x("a"), x("d"), t.literal("5", t.XSD + "integer")), (x("n"), x("t"), x("m")), (x("a"), t.iri(t.OWL + "sameAs"), x("a2"))} <= got
+    assert any(p == t.iri(t.OWL + "maxQualifiedCardinality") for _, p, _ in got) and any(p == t.iri(t.OWL + "propertyChainAxiom") for _, p, _ in got)
+    closed, cliques = inference.owl_rl(quads(spark, rows))
+    assert (x("a"), t.iri(t.RDF + "type"), x("C")) in {(r.s, r.p, r.o) for r in inference.expand(closed, cliques).collect()}
+    xml = f"""<Ontology xmlns="{t.OWL}" ontologyIRI="http://x/o"><Prefix name="" IRI="{X}"/><Declaration><Class abbreviatedIRI=":A"/></Declaration>
+      <SubClassOf><Class abbreviatedIRI=":A"/><ObjectMinCardinality cardinality="2"><ObjectProperty IRI="{X}r"/></ObjectMinCardinality></SubClassOf>
+      <DataPropertyAssertion><DataProperty IRI="{X}d"/><NamedIndividual IRI="{X}a"/><Literal datatypeIRI="{t.XSD}integer">5</Literal></DataPropertyAssertion></Ontology>"""
+    more = {(s, p, o) for s, p, o, _ in owl.parse_owlxml(xml)}
+    assert (x("a"), x("d"), t.literal("5", t.XSD + "integer")) in more and any(p == t.iri(t.OWL + "minCardinality") for _, p, _ in more)
+    for bad in ("Ontology(Nonsense(:a))", "Prefix(:=<http://x/>) Ontology(SubClassOf(:a Wrong(:b)))"):
+        with pytest.raises((ValueError, KeyError)):
+            owl.parse_functional(bad)
