@@ -40,9 +40,8 @@ def pairs(path, ctx, source: str | None = None, target: str | None = None) -> Da
 
     A constant end seeds a closure: from the source forwards, or from the target backwards.
     """
-    quads = ctx.active()
     if isinstance(path, A.Link):
-        return quads.where(F.col("p") == iri(path.iri)).select(F.col("s").alias("src"), F.col("o").alias("dst"))
+        return ctx.active(path.iri).where(F.col("p") == iri(path.iri)).select(F.col("s").alias("src"), F.col("o").alias("dst"))
     if isinstance(path, A.Inverse):
         return pairs(path.path, ctx, target, source).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     if isinstance(path, A.Alt):
@@ -56,6 +55,7 @@ def pairs(path, ctx, source: str | None = None, target: str | None = None) -> Da
             step = pairs(p, ctx).select(F.col("src").alias("_mid"), F.col("dst").alias("_next"))
             out = out.join(step, F.col("dst") == F.col("_mid")).select("src", F.col("_next").alias("dst"))
         return out
+    quads = ctx.active()
     if isinstance(path, A.Negated):
         out = None
         if path.forward or not path.backward:

@@ -48,9 +48,9 @@ class Context:
     now: str = field(default_factory=lambda: datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S"))
     counter: itertools.count = field(default_factory=itertools.count)
 
-    def active(self) -> DataFrame:
-        """The quads (s, p, o, g) that patterns are matched on, in the active graph."""
-        quads = self.quads if self.quads is not None else self.mapping.quads()
+    def active(self, predicate: str | None = None) -> DataFrame:
+        """The quads (s, p, o, g) that patterns are matched on, in the active graph; of mapped tables only those of a predicate."""
+        quads = self.quads if self.quads is not None else self.mapping.quads(predicate)
         if self.graph is None:
             if self.default_graphs:
                 return quads.where(F.col("g").isin([t.iri(g) for g in self.default_graphs])).select("s", "p", "o").distinct().withColumn("g", F.lit(None).cast("string"))
@@ -145,7 +145,7 @@ def _is_constant(v: Val, term: str, df: DataFrame) -> Column:
 
 
 def _triple(x: A.Triple, ctx: Context) -> Solutions:
-    df = ctx.active()
+    df = ctx.active(x.p.term[1:] if isinstance(x.p, A.Const) else None)
     names: dict[str, str] = {}
     places = [("s", x.s), ("p", x.p), ("o", x.o)]
     if isinstance(ctx.graph, A.Var):
@@ -186,7 +186,7 @@ def _path(node: A.Path, ctx: Context) -> Solutions:
         return compile_pattern(A.Bgp((A.Triple(node.o, A.Const(t.iri(inner.iri)), node.s),)) if isinstance(inner, A.Link) else A.Path(node.o, inner, node.s), ctx)
     pairs = paths.pairs(node.path, ctx, node.s.term if isinstance(node.s, A.Const) else None, node.o.term if isinstance(node.o, A.Const) else None)
     names: dict[str, str] = {}
-    places = [("src", node.s), ("dst", node.o)] + ([("g", ctx.graph)] if isinstance(ctx.graph, A.Var) and "g" in pairs.columns else [])
+    places = [("src", node.s), ("dst", node.o)]
     for column, part in places:
         if isinstance(part, A.Const):
             pairs = pairs.where(F.col(column) == F.lit(part.term))
@@ -443,7 +443,23 @@ def _extend(node: A.Extend, ctx: Context) -> Solutions:
     return out if before is None else _only(out, [*before, node.var])
 
 
+def _has_path(n) -> bool:
+    return isinstance(n, A.Path) or any(_has_path(getattr(n, f)) for f in ("input", "left", "right") if hasattr(n, f))
+
+
 def _graph(node: A.Graph, ctx: Context) -> Solutions:
+    if isinstance(node.graph, A.Var) and _has_path(node.input):
+        # a path stays in one graph: one plan for each name in the graph directory, which is read on the driver
+        names = [r["g"] for r in replace(ctx, graph=node.graph).active().select("g").distinct().collect()]
+        out = None
+        for name in names:
+            one = compile_pattern(node.input, replace(ctx, graph=A.Const(name)))
+            if node.graph.name in one.kinds:
+                one = Solutions(one.df.where(t.to_term(one.val(node.graph.name)) == F.lit(name)), one.kinds, one.certain)
+            else:
+                one = Solutions(one.df.withColumn(node.graph.name, F.lit(name)), {**one.kinds, node.graph.name: "term"}, one.certain | {node.graph.name})
+            out = one if out is None else _union_solutions(out, one)
+        return out if out is not None else Solutions(one_row(ctx).where(F.lit(False)).withColumn(node.graph.name, F.lit(None).cast("string")), {node.graph.name: "term"}, frozenset({node.graph.name}))
     inner = compile_pattern(node.input, replace(ctx, graph=node.graph))
     if isinstance(node.graph, A.Var) and node.graph.name not in inner.kinds:
         graphs = replace(ctx, graph=node.graph).active().select(F.col("g").alias(node.graph.name)).distinct()

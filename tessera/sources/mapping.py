@@ -64,17 +64,24 @@ class RelationalMap:
         column = t.columns[predicate]
         return Val(native(df.schema[column].dataType.simpleString()), F.col(f"`{column}`"))
 
-    def quads(self) -> DataFrame:
-        """All virtual triples as encoded quads, one pass of each table."""
+    def quads(self, predicate: str | None = None) -> DataFrame:
+        """All virtual triples as encoded quads, one pass of each table; with a predicate those of the tables that have it."""
         out = None
         for t in self.tables.values():
+            known = [TYPE, *t.columns, *t.links]
+            wanted = known if predicate is None else [p for p in known if p == predicate]
+            if not wanted:
+                continue
             df = self.load(t.name)
-            pairs = [F.struct(F.lit(iri(TYPE)).alias("p"), F.lit(iri(t.cls)).alias("o"))]
-            pairs += [F.struct(F.lit(iri(p)).alias("p"), to_term(self.value(t, df, p)).alias("o")) for p in [*t.columns, *t.links]]
-            rows = df.select(F.concat(F.lit("I"), t.subject()).alias("s"), F.explode(F.array(*pairs)).alias("_x"))
-            rows = rows.select("s", "_x.p", "_x.o", F.lit(None).cast("string").alias("g")).where("o IS NOT NULL")
+            terms = [(p, F.lit(iri(t.cls)) if p == TYPE else to_term(self.value(t, df, p))) for p in wanted]
+            subject = F.concat(F.lit("I"), t.subject()).alias("s")
+            if len(terms) == 1:
+                rows = df.select(subject, F.lit(iri(terms[0][0])).alias("p"), terms[0][1].alias("o"))
+            else:
+                rows = df.select(subject, F.explode(F.array(*[F.struct(F.lit(iri(p)).alias("p"), o.alias("o")) for p, o in terms])).alias("_x")).select("s", "_x.p", "_x.o")
+            rows = rows.select("s", "p", "o", F.lit(None).cast("string").alias("g")).where("o IS NOT NULL")
             out = rows if out is None else out.unionByName(rows)
-        return out
+        return out if out is not None else self.quads().where(F.lit(False))
 
 
 BASE = "http://example.org/"

@@ -44,6 +44,8 @@ CASES = [
     ("SELECT ?s ?n { ?s :p ?o OPTIONAL { ?s :label ?n FILTER(LANG(?n) = 'en') } }", [("http://x/a", "one"), ("http://x/b", None), ("http://x/c", None)]),
     ("SELECT ?g ?o { GRAPH ?g { :a :p ?o } }", [("http://x/g1", "1"), ("http://x/g2", "2")]),
     ("SELECT ?s { GRAPH :g2 { ?s :p 1 } }", [("http://x/b",)]),
+    ("SELECT ?g ?o { GRAPH ?g { :a :p+ ?o } }", [("http://x/g1", "1"), ("http://x/g2", "2")]),
+    ("SELECT ?o { GRAPH :g2 { :b :p* ?o } }", [("1",), ("http://x/b",)]),
     ("SELECT ?o FROM :g1 { :a :p ?o }", [("1",)]),
     ("SELECT ?g FROM NAMED :g2 { GRAPH ?g { :b :p 1 } }", [("http://x/g2",)]),
     ("SELECT (SUM(?v) AS ?t) { VALUES ?v { 1 2 3 } }", [("6",)]),
