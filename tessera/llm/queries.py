@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, html, langid, media, mix, quality, simhash, substring, tokens, warc
-from .common import table
+from .common import spread
+from .common import table as stored
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(stored(spark, sf_dir, name))
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
