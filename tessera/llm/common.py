@@ -56,12 +56,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in as many partitions as there are cores, if it has fewer: a small file would keep one core busy.
+    """df in as many partitions as there are cores, if it has fewer files: one small file would keep one core busy.
 
-    Inputs with more partitions than cores, all large ones, are left as they are.
+    Inputs of more files than cores, all large ones, are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
