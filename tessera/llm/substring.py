@@ -46,6 +46,23 @@ def _smallest(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return x, place
 
 
+def _settled(what: tuple[np.ndarray, ...], row: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(order, sure): the entries by `what` and `row`, and which are equal in `what` to an earlier one of another row.
+
+    Entries equal in both come from repeated rows, which count as one document: only the first of them is in `order`.
+    """
+    order = np.lexsort((*row[::-1], *what[::-1]))
+
+    def as_before(columns: tuple[np.ndarray, ...]) -> np.ndarray:
+        same = np.zeros(len(order), bool)
+        same[1:] = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in columns])
+        return same
+
+    sure = as_before(what)
+    again = sure & as_before(row)
+    return order[~again], sure[~again]
+
+
 class _Block:
     """The words of some texts, and where their windows start."""
 
@@ -73,7 +90,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     are equal.
 
     Equal runs within a block but the first (by row and word) are `sure` to be repeats. They get an anchor of their own,
-    so that what is very common goes to a reducer once for each block.
+    so that what is very common goes to a reducer once for each block. Repeated rows bring each of theirs once.
     """
     for batch in batches:
         for part in blocks(batch, "_text"):
@@ -102,10 +119,8 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.cumsum(two * power[: len(two)], out=sums[1:])
             c = mix((sums[at + n + WINDOW - 1] - sums[at]) * inverse[at] + n.astype(np.uint64))
             start = at - block.first[:-1][doc]
-            order = np.lexsort((start, ties[doc], ids[doc], c, a))
-            sure = np.zeros(len(a), bool)
-            so = (a[order][1:] == a[order][:-1]) & (c[order][1:] == c[order][:-1])
-            sure[order[1:][so]] = True
+            order, sure = _settled((a, c), (ids[doc], ties[doc], start))
+            a, c, doc, start, n = a[order], c[order], doc[order], start[order], n[order]
             a[sure] = mix(a[sure] + ids[doc[sure]].astype(np.uint64) * np.uint64(31) + start[sure].astype(np.uint64))
             columns = (a.view(np.int64), c.view(np.int64), ids[doc], ties[doc], start.astype(np.int32), n.astype(np.int32), sure)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "c", "_id", "_tie", "start", "n", "sure"])
@@ -127,10 +142,8 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = first + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
             word = block.first[:-1][doc] + start
             w, v = _rolled(block.hashes(0), WINDOW, _STEPS[1])[word], _rolled(block.hashes(1), WINDOW, _STEPS[0])[word]
-            order = np.lexsort((start, ties[doc], ids[doc], v, w))
-            sure = np.zeros(len(w), bool)
-            same = (w[order][1:] == w[order][:-1]) & (v[order][1:] == v[order][:-1])
-            sure[order[1:][same]] = True
+            order, sure = _settled((w, v), (ids[doc], ties[doc], start))
+            w, v, doc, start = w[order], v[order], doc[order], start[order]
             w[sure] = mix(w[sure] + ids[doc[sure]].astype(np.uint64) * np.uint64(31) + start[sure].astype(np.uint64))
             columns = (w.view(np.int64), v.view(np.int64), ids[doc], ties[doc], start.astype(np.int32), sure)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["w", "v", "_id", "_tie", "start", "sure"])

@@ -70,6 +70,27 @@ def test_rows_with_one_id(spark):
     assert substring.dedup(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_repeated_rows_count_as_one_document(spark, parts):
+    long, other = (" ".join(c + "%d" % i for i in range(30)) for c in "qz")
+    rows = [(1, long), (1, long), (1, long), (2, "head " + long), (None, other), (None, other), (None, other + " tail")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    df = df if parts == 1 else df.repartition(parts)
+    got = sorted((x._rest.doc_id or 9, x.n_words, x.n_removed) for x in substring.dedup(df, batches=1).collect())
+    assert got[:4] == [(1, 30, 0)] * 3 + [(2, 31, 30)]
+    # of two texts under one id either may be the earlier one; the copies of one text have one result
+    assert got[4:] in ([(9, 30, 0)] * 2 + [(9, 31, 30)], [(9, 30, 30)] * 2 + [(9, 31, 0)])
+
+
+def test_repeated_rows_in_windows_that_are_verified(spark):
+    # the anchor's run differs between the texts, so that their common windows are settled one by one
+    long = " ".join("q%d" % i for i in range(30))
+    rows = [(1, "a b " + long + " c d")] * 2 + [(2, "e f " + long + " g h")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((x._rest.doc_id, x.n_words, x.n_removed, x.text) for x in substring.dedup(df, batches=1).collect())
+    assert got == [(1, 34, 0, "a b " + long + " c d")] * 2 + [(2, 34, 30, "e f g h")] * 2
+
+
 def test_index_is_incremental_and_compacts(spark):
     docs = corpus()
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
