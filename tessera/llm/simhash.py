@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, thrifty
@@ -47,14 +47,21 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): the SimHash of every row as a signed long. Null text has no words, and fingerprint zero. No shuffle."""
+    return _marked(docs, [F.col(id_col)], text_col)
+
+
+def _marked(docs: DataFrame, keys: list[Column], text_col: str) -> DataFrame:
+    """The key columns and the SimHash fp of every row."""
+    keyed = docs.select(*keys, F.col(text_col).alias("_text"))
+    names = keyed.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], _U)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
+            found = np.array([fingerprint(t) for t in batch.column(len(names)).to_pylist()], _U)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], names=[*names, "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(thrifty(run), f"`{id_col}` {kind}, fp long")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields[:-1])
+    return keyed.mapInArrow(thrifty(run), f"{kinds}, fp long")
 
 
 class Golay:
@@ -226,22 +233,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are not looked at; an empty table gives an empty result.
     """
     marked = cut(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = marked.groupBy("fp").agg(F.min(id_col).alias("first"))
-    found = components(links(classes))
-    rooted = cut(classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("root")), "classes")
+    rooted = cut(_rooted(marked, F.col(id_col)), "classes")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_class = rooted.select(F.col("fp").alias("_fp"), "root").join(least, "root").select("_fp", "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(of_class, F.col("fp") == F.col("_fp")).select(id_col, digits.alias("fingerprint"), "component_id")
 
 
+def _rooted(marked: DataFrame, key: Column) -> DataFrame:
+    """(fp, first, root): each class of equal fingerprints, its smallest key and its component's smallest fingerprint."""
+    classes = marked.groupBy("fp").agg(F.min(key).alias("first"))
+    found = components(links(classes))
+    return classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("root"))
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the near-duplicates: of each component the row with the smallest id stays, of repeats of it one.
 
-    The texts are dealt once, by id; the semi-join and the choice among rows with one id use that.
+    Ids need not tell rows apart: rows with one id are ordered by a hash of their text, and null ids count as the largest.
+    The texts are dealt once, by id and that hash; the semi-join and the choice among repeats use that.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    kept = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key.alias("_key")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_key"), F.hash(text_col).alias("_tie"))
-    first = F.row_number().over(Window.partitionBy("_key").orderBy("_tie"))
-    return rows.join(kept, "_key", "left_semi").withColumn("_nth", first).where("_nth = 1").select("_row.*")
+    keys = [F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_key"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_tie")]
+    rooted = _rooted(cut(_marked(docs, keys, text_col), "fingerprints"), F.struct("_key", "_tie"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *keys)
+    first = F.row_number().over(Window.partitionBy("_key", "_tie").orderBy("_tie"))
+    return rows.join(kept, ["_key", "_tie"], "left_semi").withColumn("_nth", first).where("_nth = 1").select("_row.*")

@@ -80,6 +80,21 @@ def test_against_brute_force(spark, tmp_path):
         assert (x.n_tokens, x.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
 
 
+def test_null_and_shared_ids_in_near_duplicates(spark):
+    import corpus_pipeline
+    from tessera.llm import simhash
+
+    say = lambda k: " ".join(r.choice("abcdefgh") + str(r.randrange(10**6)) for _ in range(k))
+    one, two, three, four, five, six = (say(200) for _ in range(6))
+    near, sixth = one.upper(), six.upper()
+    assert simhash.fingerprint(one) == simhash.fingerprint(near) and simhash.fingerprint(six) == simhash.fingerprint(sixth)
+    rows = [(1, one), (None, near), (None, two), (None, two), (None, three), (7, four), (7, five), (7, four), (8, five), (9, six), (9, sixth)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(x.doc_id, x.text) for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert len(got) == 6 and {t for _, t in got} - {six, sixth} == {one, two, three, four, five}
+    assert sorted((i for i, _ in got), key=lambda i: i or 99) == [1, 7, 7, 9, None, None]
+
+
 def test_stages_of_nothing(spark):
     import corpus_pipeline
 
