@@ -266,6 +266,7 @@ plan("graph_statistics", """SELECT count(*) AS triples, count(DISTINCT s) AS sub
 SELECT 'n' || n_nationkey AS s, 'type' AS p, 'Nation' AS o FROM nation UNION ALL SELECT 'n' || n_nationkey, 'key', 'k' || n_nationkey FROM nation UNION ALL SELECT 'n' || n_nationkey, 'name', 'x' || n_name FROM nation UNION ALL SELECT 'n' || n_nationkey, 'in', 'r' || n_regionkey FROM nation)""")(
     lambda s, f: temporal.statistics(dataset(s, f).mapping.quads().where(F.col("s").startswith(f"I{BASE}nation/")))
 )
+plan("graph_statistics_all")(lambda s, f: temporal.statistics(dataset(s, f).mapping.quads().distinct()))
 plan("key_statistics", "SELECT avg(n) AS mean, max(n) AS most, sum(n * n) / sum(n) AS weighted FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)")(lambda s, f: temporal.key_statistics(read(s, f, "orders"), "o_custkey"))
 
 
@@ -279,13 +280,18 @@ def nation_quads(spark: SparkSession, folder: str) -> DataFrame:
     return base.unionByName(base.join(region, "s").select("s", "p", "o", F.col("_g").alias("g")))
 
 
-def quad_dataset(spark: SparkSession, folder: str) -> Dataset:
-    return Dataset(spark, nation_quads(spark, folder), prefixes={"": BASE, "rdfs": t.RDFS})
+def all_quads(spark: SparkSession, folder: str) -> DataFrame:
+    """Every mapped table as a set of quads (lines of one key share a subject), with the named graphs of nation_quads."""
+    return tpch(spark, folder).quads().distinct().unionByName(nation_quads(spark, folder).where("g IS NOT NULL"))
 
 
-def on_quads(name: str, text: str, sql: str) -> None:
+def quad_dataset(spark: SparkSession, folder: str, quads: Q = nation_quads) -> Dataset:
+    return Dataset(spark, quads(spark, folder), prefixes={"": BASE, "rdfs": t.RDFS})
+
+
+def on_quads(name: str, text: str, sql: str, quads: Q = nation_quads) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        found = quad_dataset(spark, folder).query(text)
+        found = quad_dataset(spark, folder, quads).query(text)
         if found.quads is not None:
             return found.quads.select(*[t.lexical(F.col(c)).alias(c) for c in "spo"])
         s = found.solutions
@@ -304,12 +310,15 @@ on_quads("construct", "CONSTRUCT { ?r :hasNation ?s ; :label ?name } WHERE { ?s
 on_quads("describe", "DESCRIBE <http://example.org/region/2>", """
   SELECT 'http://example.org/region/2' AS s, unnest(['http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'http://example.org/r_regionkey', 'http://example.org/r_name']) AS p, unnest(['http://example.org/Region', r_regionkey::VARCHAR, r_name]) AS o FROM region WHERE r_regionkey = 2""")
 on_quads("path_star_quads", "SELECT (COUNT(*) AS ?n) WHERE { ?s :n_name ?x . ?s :inRegion* ?y }", "SELECT 2 * count(*) AS n FROM nation")
+on_quads("graph_named_all", "SELECT ?g (COUNT(*) AS ?n) WHERE { GRAPH ?g { ?s :n_name ?name } . ?c :ofNation ?s } GROUP BY ?g", "SELECT 'http://example.org/region/' || n_regionkey AS g, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1", all_quads)
+on_quads("construct_all", "CONSTRUCT { ?c :bought ?p } WHERE { ?l :ofOrder ?o ; :ofPart ?p . ?o :orderedBy ?c }", """
+  SELECT DISTINCT 'http://example.org/customer/' || o_custkey AS s, 'http://example.org/bought' AS p, 'http://example.org/part/' || l_partkey AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey""", all_quads)
 plan("ask", "SELECT true AS answer")(lambda s, f: s.createDataFrame([(quad_dataset(s, f).query("ASK { ?s :n_name 'NATION_2' }").boolean,)], "answer boolean"))
 
 
-def _store(spark: SparkSession, folder: str) -> GraphStore:
+def _store(spark: SparkSession, folder: str, quads: Q = nation_quads) -> GraphStore:
     store = GraphStore(spark)
-    store.insert(nation_quads(spark, folder))
+    store.insert(quads(spark, folder))
     return store
 
 
@@ -320,6 +329,13 @@ def _update(spark: SparkSession, folder: str) -> DataFrame:
     return store.quads().where(F.col("g").isNull() & (F.col("p") == t.iri(BASE + "n_name"))).select(t.lexical(F.col("s")).alias("s"), t.lexical(F.col("o")).alias("o"))
 
 
+@plan("update_modify_all", "SELECT 'http://example.org/orders/' || o_orderkey AS s, lower(o_orderpriority) AS o FROM orders")
+def _update_all(spark: SparkSession, folder: str) -> DataFrame:
+    store = _store(spark, folder, all_quads)
+    store.update("DELETE { ?s :o_orderpriority ?n } INSERT { ?s :o_orderpriority ?l } WHERE { ?s :o_orderpriority ?n BIND(LCASE(?n) AS ?l) }", prefixes={"": BASE})
+    return store.quads().where(F.col("p") == t.iri(BASE + "o_orderpriority")).select(t.lexical(F.col("s")).alias("s"), t.lexical(F.col("o")).alias("o"))
+
+
 @plan("world_diff", "SELECT change, count(*) AS n FROM (SELECT unnest([-1, 1]) AS change FROM nation WHERE n_regionkey = 1) GROUP BY 1")
 def _worlds(spark: SparkSession, folder: str) -> DataFrame:
     store = _store(spark, folder)
@@ -328,7 +344,7 @@ def _worlds(spark: SparkSession, folder: str) -> DataFrame:
     return store.diff("main", "moved").groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
-plan("state_hash")(lambda s, f: temporal.state_hash(nation_quads(s, f)))
+plan("state_hash")(lambda s, f: temporal.state_hash(all_quads(s, f)))
 plan("canonical_nquads", "SELECT '<http://example.org/region/' || r_regionkey || '> <http://example.org/r_name> \"' || r_name || '\" .' AS value FROM region")(
     lambda s, f: rdf.canonical_nquads(nation_quads(s, f).where(F.col("p") == t.iri(BASE + "r_name")))
 )
@@ -348,6 +364,11 @@ plan("rdfs_types", """SELECT 'http://example.org/nation/' || n_nationkey AS s, '
 UNION ALL SELECT 'http://example.org/region/' || n_regionkey, 'http://example.org/Area' FROM (SELECT DISTINCT n_regionkey FROM nation)""")(
     lambda s, f: inference.rdfs(_triples(s, f)).where(F.col("p") == inference.TYPE).select(t.lexical(F.col("s")).alias("s"), t.lexical(F.col("o")).alias("o"))
 )
+_SCHEMA_ALL = f"@prefix : <{BASE}> . @prefix rdfs: <{t.RDFS}> . :Orders rdfs:subClassOf :Document . :orderedBy rdfs:range :Buyer . :ofOrder rdfs:domain :Position ."
+plan("rdfs_types_all", """SELECT 'http://example.org/orders/' || o_orderkey AS s, 'http://example.org/Document' AS o FROM orders UNION ALL
+SELECT DISTINCT 'http://example.org/customer/' || o_custkey, 'http://example.org/Buyer' FROM orders UNION ALL SELECT DISTINCT 'http://example.org/lineitem/' || l_orderkey || '-' || l_linenumber, 'http://example.org/Position' FROM lineitem""")(
+    lambda s, f: inference.rdfs(all_quads(s, f).where("g IS NULL").unionByName(s.createDataFrame(rdf.parse_turtle(_SCHEMA_ALL), rdf.QUADS))).where(F.col("p") == inference.TYPE).select(t.lexical(F.col("s")).alias("s"), t.lexical(F.col("o")).alias("o"))
+)
 plan("owl_rl_inverse", "SELECT 'http://example.org/region/' || n_regionkey AS s, 'http://example.org/nation/' || n_nationkey AS o FROM nation")(
     lambda s, f: inference.owl_rl(_triples(s, f))[0].where(F.col("p") == t.iri(BASE + "holds")).select(t.lexical(F.col("s")).alias("s"), t.lexical(F.col("o")).alias("o"))
 )
@@ -356,10 +377,10 @@ plan("type_expansion", "SELECT count(*) AS n FROM nation")(
 )
 
 
-def shapes(name: str, text: str, sql: str) -> None:
+def shapes(name: str, text: str, sql: str, tables: tuple[str, ...] = ("supplier", "nation", "region")) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         m = tpch(spark, folder)
-        m.tables = {k: v for k, v in m.tables.items() if k in ("supplier", "nation", "region")}
+        m.tables = {k: v for k, v in m.tables.items() if k in tables}
         data = Dataset(spark, m.quads(), prefixes={"": BASE})
         head = f"@prefix : <{BASE}> . @prefix sh: <{t.SH}> . @prefix xsd: <{t.XSD}> .\n"
         return shacl.Validator(data, shacl.Shapes(rdf.parse_turtle(head + text))).report().select(t.lexical(F.col("focus")).alias("focus"), F.col("component").substr(F.lit(len(t.SH) + 1), F.lit(99)).alias("component"))
@@ -373,6 +394,8 @@ shapes("shacl_count", ":S a sh:NodeShape ; sh:targetClass :Supplier ; sh:propert
 shapes("shacl_pattern_datatype", ":S a sh:NodeShape ; sh:targetClass :Supplier ; sh:property [ sh:path :s_name ; sh:pattern '[05]$' ; sh:datatype xsd:string ] , [ sh:path :s_suppkey ; sh:datatype xsd:string ] .", f"SELECT {_S.format('Pattern')} WHERE NOT regexp_matches(s_name, '[05]$') UNION ALL SELECT {_S.format('Datatype')}")
 shapes("shacl_path_class", ":S a sh:NodeShape ; sh:targetClass :Supplier ; sh:property [ sh:path (:supplierNation :inRegion) ; sh:class :Nation ] , [ sh:path (:supplierNation :inRegion :r_name) ; sh:in ('ASIA' 'EUROPE') ] .", f"SELECT {_S.format('Class')} UNION ALL SELECT {_S.format('In')} JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name NOT IN ('ASIA', 'EUROPE')")
 shapes("shacl_logic_closed", ":S a sh:NodeShape ; sh:targetClass :Supplier ; sh:closed true ; sh:ignoredProperties (<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>) ; sh:property [ sh:path :s_suppkey ] , [ sh:path :s_name ] , [ sh:path :supplierNation ] ; sh:or ([ sh:property [ sh:path :s_acctbal ; sh:minInclusive 5000 ] ] [ sh:property [ sh:path :s_suppkey ; sh:maxInclusive 20 ] ]) .", f"SELECT {_S.format('Closed')} UNION ALL SELECT {_S.format('Or')} WHERE s_acctbal < 5000 AND s_suppkey > 20")
+_ALL = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+shapes("shacl_range_all", ":S a sh:NodeShape ; sh:targetClass :Lineitem ; sh:property [ sh:path :l_quantity ; sh:maxInclusive 45 ] .", "SELECT focus, component FROM (SELECT DISTINCT 'http://example.org/lineitem/' || l_orderkey || '-' || l_linenumber AS focus, 'MaxInclusiveConstraintComponent' AS component, l_quantity FROM lineitem WHERE l_quantity > 45)", _ALL)
 
 # JSON and geometry
 plan("jsonata_path", "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")(lambda s, f: read(s, f, "events").select("event_id", jsonata.path_column("k", "props", "bigint").alias("k")))
