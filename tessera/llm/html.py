@@ -26,20 +26,22 @@ BLOCKS = frozenset(
 )
 #: Elements whose content is never main text.
 DROPPED = frozenset("aside audio button canvas datalist dialog footer form head iframe input label map menu nav noscript object option script select style svg template textarea video".split())
-#: Words of class, id and role that mark such an element, whatever its tag.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|alert|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|cookies?|dialog|disqus|footer|"
-    r"masthead|menu|modal|nav|navbar|navigation|navigationbar|newsletter|notices?|pagination|popup|promo|promotion|recommended|related|replies|respond|search|"
-    r"share|sharing|sidebar|skip|social|sponsored?|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Words of a class, id, role or label that name such an element. A name counts only if it is made of these words and of
+#: those that tell a place, a shape or a number: `ad-banner-2` names an advert, `related-work` and `no-sidebar` don't.
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertisements alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies "
+    "dialog disqus footer masthead menu modal nav navbar navigation navigationbar newsletter notice notices pagination popup promo promotion recommended related "
+    "replies respond search share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split()
 )
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|textarea|noscript|template|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<[!?/][^>]*(?:>|\Z)",
-    re.DOTALL | re.IGNORECASE,
+PLACES = frozenset(
+    "area bar block bottom box center container footer form global group header inner item items left link links list main middle outer page panel post posts "
+    "right section site slot small the thread top unit view wrap wrapper".split()
 )
+_OPEN = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_ATTRIBUTES = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
+_RAW = frozenset("script style textarea noscript template svg iframe".split())
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in _RAW}
+_NAME = re.compile(r"[^\s_-]+")
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
 
@@ -57,16 +59,44 @@ class Weights:
 
 
 def tokens(page: str) -> list[tuple[str, str, str]]:
-    """(kind, value, attributes): kind is text, open or close. Scripts, styles, comments and declarations are left out."""
-    out, at = [], 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            out.append(("text", page[at : m.start()], ""))
-        at = m.end()
-        if m["tag"]:
-            out.append(("close" if m["close"] else "open", m["tag"].lower(), m["attributes"] or ""))
-    if at < len(page):
-        out.append(("text", page[at:], ""))
+    """(kind, value, attributes): kind is text, open or close. Scripts, styles, comments and declarations are left out.
+
+    One scan from left to right. What is never closed takes the rest of the page with it, but a tag in whose attributes
+    a quote stays open: then tags end at the next `>` from there on.
+    """
+    out, at, text_from, quoted = [], 0, 0, True
+    last = page.rfind(">")
+    while (i := page.find("<", at)) >= 0:
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            end = len(page) if end < 0 else end + 3
+            found = None
+        elif m := _OPEN.match(page, i + 1):
+            if last < i:  # no tag ends any more: what follows is text
+                break
+            ending = _ATTRIBUTES.match(page, m.end()) if quoted else None
+            if ending is None:
+                quoted = False
+                end = page.find(">", m.end()) + 1
+            else:
+                end = ending.end()
+            found = ("close" if m[1] else "open", m[2].lower(), page[m.end() : end - 1])
+        elif page[i + 1 : i + 2] in ("!", "?", "/"):
+            end = page.find(">", i + 2) + 1 or len(page)
+            found = None
+        else:
+            at = i + 1
+            continue
+        if i > text_from:
+            out.append(("text", page[text_from:i], ""))
+        if found and found[0] == "open" and found[1] in _RAW and not found[2].endswith("/"):
+            closing = _RAW_END[found[1]].search(page, end)
+            end = closing.end() if closing else len(page)
+        elif found:
+            out.append(found)
+        at = text_from = end
+    if text_from < len(page):
+        out.append(("text", page[text_from:], ""))
     return out
 
 
@@ -74,48 +104,77 @@ def extents(parts: list[tuple[str, str, str]]) -> dict[int, int]:
     """For each opening tag the index of what ends its element: its closing tag, an ancestor's, or for p a block."""
     ends: dict[int, int] = {}
     open_: list[int] = []
+    count: dict[str, int] = {}
+
+    def close(upto: str, i: int) -> None:
+        while open_:
+            k = open_.pop()
+            ends[k] = i
+            count[parts[k][1]] -= 1
+            if parts[k][1] == upto:
+                break
+
     for i, (kind, tag, attributes) in enumerate(parts):
         if kind == "open":
             if tag in BLOCKS and any(parts[k][1] == "p" for k in open_[-6:]):
-                while open_:
-                    k = open_.pop()
-                    ends[k] = i
-                    if parts[k][1] == "p":
-                        break
+                close("p", i)
             if tag not in VOID and not attributes.endswith("/"):
                 open_.append(i)
-        elif kind == "close" and any(parts[k][1] == tag for k in reversed(open_)):
-            while open_:
-                k = open_.pop()
-                ends[k] = i
-                if parts[k][1] == tag:
-                    break
+                count[tag] = count.get(tag, 0) + 1
+        elif kind == "close" and count.get(tag):
+            close(tag, i)
     for k in open_:
         ends[k] = len(parts)
     return ends
 
 
+def _names(attributes: str) -> Iterator[str]:
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id", "role", "aria-label"):
+            value = (m[2] or m[3] or m[4] or "").lower()
+            yield from [value] if m[1].lower() == "aria-label" else value.split()
+
+
 def is_marked(attributes: str) -> bool:
+    """Whether an element is hidden, or one of its names says in all its words that it isn't main text."""
     if not attributes:
         return False
     if _HIDDEN.search(attributes):
         return True
-    for m in _ATTRIBUTE.finditer(attributes):
-        if m[1].lower() in ("class", "id", "role", "aria-label") and MARKS.search(m[2] or m[3] or m[4] or ""):
+    for name in _names(attributes):
+        words = _NAME.findall(name)
+        if any(w in MARKS for w in words) and all(w in MARKS or w in PLACES or w.isdigit() for w in words):
             return True
     return False
 
 
 def left_out(parts: list[tuple[str, str, str]], ends: dict[int, int]) -> list[bool]:
-    """Which tokens lie in an element that is dropped. A header counts as one unless it is an article's and has a heading."""
+    """Which tokens lie in an element that is dropped.
+
+    A header counts as one unless it is an article's and has a heading. An element that is dropped for its names alone
+    stays if it holds an article or main, or, on a page without these, more than half of the words outside of dropped tags.
+    """
+    headings, holders, words = [0], [0], [0]
+    depth = 0
+    for i, (kind, value, _) in enumerate(parts):
+        headings.append(headings[-1] + (kind == "open" and value in ("h1", "h2", "h3")))
+        holders.append(holders[-1] + (kind == "open" and value in ("article", "main")))
+        if kind == "open" and value in DROPPED and i in ends and ends[i] < len(parts):
+            depth = max(depth, ends[i])
+        words.append(words[-1] + (len(value.split()) if kind == "text" and i >= depth else 0))
+
+    def holds_much(i: int, end: int) -> bool:
+        return holders[end] > holders[i + 1] or not holders[-1] and 2 * (words[end] - words[i]) > words[-1]
+
     out, i, articles = [False] * len(parts), 0, 0
     while i < len(parts):
         kind, tag, attributes = parts[i]
         if kind == "open" and tag not in ("html", "body", "article", "main"):
-            drop = tag in DROPPED or is_marked(attributes)
-            if tag == "header":
-                inside = parts[i : ends.get(i, i)]
-                drop = drop or not articles or not any(k == "open" and t in ("h1", "h2", "h3") for k, t, _ in inside)
+            drop, end = tag in DROPPED, ends.get(i, i)
+            if tag == "header" and not drop:
+                drop = not articles or headings[end] == headings[i]
+            if not drop and is_marked(attributes):
+                drop = not holds_much(i, end)
             if drop and i in ends:
                 if ends[i] == len(parts) and tag not in DROPPED:
                     end = i + 1  # never closed: only the tag itself
@@ -127,9 +186,9 @@ def left_out(parts: list[tuple[str, str, str]], ends: dict[int, int]) -> list[bo
             if drop:
                 out[i] = True
         elif tag in ("article", "main"):
-            if kind == "open" and tag == "article" and is_marked(attributes) and i in ends:
-                end = ends[i] + 1
-                out[i:end] = [True] * (min(end, len(parts)) - i)
+            if kind == "open" and tag == "article" and i in ends and is_marked(attributes) and not holds_much(i, ends[i]):
+                end = min(ends[i] + 1, len(parts))
+                out[i:end] = [True] * (end - i)
                 i = end
                 continue
             articles += 1 if kind == "open" else -1 if kind == "close" else 0
@@ -201,7 +260,7 @@ def weights_of(counts: list[tuple[str, int, int]]) -> Weights:
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Weights:
-    """Weights from about `sample` pages that mark their article. One row for each kind of tag reaches the driver."""
+    """Weights from about `sample` pages that mark their article. One row for each kind of tag in those pages reaches the driver."""
     n = pages.count()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,8 +270,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sampl
 
     chosen = pages.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) < min(1.0, sample / max(n, 1)) * (1 << 30))
     sums = chosen.select(F.col(html_col).alias("_html")).mapInArrow(thrifty(counted), "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"))
-    rows = sums.orderBy(F.desc(F.col("i") + F.col("o")), "kind").limit(1000).collect()
-    return weights_of([(r["kind"], r["i"], r["o"]) for r in rows])
+    return weights_of([(r["kind"], r["i"], r["o"]) for r in sums.orderBy("kind").collect()])
 
 
 def main_text(pages: DataFrame, weights: Weights, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

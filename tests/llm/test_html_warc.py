@@ -109,7 +109,7 @@ def test_files_are_plain_warc(spark, tmp_path):
     assert raw.startswith(b"WARC/1.1\r\n") and raw.endswith(b"\r\n\r\n") and raw.count(b"WARC-Type: continuation") >= 2
     found = [x for f in files for x in warc.parse(f.read_bytes())]
     assert b"".join(b for _, b in found).endswith(b"0\r\n\r\n")
-    assert found[-1][0]["WARC-Segment-Total-Length"] == str(sum(len(b) for _, b in found))
+    assert found[-1][0]["warc-segment-total-length"] == str(sum(len(b) for _, b in found))
 
 
 def test_a_lost_segment_is_noticed(spark, tmp_path):
@@ -118,3 +118,77 @@ def test_a_lost_segment_is_noticed(spark, tmp_path):
     (tmp_path / "x" / "a.gz").write_bytes(gzip.compress(("\r\n\r\n".join(rows[:-1]) + "\r\n\r\n").encode()))
     with pytest.raises(Exception, match="lacks a segment"):
         warc.read(spark, f"file://{tmp_path}/x").collect()
+
+
+def _record(kind, name, block, *extra):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", *extra, f"content-length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("form", ["records", "whole", "plain"])
+def test_ordinary_archives_are_read(spark, tmp_path, form):
+    body = b"<p>hello</p>"
+    parts = [
+        _record("warcinfo", "urn:uuid:0", b"software: x\r\n"),
+        _record("request", "urn:uuid:1", b"GET / HTTP/1.1\r\n\r\n"),
+        _record("response", "urn:uuid:2", b"HTTP/1.1 200 OK\r\nContent-Length: 12\r\n\r\n" + body),
+        _record("response", "urn:uuid:3", b"HTTP/1.1 200 OK\r\ntransfer-encoding: Chunked\r\n\r\nc\r\n" + body + b"\r\n0\r\n\r\n"),
+        _record("revisit", "urn:uuid:4", b"HTTP/1.1 200 OK\r\n\r\n", "WARC-Refers-To: <urn:uuid:2>", "WARC-Payload-Digest: sha1:X"),
+    ]
+    raw = b"".join(map(gzip.compress, parts)) if form == "records" else gzip.compress(b"".join(parts)) if form == "whole" else b"".join(parts)
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / ("a.warc" if form == "plain" else "a.warc.gz")).write_bytes(raw)
+    got = sorted((x.record_type, x.payload_bytes or 0) for x in warc.read(spark, f"file://{tmp_path}/w").collect())
+    assert got == [("response", 12), ("response", 12), ("revisit", 0)]
+    with pytest.raises(ValueError):
+        list(warc.parse(gzip.compress(b"".join(parts))[:-20]))
+
+
+def test_references_name_records_that_are_there(spark, tmp_path):
+    rows = [(k % 7 if k % 5 else None, f"u{k}", ["", "same", f"own {k}"][k % 3]) for k in range(60)]
+    path = f"{tmp_path}/w"
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), "file://" + path)
+    found = [f for file in (tmp_path / "w").iterdir() if file.name.endswith(".gz") for f, _ in warc.parse(file.read_bytes())]
+    names = [f["warc-record-id"] for f in found]
+    assert len(set(names)) == len(names) == 60
+    named = {f["warc-refers-to"] for f in found if f["warc-type"] == "revisit"}
+    assert named and named <= {f["warc-record-id"] for f in found if f["warc-type"] == "response"}
+
+
+def test_many_copies_of_one_payload(spark):
+    df = spark.range(3000).selectExpr("id AS page_id", "'u' AS url", "IF(id % 3 = 0, CAST(NULL AS STRING), 'x') AS html")
+    got = warc.round_trip(df).groupBy("record_type", "payload_bytes").count().collect()
+    assert sorted(map(tuple, got)) == [("response", 0, 1), ("response", 1, 1), ("revisit", 0, 999), ("revisit", 1, 1999)]
+
+
+@pytest.mark.parametrize("piece", ["<script ", "<a ", "<a href=\"", "<!-- ", "<div>", "<div></p></b>", "<header>", "</", "<style>x</style", "<p>", "<div class='ad'>"])
+def test_broken_pages_take_linear_time(piece):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        html.extract("<p>first words here</p>" + piece * n, html.Weights(tags={"p": -0.1}))
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(60_000) < 4
+
+
+def test_long_pages_are_read_whole():
+    paragraphs = [say(60) for _ in range(2000)]
+    text = "<body><nav><a>x</a></nav><article>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</article><footer>f</footer></body>"
+    assert len(text) > 100_000
+    assert html.extract(text, html.Weights(tags={"p": -0.1})) == "\n\n".join(map(plain, paragraphs))
+
+
+def test_names_that_only_hold_a_word_of_the_list_drop_nothing():
+    body = "<p>" + "one two three " * 20 + "</p>"
+    text = ("one two three " * 20).strip()
+    w = html.Weights(tags={"p": -0.1, "div": -0.1, "nav": -0.1})
+    for attributes in ("id=related-work", "class=search-engines-history", "class='content no-sidebar'", "class='post-with-comments'", "class='has-sidebar'"):
+        assert html.extract(f"<body><div {attributes}>{body}</div></body>", w) == text, attributes
+        assert html.extract(f"<body><p>{'start words ' * 9}</p><div {attributes}>{body}</div></body>", w).endswith(text)
+    # even an element with such a name stays if it holds most of the page or its article
+    assert html.extract(f"<body><div class=widget><article>{body}</article></div></body>", w) == text
+    for attributes in ("class='ad-banner'", "id=cookie-notice", "class='x sidebar-left'", "class=comment-list", "role=navigation"):
+        assert html.extract(f"<body>{body}<div {attributes}><p>buy this now</p></div></body>", w) == text, attributes
