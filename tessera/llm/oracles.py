@@ -26,7 +26,8 @@ SELECT doc_id, size, source_size, target,
 FROM c
 """
 
-SQL["op5_quality_rules"] = r"""
+#: Measurements and failure bits of every document.
+_LEDGER = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
@@ -37,15 +38,32 @@ m AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words, (length(t) - len(regexp_extract_all(t, '[\x20\x09-\x0D]')))::BIGINT AS word_chars,
          len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(q.n, 0)::BIGINT AS n_repeat_words,
-         len(regexp_extract_all(t, '[A-Za-z]')) AS n_letters, len(regexp_extract_all(t, '[A-Z]')) AS n_upper
-  FROM w LEFT JOIN q USING (r))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 20 * n_words
-            OR 100 * n_dup_lines > 50 * n_lines OR word_chars < 2 * n_words OR word_chars > 12 * n_words
-            OR 100 * n_upper > 60 * n_letters) AS kept
-FROM m
+         len(regexp_extract_all(t, '[A-Za-z]'))::BIGINT AS n_letters, len(regexp_extract_all(t, '[A-Z]'))::BIGINT AS n_upper
+  FROM w LEFT JOIN q USING (r)),
+l AS (
+  SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (100 * n_symbols > 20 * n_words)::BIGINT
+         + 8 * (100 * n_dup_lines > 50 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words OR word_chars > 12 * n_words)::BIGINT
+         + 32 * (100 * n_upper > 60 * n_letters)::BIGINT)::BIGINT AS failed FROM m)
+"""
+
+SQL["op5_quality_rules"] = (
+    _LEDGER
+    + """
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_letters, n_upper,
+       failed & 3 <> 0 AS base_failed, failed & 63 = 0 AS kept, failed, failed & 15 = 0 AS kept_v1, failed & 63 = 0 AS kept_v2
+FROM l
+"""
+)
+
+SQL["quality_ablations"] = (
+    _LEDGER
+    + """
+, rules(bit, rule) AS (VALUES (1, 'few_words'), (2, 'repeated_words'), (4, 'symbols'), (8, 'repeated_lines'), (16, 'short_or_long_words'), (32, 'shouting')),
+policies(policy, mask) AS (VALUES ('v1', 15), ('v2', 63))
+SELECT policy, rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed & mask = bit) AS n_only
+FROM policies JOIN rules ON mask & bit <> 0 CROSS JOIN l GROUP BY policy, rule
 """
+)
 
 SQL["op8_warc"] = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),

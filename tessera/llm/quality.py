@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]"
 _SYMBOL = r"[#*$%&|<>]"
@@ -77,6 +79,11 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     return measured.withColumn("failed", bits)
 
 
+def stored_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger written to the shared folder and read again: policies and ablations read its few numbers, never the texts."""
+    return cut(ledger(docs, id_col, text_col, rules), "quality-ledger")
+
+
 def apply_policy(entries: DataFrame, mask: int) -> DataFrame:
     """The ledger with `kept`: no rule of the policy's mask failed."""
     return entries.withColumn("kept", F.col("failed").bitwiseAND(F.lit(mask).cast("long")) == 0)

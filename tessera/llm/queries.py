@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +37,21 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), quality.POLICIES[quality.POLICY])
+    """The stored ledger under both versions of the policy; `kept` is the current one's verdict."""
+    entries = quality.stored_ledger(table(spark, sf_dir, "documents"))
+    for version, mask in quality.POLICIES.items():
+        entries = quality.apply_policy(entries, mask).withColumnRenamed("kept", f"kept_{version}")
     base_failed = F.col("failed").bitwiseAND(F.lit(quality.BASE).cast("long")) != 0
-    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (F.col("kept") & ~base_failed).alias("kept"))
+    verdict = (F.col(f"kept_{quality.POLICY}") & ~base_failed).alias("kept")
+    measured = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper")
+    return entries.select("doc_id", *measured, base_failed.alias("base_failed"), verdict, "failed", *[f"kept_{v}" for v in quality.POLICIES])
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each version of the policy and each of its rules, how many documents fail it, and how many only it drops."""
+    entries = quality.stored_ledger(table(spark, sf_dir, "documents"))
+    parts = [quality.ablations(entries, mask).select(F.lit(version).alias("policy"), "rule", "n_failed", "n_only") for version, mask in quality.POLICIES.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +79,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix, op2_token_counts, op3_substring_dedup, op4_main_text, op5_quality_rules, op6_media, op7_byte_bpe, op8_warc, op9_language, op10_simhash)}
+    return {f.__name__: f for f in (op1_mix, op2_token_counts, op3_substring_dedup, op4_main_text, op5_quality_rules, op6_media, op7_byte_bpe, op8_warc, op9_language, op10_simhash, quality_ablations)}
 
 
 def oracle_sql() -> dict[str, str]:
