@@ -26,9 +26,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where it is unset (tests) a local one is made."""
+    """The folder named by spark.checkpoint.dir; only where it is unset and the master is local (tests) a local one is made."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         found = _OWN.get(app) or _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tessera-"))
     return found.rstrip("/")
@@ -56,25 +58,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in as many partitions as there are cores, if it has fewer files: one small file would keep one core busy.
+    """df in as many partitions as there are cores, if it has fewer files: a file of one row group keeps one core busy.
 
-    Inputs of more files than cores, all large ones, are left as they are.
+    Inputs of more files than cores, all large ones, are left as they are. Only the number of files is asked for; their
+    names stay in the JVM, which has them for its plan.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df
+
+
+#: Key columns of a row, see row_key, and their types.
+KEY = ("_id", "_tie", "_tie2")
+KEY_TYPES = "_id long, _tie long, _tie2 long"
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
-    """Two key columns of a row: its id (null: the largest long) and a hash of its text.
+    """The key columns of a row: its id (null: the largest long) and a digest of its text.
 
-    Rows that agree in both are copies of one row, so whatever is computed for one holds for the other.
+    Rows of one id are told apart by 64 bits of their text, rows without an id, of which there may be any number, by 128.
+    Rows that agree in all three are copies of one row, so whatever is computed for one holds for the other.
     """
+    text = F.coalesce(F.col(text_col), F.lit(""))
     return [
         F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_id"),
-        F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("_tie"),
+        F.xxhash64(text).alias("_tie"),
+        F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(1), text)).otherwise(F.lit(0).cast("long")).alias("_tie2"),
     ]
 
 
+def same_row(prefix: str) -> Column:
+    """Whether the key columns agree with those whose names have the prefix in place of the underscore."""
+    return (F.col("_id") == F.col(f"{prefix}id")) & (F.col("_tie") == F.col(f"{prefix}tie")) & (F.col("_tie2") == F.col(f"{prefix}tie2"))
+
+
+def renamed_key(prefix: str) -> list[Column]:
+    return [F.col(k).alias(prefix + k[1:]) for k in KEY]
+
+
 def thrifty(function):
     """A function over batches that gives memory it no longer uses back to the system when a task ends.
 
@@ -138,34 +158,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
+#: Masks for the first n bytes of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    known = _POWERS.get(base)
-    if known is None or len(known[0]) < n:
-        size = max(n, 1 << 18)
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(size, b, np.uint64)
-            steps[0] = 1
-            both.append(np.cumprod(steps, dtype=np.uint64))
-        known = _POWERS[base] = (both[0], both[1])
-    return known
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of the bytes of each word, the same wherever the word stands.
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word, the same wherever the word stands; works through a quarter MB of bytes at a time."""
+    A word's lanes of eight bytes are each mixed with their number and the seed, and the sums are mixed once more.
+    """
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    eight = np.ndarray((len(data),), "<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
     out = np.empty(len(starts), np.uint64)
-    first = 0
-    while first < len(starts):
-        low = starts[first]
-        last = max(first + 1, int(np.searchsorted(ends, low + (1 << 18), "right")))
-        part = data[low : ends[last - 1]]
-        power, inverse = _powers(base, len(part) + 1)
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=sums[1:])
-        s, e = starts[first:last] - low, ends[first:last] - low
-        out[first:last] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
-        first = last
+    for low in range(0, len(starts), 1 << 16):
+        s, e = starts[low : low + (1 << 16)], ends[low : low + (1 << 16)]
+        lanes = (e - s + 7) >> 3
+        first = np.cumsum(lanes) - lanes
+        nth = np.arange(int(lanes.sum())) - np.repeat(first, lanes)
+        at = np.repeat(s, lanes) + 8 * nth
+        lane = eight[at] & _FIRST[np.minimum(np.repeat(e, lanes) - at, 8)]
+        lane = mix(lane ^ (np.uint64(seed) + (nth.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
+        out[low : low + (1 << 16)] = mix(np.add.reduceat(lane, first) + (e - s).astype(np.uint64))
     return out

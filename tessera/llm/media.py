@@ -11,14 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, flat, fresh_path, mix, row_key, thrifty
+from .common import KEY, KEY_TYPES, blocks, cut, flat, fresh_path, mix, renamed_key, row_key, same_row, thrifty
 
 UNIT = 576
 SIDE = 24
 #: Chunk sizes in bytes. A cut is possible where the last AVERAGE_BITS bits of the rolling hash are zero.
 SMALLEST, LARGEST, AVERAGE_BITS = 512, 16_384, 11
-#: Bytes of the rows that mark shared chunks up to which they are broadcast; beyond, the payloads are shuffled to them.
-BROADCAST_BYTES = 32 << 20
 
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -82,41 +80,40 @@ def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     """Writes the media of all rows to `path`: for each row the ordered chunk list, and the chunks that it owns.
 
     Digests of all chunks meet in joins first: of the places of a chunk that occurs more than once the first (smallest
-    id) owns it, the others only name it. So only digests are shuffled; payloads go straight from the scan to the store,
-    unless the marks of shared chunks have outgrown a broadcast.
+    id) owns it, the others only name it. Then the marks of shared chunks are joined to the texts by row, which for this
+    are shuffled once, compressed.
     """
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in _texts(batch, "_text"):
                 found = [[digest(c) for c in chunks(t)[1]] for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.binary()))], names=["_id", "_tie", "digests"])
-
-    keys = row_key(id_col, text_col)
-    listed = docs.select(*keys, F.col(text_col).alias("_text")).mapInArrow(thrifty(digests), "_id long, _tie int, digests array<binary>")
-    places = cut(listed.select("_id", "_tie", F.posexplode("digests").alias("seq", "digest")), "media-digests")
-    shared = places.groupBy("digest").agg(F.min(F.struct("_id", "_tie", "seq")).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("_d"), "owner")
-    marks = cut(
-        places.join(shared, F.col("digest") == F.col("_d"))
-        .groupBy(F.col("_id").alias("_mid"), F.col("_tie").alias("_mtie"))
-        .agg(
-            F.collect_set(F.when(F.struct("_id", "_tie", "seq") == F.col("owner"), F.col("seq"))).alias("owned"),
-            F.collect_set(F.when(F.struct("_id", "_tie", "seq") != F.col("owner"), F.col("seq"))).alias("named"),
-        ),
-        "media-marks",
-    )
-    n_bytes = marks.agg(F.sum(64 + 4 * (F.size("owned") + F.size("named")))).first()[0] or 0
-    if n_bytes <= BROADCAST_BYTES:
-        marks = F.broadcast(marks)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(KEY)], pa.array(found, pa.list_(pa.binary()))], names=[*KEY, "digests"])
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for part, texts in _texts(batch, "_text"):
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([squeeze(t) for t in texts], pa.binary())], names=[*part.schema.names[:-1], "_packed"])
+
+    keys, text = row_key(id_col, text_col), F.col(text_col).alias("_text")
+    listed = docs.select(*keys, text).mapInArrow(thrifty(digests), f"{KEY_TYPES}, digests array<binary>")
+    places = cut(listed.select(*KEY, F.posexplode("digests").alias("seq", "digest")), "media-digests")
+    place = F.struct(*KEY, "seq")
+    shared = places.groupBy("digest").agg(F.min(place).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("_d"), "owner")
+    marks = places.join(shared, F.col("digest") == F.col("_d")).groupBy(*renamed_key("_m"))
+    marks = marks.agg(F.collect_set(F.when(place == F.col("owner"), F.col("seq"))).alias("owned"), F.collect_set(F.when(place != F.col("owner"), F.col("seq"))).alias("named"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze, expand = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for part in blocks(batch, "_packed"):
                 rows = []
-                for text, owned, named in zip(texts, part.column(2).to_pylist(), part.column(3).to_pylist()):
+                for text, owned, named in zip(map(expand, part.column(4).to_pylist()), part.column(2).to_pylist(), part.column(3).to_pylist()):
                     media, cs = chunks(text)
                     named, owned = set(named or ()), set(owned or ())
                     rows.append(
@@ -133,8 +130,8 @@ def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array([r[n] for r in rows], t) for n, t in fields]], names=["_n", "doc", *[n for n, _ in fields]])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_doc"), F.monotonically_increasing_id().alias("_n"), F.col(text_col).alias("_text"), *keys)
-    rows = rows.join(marks, (F.col("_id") == F.col("_mid")) & (F.col("_tie") == F.col("_mtie")), "left").select("_n", "_doc", "owned", "named", "_text")
+    rows = docs.select(F.col(id_col).alias("_doc"), F.monotonically_increasing_id().alias("_n"), *keys, text)
+    rows = rows.mapInArrow(thrifty(packed), f"_doc {kind}, _n long, {KEY_TYPES}, _packed binary").join(marks.hint("merge"), same_row("_m"), "left").select("_n", "_doc", "owned", "named", "_packed")
     rows.mapInArrow(thrifty(write), f"_n long, doc {kind}, n_bytes long, media_sha256 binary, digests array<binary>, blobs array<binary>, shared array<int>, whole boolean").write.option("compression", "zstd").parquet(path)
 
 
@@ -153,7 +150,7 @@ def read(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     (id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) for each row written.
     Rows that own all their chunks are done where they are read; for the others the chunks that they name are joined
-    by digest and grouped by row, in order.
+    by digest and grouped by row, in order. A chunk that is missing is an error, not a missing row.
     """
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +183,9 @@ def read(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
     places = stored.where("NOT whole").select("_n", "doc", "n_bytes", "media_sha256", F.posexplode(F.arrays_zip("digests", "blobs")).alias("seq", "c"))
     places = places.select("_n", "doc", "n_bytes", "media_sha256", "seq", "c.digests", "c.blobs")
-    named = places.where("blobs IS NULL").drop("blobs").join(sources, F.col("digests") == F.col("_d")).select("_n", "doc", "n_bytes", "media_sha256", "seq", "digests", F.col("_blob").alias("blobs"))
+    named = places.where("blobs IS NULL").drop("blobs").join(sources, F.col("digests") == F.col("_d"), "left")
+    found = F.coalesce("_blob", F.raise_error(F.lit("a chunk that a row names is not in the store")).cast("binary"))
+    named = named.select("_n", "doc", "n_bytes", "media_sha256", "seq", "digests", found.alias("blobs"))
     gathered = (
         places.where("blobs IS NOT NULL")
         .unionByName(named)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, delete_path, flat, fresh_path, mix, row_key, thrifty, word_hashes, word_spans
+from .common import KEY, KEY_TYPES, blocks, cut, delete_path, flat, fresh_path, mix, renamed_key, row_key, same_row, thrifty, word_hashes, word_spans
 
 #: Words of a window; every window whose words stand earlier too is removed.
 WINDOW = 20
@@ -22,7 +22,8 @@ BATCHES = 2
 #: Runs of an index from which on they are compacted to one.
 FAN_IN = 4
 
-_BASES = (0x9E6C63D0676A9A99, 0xC2B2AE3D27D4EB4F)
+#: Seeds of the two hashes of a word, and steps that bind a word to its place.
+_SEEDS = (0x9E6C63D0676A9A99, 0xC2B2AE3D27D4EB4F)
 _STEPS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 
 
@@ -71,7 +72,7 @@ class _Block:
         self.starts, self.ends, self.first = word_spans(data, at)
 
     def hashes(self, which: int) -> np.ndarray:
-        return word_hashes(self.data, self.starts, self.ends, _BASES[which])
+        return word_hashes(self.data, self.starts, self.ends, _SEEDS[which])
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """(text, first word) of all windows, the word counted over the block."""
@@ -80,7 +81,7 @@ class _Block:
         return text, np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n) + self.first[:-1][text]
 
 
-_POSTING = "a long, c long, _id long, _tie int, start int, n int, sure boolean"
+_POSTING = f"a long, c long, {KEY_TYPES}, start int, n int, sure boolean"
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,8 +95,8 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     for batch in batches:
         for part in blocks(batch, "_text"):
-            ids, ties = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
-            block = _Block(*flat(part.column(2)))
+            row = [part.column(k).to_numpy(zero_copy_only=False) for k in range(len(KEY))]
+            block = _Block(*flat(part.column(len(KEY))))
             text, word = block.windows()
             if not len(word):
                 continue
@@ -119,20 +120,25 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.cumsum(two * power[: len(two)], out=sums[1:])
             c = mix((sums[at + n + WINDOW - 1] - sums[at]) * inverse[at] + n.astype(np.uint64))
             start = at - block.first[:-1][doc]
-            order, sure = _settled((a, c), (ids[doc], ties[doc], start))
+            order, sure = _settled((a, c), (*[k[doc] for k in row], start))
             a, c, doc, start, n = a[order], c[order], doc[order], start[order], n[order]
-            a[sure] = mix(a[sure] + ids[doc[sure]].astype(np.uint64) * np.uint64(31) + start[sure].astype(np.uint64))
-            columns = (a.view(np.int64), c.view(np.int64), ids[doc], ties[doc], start.astype(np.int32), n.astype(np.int32), sure)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "c", "_id", "_tie", "start", "n", "sure"])
+            a[sure] = _own_hash(a[sure], row, doc[sure], start[sure])
+            columns = (a.view(np.int64), c.view(np.int64), *[k[doc] for k in row], start.astype(np.int32), n.astype(np.int32), sure)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "c", *KEY, "start", "n", "sure"])
+
+
+def _own_hash(of: np.ndarray, row: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A hash that repeats of one thing don't share, so that they are dealt evenly."""
+    return mix(of + row[0][doc].astype(np.uint64) * np.uint64(31) + row[1][doc].astype(np.uint64) + start.astype(np.uint64))
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """128-bit hashes (w, v) of the windows in the ranges given for each row; repeats within a block are `sure`."""
     for batch in batches:
         for part in blocks(batch, "_text"):
-            ids, ties = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
-            block = _Block(*flat(part.column(2)))
-            spans, at = part.column(3), part.column(3).offsets.to_numpy()
+            row = [part.column(k).to_numpy(zero_copy_only=False) for k in range(len(KEY))]
+            block = _Block(*flat(part.column(len(KEY))))
+            spans, at = part.column(len(KEY) + 1), part.column(len(KEY) + 1).offsets.to_numpy()
             fields = spans.values
             start, n = fields.field(0).to_numpy(zero_copy_only=False)[at[0] : at[-1]], fields.field(1).to_numpy(zero_copy_only=False)[at[0] : at[-1]]
             if not len(n):
@@ -142,11 +148,11 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = first + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
             word = block.first[:-1][doc] + start
             w, v = _rolled(block.hashes(0), WINDOW, _STEPS[1])[word], _rolled(block.hashes(1), WINDOW, _STEPS[0])[word]
-            order, sure = _settled((w, v), (ids[doc], ties[doc], start))
+            order, sure = _settled((w, v), (*[k[doc] for k in row], start))
             w, v, doc, start = w[order], v[order], doc[order], start[order]
-            w[sure] = mix(w[sure] + ids[doc[sure]].astype(np.uint64) * np.uint64(31) + start[sure].astype(np.uint64))
-            columns = (w.view(np.int64), v.view(np.int64), ids[doc], ties[doc], start.astype(np.int32), sure)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["w", "v", "_id", "_tie", "start", "sure"])
+            w[sure] = _own_hash(w[sure], row, doc[sure], start[sure])
+            columns = (w.view(np.int64), v.view(np.int64), *[k[doc] for k in row], start.astype(np.int32), sure)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["w", "v", *KEY, "start", "sure"])
 
 
 class WindowIndex:
@@ -201,30 +207,30 @@ class WindowIndex:
 
     def suspects(self) -> DataFrame:
         """Postings that are repeats, and first ones whose anchor has other postings too, from one merge of all runs."""
-        here = Window.partitionBy("a", "c", "sure").orderBy("_id", "_tie", "start")
+        here = Window.partitionBy("a", "c", "sure").orderBy(*KEY, "start")
         merged = self.postings().withColumn("_nth", F.rank().over(here))
         all_of = Window.partitionBy("a")
         merged = merged.withColumn("_low", F.min("c").over(all_of)).withColumn("_high", F.max("c").over(all_of))
         repeat = F.col("sure") | (F.col("_nth") > 1)
-        return merged.where(repeat | (F.col("_low") != F.col("_high"))).select("_id", "_tie", "start", "n", repeat.alias("repeat"))
+        return merged.where(repeat | (F.col("_low") != F.col("_high"))).select(*KEY, "start", "n", repeat.alias("repeat"))
 
     def repeats(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(_id, _tie, spans): windows of the rows of docs, which must hold all that was added, that occur earlier.
+        """(key columns, spans): windows of the rows of docs, which must hold all that was added, that occur earlier.
 
         Whole postings that repeat an earlier one are settled by the merge. First postings whose anchor occurs with
         other words around it are verified window by window: their texts are fetched and 128-bit hashes of the windows
         compared.
         """
         suspects = cut(self.suspects(), "suspects")
-        open_ = suspects.where("NOT repeat").groupBy("_id", "_tie").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+        open_ = suspects.where("NOT repeat").groupBy(*KEY).agg(F.collect_set(F.struct("start", "n")).alias("spans"))
         texts = _keyed(docs, id_col, text_col)
-        runs = open_.select(F.col("_id").alias("_oid"), F.col("_tie").alias("_otie"), "spans")
+        runs = open_.select(*renamed_key("_o"), "spans")
         # with all columns, so that dedup's own join with the texts uses the same exchange again
-        wanted = texts.join(runs, (F.col("_id") == F.col("_oid")) & (F.col("_tie") == F.col("_otie"))).select("_id", "_tie", "_text", "spans", "_rest")
-        windows = wanted.mapInArrow(thrifty(_window_rows), "w long, v long, _id long, _tie int, start int, sure boolean")
-        nth = F.rank().over(Window.partitionBy("w", "v", "sure").orderBy("_id", "_tie", "start"))
-        again = windows.withColumn("_nth", nth).where("sure OR _nth > 1").select("_id", "_tie", "start", F.lit(1).alias("n"))
-        return suspects.where("repeat").select("_id", "_tie", "start", "n").unionByName(again).groupBy("_id", "_tie").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+        wanted = texts.join(runs, same_row("_o")).select(*KEY, "_text", "spans", "_rest")
+        windows = wanted.mapInArrow(thrifty(_window_rows), f"w long, v long, {KEY_TYPES}, start int, sure boolean")
+        nth = F.rank().over(Window.partitionBy("w", "v", "sure").orderBy(*KEY, "start"))
+        again = windows.withColumn("_nth", nth).where("sure OR _nth > 1").select(*KEY, "start", F.lit(1).alias("n"))
+        return suspects.where("repeat").select(*KEY, "start", "n").unionByName(again).groupBy(*KEY).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -276,8 +282,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     for low, high in zip(bounds, bounds[1:]):
         part = docs if low is None else docs.where(id_ > low)
         index.add(part if high is None else part.where(id_ <= high), id_col, text_col)
-    spans = index.repeats(docs, id_col, text_col).select(F.col("_id").alias("_sid"), F.col("_tie").alias("_stie"), "spans")
-    joined = _keyed(docs, id_col, text_col).join(spans, (F.col("_id") == F.col("_sid")) & (F.col("_tie") == F.col("_stie")), "left").select("_rest", "_text", "spans")
+    spans = index.repeats(docs, id_col, text_col).select(*renamed_key("_s"), "spans")
+    joined = _keyed(docs, id_col, text_col).join(spans, same_row("_s"), "left").select("_rest", "_text", "spans")
 
     def clean(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:

@@ -240,3 +240,52 @@ def test_predictions_do_not_depend_on_held_out_labels(spark):
     changed = spark.createDataFrame([(i, t, "zz" if zlib.crc32(str(i).encode()) % 4 == 2 else x) for i, t, x in rows], df.schema)
     a, b = langid.fit(df), langid.fit(changed)
     assert a.languages == b.languages and np.array_equal(a.centroids, b.centroids)
+
+
+def _equal_32_bit_hashes(spark):
+    """Two texts of 26 different words whose 32-bit row hashes agree."""
+    from pyspark.sql import functions as F
+
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(25)), lambda k: F.concat(F.lit("w"), F.hash(F.col("id"), k).cast("string"))), " ")
+    texts = spark.range(400_000).select(text.alias("text")).withColumn("h", F.hash("text"))
+    pair = texts.groupBy("h").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").orderBy("h").first()
+    assert pair is not None
+    return pair.a, pair.b
+
+
+def test_texts_without_ids_whose_short_hashes_agree(spark):
+    a, b = _equal_32_bit_hashes(spark)
+    rows = [(1, "x y " + b.split(" ", 1)[1]), (None, a), (None, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.text: x.n_removed for x in substring.dedup(df).collect() if x._rest.doc_id is None}
+    assert got == {a: 0, b.split(" ", 1)[0] + " ": 25}
+    found = sorted(x.payload_sha256 for x in media.media_features(df).collect())
+    pad = [(t.encode() + b"\xff" * (-len(t.encode()) % 576)) for _, t in rows]
+    assert found == sorted(hashlib.sha256(p).hexdigest() for p in pad)
+
+
+def test_a_missing_chunk_is_an_error(spark, tmp_path):
+    big = " ".join("q%d" % i for i in range(4000))
+    path = f"file://{tmp_path}/store"
+    media.store(spark.createDataFrame([(1, big), (2, big + " end")], "doc_id long, text string"), path)
+    stored = spark.read.parquet(path)
+    assert media.read(stored).count() == 2
+    with pytest.raises(Exception, match="not in the store"):
+        media.read(stored.where("doc = 2")).collect()
+
+
+def test_word_hashes_tell_mirrored_letters_apart():
+    """Thue-Morse words and their mirror images hash alike under any polynomial modulo a power of two."""
+    from tessera.llm.common import word_hashes
+
+    bits = np.array([bin(i).count("1") & 1 for i in range(4096)], np.uint8)
+    words = np.concatenate([bits + 97, 98 - bits])
+    for seed in substring._SEEDS:
+        one, two = word_hashes(words, np.array([0, 4096]), np.array([4096, 8192]), seed)
+        assert one != two
+    r_ = random.Random(1)
+    raw = [bytes(r_.randrange(97, 100) for _ in range(r_.randrange(1, 30))) for _ in range(3000)]
+    joined = np.frombuffer(b" ".join(raw), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in raw]) - 1
+    found = word_hashes(joined, ends - [len(w) for w in raw], ends, 7).tolist()
+    assert len(set(found)) == len(set(raw)) == len(set(zip(raw, found)))
