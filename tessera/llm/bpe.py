@@ -5,9 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,37 +19,50 @@ from .common import thrifty
 CACHE_WORDS = 100_000
 #: Longer segments are encoded without being remembered.
 CACHE_WORD_CHARS = 64
+#: Neighbours whose fit a worker remembers.
+CACHE_FITS = 1_000_000
+#: Characters of text whose new words are encoded together.
+BLOCK_CHARS = 1 << 20
+
+#: Fixed value: the one pattern whose matches are known to end in front of a space that follows a character other than
+#: white space, and between letters and the marks of _ENDS. Texts under any other pattern are split by the pattern alone.
+KNOWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _CUT = re.compile(r"(?<=\S) ")
+_SPACE_BEHIND_SPACE = re.compile(r"^ |\s ").search
 _ENDS = frozenset(".,;:!?")
-_EMPTY = hashlib.sha256().hexdigest()
 _LOADED: dict[tuple[str, str], "ByteBpe"] = {}
+#: No UTF-8 text has this byte, so it parts pieces that are looked at together.
+_PART, _PART_LETTER = "\udcff", "\xff"
+_BITS = 24
+_START = (1 << _BITS) - 1
 
 
-class _Memo(dict):
-    """segment -> (ids as text, count, decoded bytes) in two generations: what is met again outlives the older one."""
+class _Fits(dict):
+    """(last token, token) -> the longest token that begins like the second and is compatible with the first; -1 if there is none."""
 
-    def __init__(self, make):
+    def __init__(self, compatible, shorter):
         super().__init__()
-        self.make, self.older = make, {}
+        self.compatible, self.shorter = compatible, shorter
 
-    def __missing__(self, segment: str):
-        found = self.older.get(segment) or self.make(segment)
-        if len(segment) <= CACHE_WORD_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.older = dict(self)
-                self.clear()
-            self[segment] = found
-        return found
+    def __missing__(self, key: int) -> int:
+        last, token = key >> _BITS, key & _START
+        while token >= 0 and last != _START and not self.compatible(last, token):
+            token = self.shorter(token, -1)
+        if len(self) >= CACHE_FITS:
+            self.clear()
+        self[key] = token
+        return token
 
 
 class ByteBpe:
     """Encodes and decodes by merge ranks.
 
     Bytes stand as Latin-1 characters in the automaton. A sequence of tokens is the result of the merges exactly if
-    every two neighbours are compatible: merging the bytes of both gives these two tokens again. So a piece is covered
-    from the left by longest matches; where the next token doesn't fit its neighbour, the next shorter one is tried,
-    and if none is left, the position is marked as dead and the last token taken back.
+    every two neighbours are compatible: merging the bytes of both gives these two tokens again. So the automaton runs
+    over a piece once and gives its longest matches from the left; where one doesn't fit its neighbour, the next shorter
+    token is taken and the automaton goes on behind it, and if none is left, the position is marked as dead and the
+    last token taken back.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
@@ -58,18 +71,17 @@ class ByteBpe:
 
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.text_of = {rank: str(rank) for rank in ranks.values()}
+        self.text_of = {rank: f" {rank}" for rank in ranks.values()}
         self.split = regex.compile(pattern).findall
         self.automaton = ahocorasick.Automaton()
         reachable = {}
         for token, rank in ranks.items():
             if self.merge(token) == [rank]:
                 reachable[token] = rank
-                self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
+                self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
-        self.by_letters = {token.decode("latin-1"): rank for token, rank in reachable.items()}
+        self.whole = {token.decode("latin-1"): rank for token, rank in ranks.items()}
         self.size_of = {rank: len(token) for token, rank in reachable.items()}
-        self.most = max(map(len, reachable))
         self.shorter: dict[int, int] = {}
         for token, rank in reachable.items():
             for n in range(len(token) - 1, 0, -1):
@@ -77,10 +89,23 @@ class ByteBpe:
                     self.shorter[rank] = reachable[token[:n]]
                     break
         self.history = lru_cache(1 << 13)(self._history)
-        self.compatible = lru_cache(300_000)(self._compatible)
-        self.memo = _Memo(self._segment)
-        self.spaced = _Memo(lambda word: self._segment(" " + word))
-        self.space_behind_space = re.compile(r"^ |\s ").search
+        self.fits = _Fits(self.compatible, self.shorter.get)
+        #: segment -> (ids as text, decoded bytes); spaced: the same for a space and the word that is the key
+        self.memo: dict[str, tuple[str, bytes]] = {}
+        self.spaced: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
+        self.older_spaced: dict[str, tuple[str, bytes]] = {}
+        self.known = pattern == KNOWN_PATTERN
+        self.odd = self._odd_letters(regex) if self.known else set()
+
+    @staticmethod
+    def _odd_letters(regex) -> set[str]:
+        """Characters that str.isalpha and the pattern's letter class tell apart (versions of Unicode differ)."""
+        every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+        return set(regex.findall(r"\p{L}", every)) ^ {c for c in every if c.isalpha()}
+
+    def _letters(self, word: str) -> bool:
+        return word.isalpha() and (word.isascii() or self.odd.isdisjoint(word))
 
     @staticmethod
     def load(path: str, pattern: str) -> "ByteBpe":
@@ -113,7 +138,7 @@ class ByteBpe:
             out.append((r, parts[0], parts[-1]))
         return out
 
-    def _compatible(self, a: int, b: int) -> bool:
+    def compatible(self, a: int, b: int) -> bool:
         """Whether merging the bytes of both gives the two again.
 
         The merges inside each go on as they would alone, lowest rank first, unless the parts that meet at the seam are
@@ -134,47 +159,48 @@ class ByteBpe:
             else:
                 j += 1
 
-    def encode_piece(self, piece: bytes) -> list[int]:
-        """The ids of one match of the pattern."""
-        rank = self.ranks.get(piece)
+    def encode_letters(self, letters: str) -> list[int]:
+        """The ids of one match of the pattern, given as the Latin-1 characters of its bytes."""
+        rank = self.whole.get(letters)
         if rank is not None:
             return [rank]
-        letters, end_of, most = piece.decode("latin-1"), len(piece), self.most
-        reach, token_of, shorter, compatible, size_of = self.automaton.longest_prefix, self.by_letters.get, self.shorter.get, self.compatible, self.size_of
+        longest, fits, shorter, size_of = self.automaton.iter_long, self.fits, self.shorter.get, self.size_of
         dead: set[int] = set()
         taken: list[int] = []
-        at, last, back = 0, None, None
-        while at < end_of:
-            if back is None:
-                # the longest token from here: the automaton follows its trie as far as it goes, then back to a token
-                rest = letters[at : at + most]
-                n = reach(rest)
-                token = token_of(rest[:n])
-                while token is None and n > 1:
-                    n -= 1
-                    token = token_of(rest[:n])
-            else:
-                token = shorter(back)
-                n = 0 if token is None else size_of[token]
-            while token is not None and (last is not None and not compatible(last, token) or dead and at + n in dead):
-                token = shorter(token)
-                n = 0 if token is None else size_of[token]
-            if token is not None:
+        at, last, best = 0, _START, -1
+        while True:
+            for end, token in longest(letters, at):
+                best = fits[last << _BITS | token]
+                if best != token or end + 1 in dead:
+                    break
                 taken.append(token)
-                at += n
-                last, back = token, None
-            elif last is None:
-                raise ValueError("a byte of the text is not in the vocabulary")
+                at, last = end + 1, token
             else:
+                if at == len(letters):
+                    return taken
+                best = -1
+            while True:
+                while best >= 0 and at + size_of[best] in dead:
+                    less = shorter(best, -1)
+                    best = fits[last << _BITS | less] if less >= 0 else -1
+                if best >= 0:
+                    taken.append(best)
+                    at, last = at + size_of[best], best
+                    break
+                if not taken:
+                    raise ValueError("a byte of the text is not in the vocabulary")
                 dead.add(at)
                 back = taken.pop()
-                last = taken[-1] if taken else None
-                at -= size_of[back]
-        return taken
+                at, last = at - size_of[back], taken[-1] if taken else _START
+                less = shorter(back, -1)
+                best = fits[last << _BITS | less] if less >= 0 else -1
+
+    def encode_piece(self, piece: bytes) -> list[int]:
+        return self.encode_letters(piece.decode("latin-1"))
 
     def forget(self) -> None:
         """Lets go of the older generations, for tasks of other kinds that may come next."""
-        self.memo.older = self.spaced.older = {}
+        self.older, self.older_spaced = {}, {}
 
     def encode(self, text: str) -> list[int]:
         return [i for piece in self.split(text) for i in self.encode_piece(piece.encode())]
@@ -182,47 +208,103 @@ class ByteBpe:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def _segment(self, segment: str) -> tuple[str, int, bytes]:
-        word = segment[1:] if segment[:1] == " " else segment
-        if word.isalpha():
-            ids = self.encode_piece(segment.encode())
-        elif word[-1:] in _ENDS and word[:-1].isalpha():
-            # a letter and one of these marks never share a match
-            ids, n, data = self.spaced[word[:-1]] if word is not segment else self.memo[word[:-1]]
-            mark = self.ranks[word[-1].encode()]
-            return f"{ids} {mark}", n + 1, data + self.bytes_of[mark]
-        else:
-            ids = self.encode(segment)
-        return " ".join(map(self.text_of.__getitem__, ids)), len(ids), b"".join(map(self.bytes_of.__getitem__, ids))
+    def _entries(self, pieces: list[str]) -> list[tuple[str, bytes]]:
+        """(ids as text, each behind a space; decoded bytes) of matches of the pattern."""
+        text_of, bytes_of, encode, out = self.text_of, self.bytes_of, self.encode_letters, []
+        if pieces:
+            for letters in _PART.join(pieces).encode("utf-8", "surrogateescape").decode("latin-1").split(_PART_LETTER):
+                ids = encode(letters)
+                if len(ids) == 1:
+                    out.append((text_of[ids[0]], bytes_of[ids[0]]))
+                else:
+                    out.append(("".join([text_of[i] for i in ids]), b"".join([bytes_of[i] for i in ids])))
+        return out
+
+    def _learn(self, words: Iterable[str], memo: dict, older: dict, before: str) -> dict:
+        """Puts the entries of `before` and each word in the memo, or hands back those of words that are too long for it."""
+        plain, ended, others, others_pieces, counts, letters = [], [], [], [], [], self._letters
+        for word in words:
+            if (found := older.get(word)) is not None:
+                memo[word] = found
+            elif letters(word):
+                plain.append(word)
+            elif word[-1:] in _ENDS and letters(word[:-1]):
+                ended.append(word)
+            else:
+                pieces = self.split(before + word)
+                others.append(word)
+                others_pieces += pieces
+                counts.append(len(pieces))
+        # a letter and one of the marks never share a match
+        stems = {word[:-1] for word in ended}.difference(memo, plain)
+        plain += [stem for stem in stems if older.get(stem) is None or memo.setdefault(stem, older[stem]) is None]
+        memo.update(zip(plain, self._entries([before + word for word in plain])))
+        marks = {mark: (self.text_of[rank], self.bytes_of[rank]) for mark in _ENDS for rank in [self.ranks[mark.encode()]]}
+        for word in ended:
+            (ids, data), (id_, byte) = memo[word[:-1]], marks[word[-1]]
+            memo[word] = (ids + id_, data + byte)
+        entries, long = iter(self._entries(others_pieces)), {}
+        for word, n in zip(others, counts):
+            parts = list(islice(entries, n))
+            found = parts[0] if n == 1 else ("".join([p[0] for p in parts]), b"".join([p[1] for p in parts]))
+            (memo if len(word) <= CACHE_WORD_CHARS else long)[word] = found
+        for word in (*plain, *ended):
+            if len(word) > CACHE_WORD_CHARS:
+                long[word] = memo.pop(word)
+        return long
 
     def segments(self, text: str) -> list[str]:
         """The text cut in front of spaces behind a character that isn't white space.
 
-        White space stands only at the start of a match of the pattern, so a match ends there in any case, and what the
-        pattern looks ahead at lies inside one segment.
+        White space stands only at the start of a match of the known pattern, so a match ends there in any case, and
+        what the pattern looks ahead at lies inside one segment.
         """
         first, *parts = _CUT.split(text)
         return [first, *[" " + part for part in parts]]
 
-    def pieces(self, text: str):
-        """What the memos hold of each segment; where every space parts two segments, their keys are what split() gives."""
-        if self.space_behind_space(text):
-            return map(self.memo.__getitem__, self.segments(text))
-        first, *rest = text.split(" ")
-        return chain((self.memo[first],), map(self.spaced.__getitem__, rest))
-
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """(number of ids, SHA-256 of the ids in decimal, SHA-256 of the decoded bytes)."""
-        if not text:
-            return 0, _EMPTY, _EMPTY
-        ids_hash, bytes_hash, n = hashlib.sha256(), hashlib.sha256(), 0
-        pieces = self.pieces(text)
-        while some := list(islice(pieces, 4096)):
-            ids, counts, decoded = zip(*some)
-            ids_hash.update(((" " if n else "") + " ".join(ids)).encode())
-            bytes_hash.update(b"".join(decoded))
-            n += sum(counts)
-        return n, ids_hash.hexdigest(), bytes_hash.hexdigest()
+    def _block(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        cut = []
+        for text in texts:
+            if _SPACE_BEHIND_SPACE(text):
+                cut.append((self.segments(text), []))
+            else:
+                first, *rest = text.split(" ")
+                cut.append(([first] if first else [], rest))
+        if len(self.memo) >= CACHE_WORDS:
+            self.memo, self.older = {}, self.memo
+        if len(self.spaced) >= CACHE_WORDS:
+            self.spaced, self.older_spaced = {}, self.spaced
+        long = self._learn(set().union(*[c[0] for c in cut]).difference(self.memo), self.memo, self.older, "")
+        long_spaced = self._learn(set().union(*[c[1] for c in cut]).difference(self.spaced), self.spaced, self.older_spaced, " ")
+        memo, spaced = self.memo | long if long else self.memo, self.spaced | long_spaced if long_spaced else self.spaced
+        for whole, rest in cut:
+            ids_hash, bytes_hash, n = hashlib.sha256(), hashlib.sha256(), 0
+            for segments, known in ((whole, memo), (rest, spaced)):
+                for first in range(0, len(segments), 4096):
+                    ids, decoded = zip(*map(known.__getitem__, segments[first : first + 4096]))
+                    line = "".join(ids)
+                    ids_hash.update((line if n else line[1:]).encode())
+                    bytes_hash.update(b"".join(decoded))
+                    n += line.count(" ")
+            yield n, ids_hash.hexdigest(), bytes_hash.hexdigest()
+
+    def _by_pattern(self, text: str) -> tuple[int, str, str]:
+        ids = self.encode(text)
+        return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
+
+    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """(number of ids, SHA-256 of the ids in decimal, SHA-256 of the decoded bytes) of each text."""
+        if not self.known:
+            yield from map(self._by_pattern, texts)
+            return
+        some, chars = [], 0
+        for text in texts:
+            some.append(text)
+            chars += len(text)
+            if chars >= BLOCK_CHARS:
+                yield from self._block(some)
+                some, chars = [], 0
+        yield from self._block(some)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -230,14 +312,14 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
     Null text counts as empty: no ids, and both digests are those of the empty string. A null id stays null, repeated
     rows give a row each, other columns are not looked at. Texts are encoded whole. No shuffle; a worker holds one
-    batch of texts, the automaton and the bounded memo.
+    batch of texts, the automaton and the bounded memos.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe.load(ranks_path, pattern)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            found = [bpe.digest(t or "") for t in texts]
+            found = list(bpe.digests([t or "" for t in texts]))
             columns = [batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found]), pa.array([f[2] for f in found])]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:

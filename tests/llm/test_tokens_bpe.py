@@ -91,3 +91,29 @@ def test_compatibility_is_what_merging_gives():
     for _ in range(30_000):
         a, b = r.choice(tokens_), r.choice(tokens_)
         assert own.compatible(a, b) == (own.merge(own.bytes_of[a] + own.bytes_of[b]) == [a, b])
+
+
+@pytest.mark.parametrize("pattern", [public_tokenizers.PATTERN, r"\p{L}+|\s+|[^\s\p{L}]+", r"[a-c]+|[^a-c]+"])
+def test_any_pattern_gives_what_the_library_gives(pattern):
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    lib, own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), bpe.ByteBpe.load(RANKS, pattern)
+    r = random.Random(3)
+    texts = [t or "" for t in TEXTS] + [_random(i) for i in range(300)]
+    texts += ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(0x80, 0x3000), r.randrange(0x10000, 0x1FFFF)])) for _ in range(60)) for _ in range(60)]
+    for text, found in zip(texts, own.digests(texts), strict=True):
+        ids = lib.encode_ordinary(text)
+        assert found == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()), text
+
+
+def test_memos_that_overflow_change_nothing(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 20)
+    monkeypatch.setattr(bpe, "CACHE_WORD_CHARS", 4)
+    monkeypatch.setattr(bpe, "CACHE_FITS", 10)
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 100)
+    lib, own = _encoding(), bpe.ByteBpe({**bpe.ByteBpe.load(RANKS, public_tokenizers.PATTERN).ranks}, public_tokenizers.PATTERN)
+    texts = [_random(i) + " strengthening, the. words! a" for i in range(120)]
+    assert [f[0] for f in own.digests(texts)] == [len(lib.encode_ordinary(t)) for t in texts]
