@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, KEY_TYPES, blocks, cut, flat, fresh_path, mix, renamed_key, row_key, same_row, thrifty
+from .common import KEY, KEY_TYPES, blocks, flat, fresh_path, mix, renamed_key, row_key, same_row, thrifty
 
 UNIT = 576
 SIDE = 24
 #: Chunk sizes in bytes. A cut is possible where the last AVERAGE_BITS bits of the rolling hash are zero.
 SMALLEST, LARGEST, AVERAGE_BITS = 512, 16_384, 11
+#: Level of the compression of chunks, and of texts that are shuffled.
+LEVEL = 9
 
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -69,6 +71,33 @@ def digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
+def framed(cs: list[bytes], owned: set[int], named: set[int], squeeze) -> list[bytes | None]:
+    """What a row stores for each chunk: none if it only names it, a frame of its own if others name it, else the frame of
+    this and all following chunks of its kind, or nothing if such a frame has it already."""
+    out: list[bytes | None] = []
+    while len(out) < len(cs):
+        k = len(out)
+        end = k + 1
+        if k in named:
+            out.append(None)
+            continue
+        while k not in owned and end < len(cs) and end not in owned and end not in named:
+            end += 1
+        out += [squeeze(b"".join(cs[k:end])), *[b""] * (end - k - 1)]
+    return out
+
+
+def unframed(sizes: list[int], blobs: list[bytes], expand) -> list[bytes]:
+    """The chunks out of the frames."""
+    out, frame, at = [], b"", 0
+    for size, blob in zip(sizes, blobs):
+        if blob:
+            frame, at = expand(blob), 0
+        out.append(frame[at : at + size])
+        at += size
+    return out
+
+
 def _texts(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for part in blocks(batch, column):
         data, at = flat(part.column(part.schema.get_field_index(column)))
@@ -93,14 +122,14 @@ def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
         for batch in batches:
             for part, texts in _texts(batch, "_text"):
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([squeeze(t) for t in texts], pa.binary())], names=[*part.schema.names[:-1], "_packed"])
 
     keys, text = row_key(id_col, text_col), F.col(text_col).alias("_text")
     listed = docs.select(*keys, text).mapInArrow(thrifty(digests), f"{KEY_TYPES}, digests array<binary>")
-    places = cut(listed.select(*KEY, F.posexplode("digests").alias("seq", "digest")), "media-digests")
+    places = listed.select(*KEY, F.posexplode("digests").alias("seq", "digest"))
     place = F.struct(*KEY, "seq")
     shared = places.groupBy("digest").agg(F.min(place).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("_d"), "owner")
     marks = places.join(shared, F.col("digest") == F.col("_d")).groupBy(*renamed_key("_m"))
@@ -109,7 +138,7 @@ def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        squeeze, expand = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        squeeze, expand = zstandard.ZstdCompressor(level=LEVEL).compress, zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for part in blocks(batch, "_packed"):
                 rows = []
@@ -121,18 +150,19 @@ def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                             "n_bytes": len(text),
                             "media_sha256": hashlib.sha256(media).digest(),
                             "digests": [digest(c) for c in cs],
-                            "blobs": [None if k in named else squeeze(c) for k, c in enumerate(cs)],
+                            "sizes": [len(c) for c in cs],
+                            "blobs": framed(cs, owned, named, squeeze),
                             "shared": sorted(owned),
                             "whole": not named,
                         }
                     )
-                fields = [("n_bytes", pa.int64()), ("media_sha256", pa.binary()), ("digests", pa.list_(pa.binary())), ("blobs", pa.list_(pa.binary())), ("shared", pa.list_(pa.int32())), ("whole", pa.bool_())]
+                fields = [("n_bytes", pa.int64()), ("media_sha256", pa.binary()), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("blobs", pa.list_(pa.binary())), ("shared", pa.list_(pa.int32())), ("whole", pa.bool_())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array([r[n] for r in rows], t) for n, t in fields]], names=["_n", "doc", *[n for n, _ in fields]])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_doc"), F.monotonically_increasing_id().alias("_n"), *keys, text)
     rows = rows.mapInArrow(thrifty(packed), f"_doc {kind}, _n long, {KEY_TYPES}, _packed binary").join(marks.hint("merge"), same_row("_m"), "left").select("_n", "_doc", "owned", "named", "_packed")
-    rows.mapInArrow(thrifty(write), f"_n long, doc {kind}, n_bytes long, media_sha256 binary, digests array<binary>, blobs array<binary>, shared array<int>, whole boolean").write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(thrifty(write), f"_n long, doc {kind}, n_bytes long, media_sha256 binary, digests array<binary>, sizes array<int>, blobs array<binary>, shared array<int>, whole boolean").write.option("compression", "zstd").parquet(path)
 
 
 def feature(payload: bytes) -> str:
@@ -159,8 +189,8 @@ def read(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
         expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
-            for names, blobs, whole in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(2).to_pylist()):
-                parts = [expand(b) for b in blobs]
+            for names, sizes, blobs, whole in zip(*[batch.column(k).to_pylist() for k in (3, 4, 5, 2)]):
+                parts = unframed(sizes, blobs, expand)
                 if [digest(p) for p in parts] != names:
                     raise ValueError("a chunk in the store is not what its digest says")
                 media = b"".join(parts)
@@ -173,7 +203,7 @@ def read(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     kind = stored.schema["doc"].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    columns = ("doc", "n_bytes", "media_sha256", "digests", "blobs")
+    columns = ("doc", "n_bytes", "media_sha256", "digests", "sizes", "blobs")
     sources = (
         stored.where(F.size("shared") > 0)
         .select(F.explode(F.transform("shared", lambda k: F.struct(F.get("digests", k).alias("_d"), F.get("blobs", k).alias("_blob")))).alias("_c"))
@@ -181,17 +211,17 @@ def read(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
         .groupBy("_d")
         .agg(F.first("_blob").alias("_blob"))
     )
-    places = stored.where("NOT whole").select("_n", "doc", "n_bytes", "media_sha256", F.posexplode(F.arrays_zip("digests", "blobs")).alias("seq", "c"))
-    places = places.select("_n", "doc", "n_bytes", "media_sha256", "seq", "c.digests", "c.blobs")
+    places = stored.where("NOT whole").select("_n", "doc", "n_bytes", "media_sha256", F.posexplode(F.arrays_zip("digests", "sizes", "blobs")).alias("seq", "c"))
+    places = places.select("_n", "doc", "n_bytes", "media_sha256", "seq", "c.digests", "c.sizes", "c.blobs")
     named = places.where("blobs IS NULL").drop("blobs").join(sources, F.col("digests") == F.col("_d"), "left")
     found = F.coalesce("_blob", F.raise_error(F.lit("a chunk that a row names is not in the store")).cast("binary"))
-    named = named.select("_n", "doc", "n_bytes", "media_sha256", "seq", "digests", found.alias("blobs"))
+    named = named.select("_n", "doc", "n_bytes", "media_sha256", "seq", "digests", "sizes", found.alias("blobs"))
     gathered = (
         places.where("blobs IS NOT NULL")
         .unionByName(named)
         .groupBy("_n", "doc", "n_bytes", "media_sha256")
-        .agg(F.sort_array(F.collect_list(F.struct("seq", "digests", "blobs"))).alias("c"))
-        .select("doc", "n_bytes", "media_sha256", F.col("c.digests").alias("digests"), F.col("c.blobs").alias("blobs"))
+        .agg(F.sort_array(F.collect_list(F.struct("seq", "digests", "sizes", "blobs"))).alias("c"))
+        .select("doc", "n_bytes", "media_sha256", *[F.col(f"c.{k}").alias(k) for k in ("digests", "sizes", "blobs")])
     )
     return stored.where("whole").select(*columns).mapInArrow(thrifty(rebuild), schema).unionByName(gathered.select(*columns).mapInArrow(thrifty(rebuild), schema))
 
