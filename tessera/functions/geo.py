@@ -428,7 +428,12 @@ RELATIONS = [*_PATTERNS, "sfCrosses", "sfOverlaps"]
 
 
 def holds(name: str, a: Geometry, b: Geometry) -> bool:
-    m, d = relate(a, b), (a.dimension, b.dimension)
+    return named(name, relate(a, b), a, b)
+
+
+def named(name: str, m: str, a: Geometry, b: Geometry) -> bool:
+    """Whether a relation holds for geometries with the matrix m."""
+    d = (a.dimension, b.dimension)
     if name == "sfEquals" or name == "ehEquals":
         return not a.empty and matches(m, "T*F**FFF*")
     if name == "sfCrosses":
@@ -456,6 +461,21 @@ def relation(name: str):
     return _udf(lambda x, y: holds(name, parse_wkt(x), parse_wkt(y)), "boolean")
 
 
+def relations(names: list[str], a: Column, b: Column) -> Column:
+    """Whether each of the relations holds, as an array; the matrix is worked out once for all of them."""
+
+    @F.udf("array<boolean>", useArrow=True)
+    def run(x, y):
+        try:
+            p, q = parse_wkt(x), parse_wkt(y)
+            m = relate(p, q)
+            return [named(n, m, p, q) for n in names]
+        except (TypeError, ValueError, ArithmeticError, IndexError):
+            return None
+
+    return run(a, b)
+
+
 def functions() -> dict:
     """geof: functions by IRI for a registry; arguments are WKT literals."""
     out = {GEOF + n: (lambda f: lambda a, b: Val("bool", f(string(a), string(b))))(relation(n)) for n in RELATIONS}

@@ -734,7 +734,7 @@ def _strings(xs):
 def _distinct(x):
     if not isinstance(x, list):
         return x
-    out = Sequence()
+    out = Sequence() if isinstance(x, Sequence) else []
     for v in x:
         if not any(v == o and type(v) is type(o) for o in out):
             out.append(v)
@@ -1048,11 +1048,11 @@ def _each(it, f, x, g=None):
     return unwrap(Sequence(v for v in (it.call(g, [v, k, x][: _arity(g, 3)], f) for k, v in x.items()) if v is not NOTHING))
 
 
-def evaluate(text: str, data: Any, bindings: dict | None = None, steps: int = 1_000_000, depth: int = 250) -> Any:
-    """The result of an expression over a JSON value; NOTHING if it has none."""
+def evaluate(text: Any, data: Any, bindings: dict | None = None, steps: int = 1_000_000, depth: int = 250) -> Any:
+    """The result of an expression (its text, or what parse gives of it) over a JSON value; NOTHING if it has none."""
     root = Interpreter._seq(data) if isinstance(data, list) else data
     it = Interpreter(data, steps, depth)
-    return it.run(parse(text), root, (dict(bindings or {}), None))
+    return it.run(parse(text) if isinstance(text, str) else text, root, (dict(bindings or {}), None))
 
 
 _SIMPLE = re.compile(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*|\[\d+\])*")
@@ -1065,13 +1065,13 @@ def column(text: str, json_column: Column | str) -> Column:
     get_json_object's own rules they would not be mapped over); anything else runs in an Arrow function.
     """
     source = F.col(json_column) if isinstance(json_column, str) else json_column
-    parse(text)
+    tree = parse(text)
 
     @F.udf("string", useArrow=True)
     def run(row: str | None) -> str | None:
         if row is None:
             return None
-        out = evaluate(text, json.loads(row))
+        out = evaluate(tree, json.loads(row))
         return None if out is NOTHING else to_json(out)
 
     return run(source)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
+from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -256,16 +258,24 @@ def _join_solutions(left: Solutions, right: Solutions) -> Solutions:
     return _merged(l.join(r, condition), left, right, shared, "__r_")
 
 
-def _compatible(left: Solutions, right: Solutions, shared: list[str], mark: str) -> Column:
+def _by_bound(s: Solutions, names: list[str]) -> Iterator[tuple[Solutions, frozenset[str]]]:
+    """The solutions parted by which of those variables are bound; each part has only the bound ones, and they are certain."""
+    loose = [n for n in names if n not in s.certain]
+    for mask in product((True, False), repeat=len(loose)):
+        df, bound = s.df, frozenset(n for n in names if n in s.certain) | {n for n, yes in zip(loose, mask) if yes}
+        for n, yes in zip(loose, mask):
+            df = df.where(F.col(f"`{n}`").isNotNull() if yes else F.col(f"`{n}`").isNull())
+        kinds = {n: k for n, k in s.kinds.items() if n not in loose or n in bound}
+        df = df.drop(*[n for n in loose if n not in bound])
+        if not kinds and "__unit" not in df.columns:
+            df = df.withColumn("__unit", F.lit(1))
+        yield Solutions(df, kinds, s.certain | bound), bound
+
+
+def _equal(names: Iterable[str], mark: str) -> Column:
     out = F.lit(True)
-    for n in shared:
-        a, b = F.col(f"`{n}`"), F.col(f"`{mark}{n}`")
-        one = a == b
-        if n not in left.certain:
-            one = a.isNull() | one
-        if n not in right.certain:
-            one = b.isNull() | one
-        out = out & F.coalesce(one, F.lit(False)) if n not in left.certain or n not in right.certain else out & one
+    for n in sorted(names):
+        out = out & (F.col(f"`{n}`") == F.col(f"`{mark}{n}`"))
     return out
 
 
@@ -274,34 +284,43 @@ def _join(node: A.Join, ctx: Context) -> Solutions:
 
 
 def _left_join(node: A.LeftJoin, ctx: Context) -> Solutions:
+    """OPTIONAL. Rows are parted by which shared variables the left side binds, so that every part is an equi-join; where the
+    right side may leave one unbound, a row can match in several parts, and the rows without a match come back at the end."""
     left, right = compile_pattern(node.left, ctx), compile_pattern(node.right, ctx)
     shared = [n for n in left.kinds if n in right.kinds]
     left, right = _aligned(left, right, shared)
+    if node.condition is not None and _has_exists(node.condition) or any(n not in right.certain for n in shared):
+        return _left_join_by_rows(node, left, right, shared, ctx)
+    parts = [_left_join_part(node, part, right, ctx) for part, _ in _by_bound(left, shared)]
+    out = reduce(_union_solutions, parts)
+    return Solutions(out.df, out.kinds, left.certain)
+
+
+def _left_join_part(node: A.LeftJoin, left: Solutions, right: Solutions, ctx: Context) -> Solutions:
+    """OPTIONAL of sides that bind all variables that they share."""
+    shared = [n for n in left.kinds if n in right.kinds]
     r = _renamed(right, shared, "__r_").withColumn("__hit", F.lit(True))
-    condition = _compatible(left, right, shared, "__r_")
+    condition = _equal(shared, "__r_")
     if node.condition is not None:
-        if _has_exists(node.condition):
-            return _left_join_by_rows(node, left, right, shared, ctx)
 
         def lookup(name: str) -> Val | None:
             if name in left.kinds:
-                a = left.val(name)
-                return Val(a.kind, F.coalesce(a.col, F.col(f"`__r_{name}`"))) if name in shared and name not in left.certain else a
+                return left.val(name)
             return right.val(name) if name in right.kinds else None
 
         condition = condition & F.coalesce(t.boolean(evaluate(node.condition, lookup, ctx)), F.lit(False))
     l = left.df if not left.kinds else left.df.drop("__unit")
-    joined = l.join(r, condition, "left")
-    merged = _merged(joined, left, right, shared, "__r_")
-    return Solutions(merged.df, merged.kinds, left.certain)
+    return _merged(l.join(r, condition, "left"), left, right, shared, "__r_")
 
 
 def _left_join_by_rows(node: A.LeftJoin, left: Solutions, right: Solutions, shared: list[str], ctx: Context) -> Solutions:
-    """OPTIONAL whose condition has EXISTS: rows are numbered, joined and filtered, and those without a match come back."""
+    """OPTIONAL by numbered rows: they are joined and filtered, and those without a match come back."""
     from ..shared import settle
 
     numbered = Solutions(settle(left.df.withColumn("__n", F.monotonically_increasing_id())), {**left.kinds, "__n": "int"}, left.certain | {"__n"})
-    hits = _filtered(_join_solutions(numbered, right), node.condition, ctx)
+    hits = _join_solutions(numbered, right)
+    if node.condition is not None:
+        hits = _filtered(hits, node.condition, ctx)
     rest = numbered.df.join(hits.df.select("__n").distinct(), "__n", "left_anti")
     out = _union_solutions(hits, Solutions(rest, numbered.kinds, numbered.certain))
     return Solutions(_only(out, [n for n in out.kinds if n != "__n"]).df, {n: k for n, k in out.kinds.items() if n != "__n"}, left.certain)
@@ -327,14 +346,15 @@ def _minus(node: A.Minus, ctx: Context) -> Solutions:
     if not shared:
         return left
     left, right = _aligned(left, right, shared)
-    condition = _compatible(left, right, shared, "__r_")
-    if not any(n in left.certain and n in right.certain for n in shared):
-        met = F.lit(False)
-        for n in shared:
-            met = met | (F.col(f"`{n}`").isNotNull() & F.col(f"`__r_{n}`").isNotNull())
-        condition = condition & met
-    r = _renamed(_only(right, shared), shared, "__r_")
-    return Solutions(left.df.join(r, condition, "left_anti"), left.kinds, left.certain)
+    parts, others = [], list(_by_bound(_only(right, shared), shared))
+    for part, bound in _by_bound(left, shared):
+        df = part.df
+        for other, of_other in others:
+            if on := bound & of_other:
+                df = df.join(other.df.select(*[F.col(f"`{n}`").alias(f"__r_{n}") for n in sorted(on)]), _equal(on, "__r_"), "left_anti")
+        parts.append(Solutions(df, part.kinds, part.certain))
+    out = reduce(_union_solutions, parts)
+    return Solutions(out.df, out.kinds, left.certain)
 
 
 # expressions
@@ -403,15 +423,36 @@ def semi(s: Solutions, pattern, ctx: Context, how: str = "left_semi") -> Solutio
     right = compile_pattern(pattern, ctx)
     shared = [n for n in s.kinds if n in right.kinds]
     left, right = _aligned(s, right, shared)
-    r = _renamed(right, shared, "__r_").withColumn("__hit", F.lit(True))
-    condition = _compatible(left, right, shared, "__r_")
-
-    def lookup(name: str) -> Val | None:
-        return left.val(name) if name in left.kinds else right.val(name) if name in right.kinds else None
-
-    for c in conditions:
-        condition = condition & F.coalesce(t.boolean(evaluate(c, lookup, ctx)), F.lit(False))
-    return Solutions(left.df.join(r, condition, how), left.kinds, left.certain)
+    others = list(_by_bound(right, shared))
+    if how == "left_semi" and len(others) > 1:
+        # a row may match in several parts of the right side, so what matches in none of them is taken away by number
+        from ..shared import settle
+
+        numbered = Solutions(settle(left.df.withColumn("__n", F.monotonically_increasing_id())), {**left.kinds, "__n": "int"}, left.certain | {"__n"})
+        rest = _semi_parts(numbered, others, shared, conditions, ctx, "left_anti")
+        return Solutions(numbered.df.join(rest.df.select("__n"), "__n", "left_anti").drop("__n"), left.kinds, left.certain)
+    return _semi_parts(left, others, shared, conditions, ctx, how)
+
+
+def _semi_parts(left: Solutions, others: list[tuple[Solutions, frozenset[str]]], shared: list[str], conditions: list, ctx: Context, how: str) -> Solutions:
+    """The rows of each part of the left side with (in none) a match in the parts of the right side."""
+    parts = []
+    for part, bound in _by_bound(left, shared):
+        df = part.df
+        for other, of_other in others:
+            on = bound & of_other
+            r = _renamed(other, sorted(of_other & set(part.kinds)), "__r_").withColumn("__hit", F.lit(True))
+            condition = _equal(on, "__r_")
+
+            def lookup(name: str) -> Val | None:
+                return part.val(name) if name in part.kinds else other.val(name) if name in other.kinds else None
+
+            for c in conditions:
+                condition = condition & F.coalesce(t.boolean(evaluate(c, lookup, ctx)), F.lit(False))
+            df = df.join(r, condition, how)
+        parts.append(Solutions(df, part.kinds, part.certain))
+    out = reduce(_union_solutions, parts)
+    return Solutions(out.df, left.kinds, left.certain)
 
 
 def _filtered(s: Solutions, condition, ctx: Context) -> Solutions:

@@ -182,3 +182,23 @@ def test_versions_worlds_and_feeds(spark):
     store.contextual = True
     store.update("LOAD <http://x/doc>")
     assert store.quads().where("g IS NOT NULL").count() == 1
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        "?s :p ?o OPTIONAL { ?s :q ?z } OPTIONAL { ?z :q ?w }",
+        "?s :p ?o OPTIONAL { ?s :q ?z } MINUS { ?z :q ?w }",
+        "?s :p ?o OPTIONAL { ?s :q ?z } FILTER NOT EXISTS { ?s :q ?z . ?z :p ?v }",
+        "?s :p ?o OPTIONAL { ?s :q ?z } MINUS { ?s :p ?k OPTIONAL { ?s :q ?z } }",
+    ],
+)
+def test_joins_on_variables_that_may_be_unbound_have_keys(spark, body):
+    """Parts in which nothing is shared have no key to join on; all others are equi-joins."""
+    rows = [("I:a", "I:p", "I:b", None), ("I:a", "I:q", "I:c", None), ("I:c", "I:q", "I:d", None), ("I:e", "I:p", "I:b", None)]
+    ds = Dataset(spark, spark.createDataFrame(rows, "s string, p string, o string, g string"), prefixes={"": ":"})
+    found = ds.select(f"SELECT * WHERE {{ {body} }}")
+    found.collect()
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnull" not in text.lower() or " OR " not in "".join(line for line in text.splitlines() if "Join" in line)
+    assert not any("Join" in line and " OR " in line for line in text.splitlines())
