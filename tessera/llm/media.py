@@ -18,7 +18,7 @@ SIDE = 24
 #: Chunk sizes in bytes. A cut is possible where the last AVERAGE_BITS bits of the rolling hash are zero.
 SMALLEST, LARGEST, AVERAGE_BITS = 512, 16_384, 11
 #: Level of the compression of chunks, and of texts that are shuffled.
-LEVEL = 9
+LEVEL = 15
 
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
