@@ -262,9 +262,19 @@ SELECT event_id, other FROM i JOIN j ON a < d AND c < b""")(
         ("a", "b"), ("c", "d"), 3600,
     ).select("event_id", "other")
 )
-plan("graph_statistics", """SELECT count(*) AS triples, count(DISTINCT s) AS subjects, count(DISTINCT p) AS predicates, count(DISTINCT o) AS objects FROM (
-SELECT 'n' || n_nationkey AS s, 'type' AS p, 'Nation' AS o FROM nation UNION ALL SELECT 'n' || n_nationkey, 'key', 'k' || n_nationkey FROM nation UNION ALL SELECT 'n' || n_nationkey, 'name', 'x' || n_name FROM nation UNION ALL SELECT 'n' || n_nationkey, 'in', 'r' || n_regionkey FROM nation)""")(
-    lambda s, f: temporal.statistics(dataset(s, f).mapping.quads().where(F.col("s").startswith(f"I{BASE}nation/")))
+def _all_terms() -> str:
+    """SQL for the triples of all mapped tables, values with their kinds, as the mapping has them."""
+    m, out = tpch(None, ""), []
+    for x in m.tables.values():
+        said = [("type", f"'{x.name}'"), *((p, f"typeof({c}) || ' ' || {c}::VARCHAR") for p, c in x.columns.items())]
+        said += [(p, f"'{to} ' || " + " || '-' || ".join(f"{c}::VARCHAR" for c in cs)) for p, (cs, to) in x.links.items()]
+        subject = f"'{x.name} ' || " + " || '-' || ".join(f"{k}::VARCHAR" for k in x.keys)
+        out += [f"SELECT {subject} AS s, '{p}' AS p, {o} AS o FROM {x.name}" for p, o in said]
+    return "SELECT * FROM (" + " UNION ".join(out) + ") WHERE o IS NOT NULL"
+
+
+plan("graph_statistics", f"SELECT count(*) AS triples, count(DISTINCT s) AS subjects, count(DISTINCT p) AS predicates FROM ({_all_terms()})")(
+    lambda s, f: temporal.statistics(dataset(s, f).mapping.quads().distinct()).select("triples", "subjects", "predicates")
 )
 plan("graph_statistics_all")(lambda s, f: temporal.statistics(dataset(s, f).mapping.quads().distinct()))
 plan("key_statistics", "SELECT avg(n) AS mean, max(n) AS most, sum(n * n) / sum(n) AS weighted FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)")(lambda s, f: temporal.key_statistics(read(s, f, "orders"), "o_custkey"))
@@ -285,11 +295,11 @@ def all_quads(spark: SparkSession, folder: str) -> DataFrame:
     return tpch(spark, folder).quads().distinct().unionByName(nation_quads(spark, folder).where("g IS NOT NULL"))
 
 
-def quad_dataset(spark: SparkSession, folder: str, quads: Q = nation_quads) -> Dataset:
+def quad_dataset(spark: SparkSession, folder: str, quads: Q = all_quads) -> Dataset:
     return Dataset(spark, quads(spark, folder), prefixes={"": BASE, "rdfs": t.RDFS})
 
 
-def on_quads(name: str, text: str, sql: str, quads: Q = nation_quads) -> None:
+def on_quads(name: str, text: str, sql: str, quads: Q = all_quads) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         found = quad_dataset(spark, folder, quads).query(text)
         if found.quads is not None:
@@ -310,13 +320,13 @@ on_quads("construct", "CONSTRUCT { ?r :hasNation ?s ; :label ?name } WHERE { ?s
 on_quads("describe", "DESCRIBE <http://example.org/region/2>", """
   SELECT 'http://example.org/region/2' AS s, unnest(['http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'http://example.org/r_regionkey', 'http://example.org/r_name']) AS p, unnest(['http://example.org/Region', r_regionkey::VARCHAR, r_name]) AS o FROM region WHERE r_regionkey = 2""")
 on_quads("path_star_quads", "SELECT (COUNT(*) AS ?n) WHERE { ?s :n_name ?x . ?s :inRegion* ?y }", "SELECT 2 * count(*) AS n FROM nation")
-on_quads("graph_named_all", "SELECT ?g (COUNT(*) AS ?n) WHERE { GRAPH ?g { ?s :n_name ?name } . ?c :ofNation ?s } GROUP BY ?g", "SELECT 'http://example.org/region/' || n_regionkey AS g, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1", all_quads)
+on_quads("graph_named_all", "SELECT ?g (COUNT(*) AS ?n) WHERE { GRAPH ?g { ?s :n_name ?name } . ?c :ofNation ?s } GROUP BY ?g", "SELECT 'http://example.org/region/' || n_regionkey AS g, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 on_quads("construct_all", "CONSTRUCT { ?c :bought ?p } WHERE { ?l :ofOrder ?o ; :ofPart ?p . ?o :orderedBy ?c }", """
-  SELECT DISTINCT 'http://example.org/customer/' || o_custkey AS s, 'http://example.org/bought' AS p, 'http://example.org/part/' || l_partkey AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey""", all_quads)
+  SELECT DISTINCT 'http://example.org/customer/' || o_custkey AS s, 'http://example.org/bought' AS p, 'http://example.org/part/' || l_partkey AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 plan("ask", "SELECT true AS answer")(lambda s, f: s.createDataFrame([(quad_dataset(s, f).query("ASK { ?s :n_name 'NATION_2' }").boolean,)], "answer boolean"))
 
 
-def _store(spark: SparkSession, folder: str, quads: Q = nation_quads) -> GraphStore:
+def _store(spark: SparkSession, folder: str, quads: Q = all_quads) -> GraphStore:
     store = GraphStore(spark)
     store.insert(quads(spark, folder))
     return store
@@ -331,7 +341,7 @@ def _update(spark: SparkSession, folder: str) -> DataFrame:
 
 @plan("update_modify_all", "SELECT 'http://example.org/orders/' || o_orderkey AS s, lower(o_orderpriority) AS o FROM orders")
 def _update_all(spark: SparkSession, folder: str) -> DataFrame:
-    store = _store(spark, folder, all_quads)
+    store = _store(spark, folder)
     store.update("DELETE { ?s :o_orderpriority ?n } INSERT { ?s :o_orderpriority ?l } WHERE { ?s :o_orderpriority ?n BIND(LCASE(?n) AS ?l) }", prefixes={"": BASE})
     return store.quads().where(F.col("p") == t.iri(BASE + "o_orderpriority")).select(t.lexical(F.col("s")).alias("s"), t.lexical(F.col("o")).alias("o"))
 
@@ -345,8 +355,8 @@ def _worlds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 plan("state_hash")(lambda s, f: temporal.state_hash(all_quads(s, f)))
-plan("canonical_nquads", "SELECT '<http://example.org/region/' || r_regionkey || '> <http://example.org/r_name> \"' || r_name || '\" .' AS value FROM region")(
-    lambda s, f: rdf.canonical_nquads(nation_quads(s, f).where(F.col("p") == t.iri(BASE + "r_name")))
+plan("canonical_nquads", f"""SELECT CASE WHEN p = 'type' THEN '<{t.RDF}type>' ELSE '<' || p || '>' END AS predicate, count(*) AS n FROM ({_all_terms()}) GROUP BY 1""")(
+    lambda s, f: rdf.canonical_nquads(dataset(s, f).mapping.quads()).groupBy(F.split_part(F.col("value"), F.lit(" "), F.lit(2)).alias("predicate")).agg(F.count(F.lit(1)).alias("n"))
 )
 plan("result_json", "SELECT '{\"s\":{\"type\":\"uri\",\"value\":\"http://example.org/region/' || r_regionkey || '\"},\"n\":{\"type\":\"literal\",\"value\":\"' || r_name || '\"}}' AS value FROM region")(
     lambda s, f: rdf.result_lines(quad_dataset(s, f).query("SELECT ?s ?n WHERE { ?s :r_name ?n }").terms(), "json")
@@ -357,7 +367,7 @@ _SCHEMA = f"""@prefix : <{BASE}> . @prefix rdfs: <{t.RDFS}> . @prefix owl: <{t.O
 
 
 def _triples(spark: SparkSession, folder: str) -> DataFrame:
-    return nation_quads(spark, folder).where("g IS NULL").unionByName(spark.createDataFrame(rdf.parse_turtle(_SCHEMA), rdf.QUADS))
+    return all_quads(spark, folder).where("g IS NULL").unionByName(spark.createDataFrame(rdf.parse_turtle(_SCHEMA), rdf.QUADS))
 
 
 plan("rdfs_types", """SELECT 'http://example.org/nation/' || n_nationkey AS s, 'http://example.org/' || unnest(['Place', 'Thing', 'Located']) AS o FROM nation
@@ -377,11 +387,9 @@ plan("type_expansion", "SELECT count(*) AS n FROM nation")(
 )
 
 
-def shapes(name: str, text: str, sql: str, tables: tuple[str, ...] = ("supplier", "nation", "region")) -> None:
+def shapes(name: str, text: str, sql: str) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        m = tpch(spark, folder)
-        m.tables = {k: v for k, v in m.tables.items() if k in tables}
-        data = Dataset(spark, m.quads(), prefixes={"": BASE})
+        data = Dataset(spark, tpch(spark, folder).quads(), prefixes={"": BASE})
         head = f"@prefix : <{BASE}> . @prefix sh: <{t.SH}> . @prefix xsd: <{t.XSD}> .\n"
         return shacl.Validator(data, shacl.Shapes(rdf.parse_turtle(head + text))).report().select(t.lexical(F.col("focus")).alias("focus"), F.col("component").substr(F.lit(len(t.SH) + 1), F.lit(99)).alias("component"))
 
@@ -394,8 +402,7 @@ shapes("shacl_count", ":S a sh:NodeShape ; sh:targetClass :Supplier ; sh:propert
 shapes("shacl_pattern_datatype", ":S a sh:NodeShape ; sh:targetClass :Supplier ; sh:property [ sh:path :s_name ; sh:pattern '[05]$' ; sh:datatype xsd:string ] , [ sh:path :s_suppkey ; sh:datatype xsd:string ] .", f"SELECT {_S.format('Pattern')} WHERE NOT regexp_matches(s_name, '[05]$') UNION ALL SELECT {_S.format('Datatype')}")
 shapes("shacl_path_class", ":S a sh:NodeShape ; sh:targetClass :Supplier ; sh:property [ sh:path (:supplierNation :inRegion) ; sh:class :Nation ] , [ sh:path (:supplierNation :inRegion :r_name) ; sh:in ('ASIA' 'EUROPE') ] .", f"SELECT {_S.format('Class')} UNION ALL SELECT {_S.format('In')} JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name NOT IN ('ASIA', 'EUROPE')")
 shapes("shacl_logic_closed", ":S a sh:NodeShape ; sh:targetClass :Supplier ; sh:closed true ; sh:ignoredProperties (<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>) ; sh:property [ sh:path :s_suppkey ] , [ sh:path :s_name ] , [ sh:path :supplierNation ] ; sh:or ([ sh:property [ sh:path :s_acctbal ; sh:minInclusive 5000 ] ] [ sh:property [ sh:path :s_suppkey ; sh:maxInclusive 20 ] ]) .", f"SELECT {_S.format('Closed')} UNION ALL SELECT {_S.format('Or')} WHERE s_acctbal < 5000 AND s_suppkey > 20")
-_ALL = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-shapes("shacl_range_all", ":S a sh:NodeShape ; sh:targetClass :Lineitem ; sh:property [ sh:path :l_quantity ; sh:maxInclusive 45 ] .", "SELECT focus, component FROM (SELECT DISTINCT 'http://example.org/lineitem/' || l_orderkey || '-' || l_linenumber AS focus, 'MaxInclusiveConstraintComponent' AS component, l_quantity FROM lineitem WHERE l_quantity > 45)", _ALL)
+shapes("shacl_range_all", ":S a sh:NodeShape ; sh:targetClass :Lineitem ; sh:property [ sh:path :l_quantity ; sh:maxInclusive 45 ] .", "SELECT focus, component FROM (SELECT DISTINCT 'http://example.org/lineitem/' || l_orderkey || '-' || l_linenumber AS focus, 'MaxInclusiveConstraintComponent' AS component, l_quantity FROM lineitem WHERE l_quantity > 45)")
 
 # JSON and geometry
 plan("jsonata_path", "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")(lambda s, f: read(s, f, "events").select("event_id", jsonata.path_column("k", "props", "bigint").alias("k")))
@@ -430,10 +437,10 @@ plan("match_scan", "SELECT 'http://example.org/nation/' || n_nationkey AS s FROM
     lambda s, f: scans.match(dataset(s, f).mapping.quads(), p=t.iri(BASE + "inRegion"), o=t.iri(BASE + "region/3")).select(t.lexical(F.col("s")).alias("s"))
 )
 plan("match_many_subjects", "SELECT count(*) AS n FROM nation WHERE n_regionkey < 2")(
-    lambda s, f: scans.match_many(nation_quads(s, f).where("g IS NULL"), read(s, f, "nation").where("n_regionkey < 2").select(F.concat(F.lit(f"I{BASE}nation/"), "n_nationkey").alias("x")), "s", p=t.iri(BASE + "n_name")).agg(F.count(F.lit(1)).alias("n"))
+    lambda s, f: scans.match_many(all_quads(s, f).where("g IS NULL"), read(s, f, "nation").where("n_regionkey < 2").select(F.concat(F.lit(f"I{BASE}nation/"), "n_nationkey").alias("x")), "s", p=t.iri(BASE + "n_name")).agg(F.count(F.lit(1)).alias("n"))
 )
 plan("visibility_view", "SELECT count(*) AS n FROM nation WHERE n_regionkey = 1")(
-    lambda s, f: scans.View(nation_quads(s, f)).where(lambda: F.col("g") == t.iri(BASE + "region/1")).where(lambda: F.col("p") == t.iri(BASE + "n_name")).scan().agg(F.count(F.lit(1)).alias("n"))
+    lambda s, f: scans.View(all_quads(s, f)).where(lambda: F.col("g") == t.iri(BASE + "region/1")).where(lambda: F.col("p") == t.iri(BASE + "n_name")).scan().agg(F.count(F.lit(1)).alias("n"))
 )
 
 
@@ -462,9 +469,10 @@ def _hypercube(spark: SparkSession, folder: str) -> DataFrame:
     return multiway.hypercube_triangles(a, b, c).agg(F.count(F.lit(1)).alias("n"))
 
 
-plan("canonical_labels", "SELECT count(*) AS n, count(DISTINCT r_regionkey) AS labels FROM region")(
-    lambda s, f: canonical.labelled(nation_quads(s, f).where((F.col("p") == t.iri(BASE + "r_name")) & F.col("g").isNull()).withColumn("s", F.concat(F.lit("B"), F.xxhash64("s").cast("string")))).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("s").alias("labels"))
-)
+plan("canonical_labels", f"SELECT '{BASE}' || upper(o[1]) || o[2:] AS cls, count(DISTINCT s) AS labels FROM ({_all_terms()}) WHERE p = 'type' GROUP BY 1")(
+    lambda s, f: canonical.labelled(dataset(s, f).mapping.quads().distinct().withColumn("s", F.concat(F.lit("B"), F.xxhash64("s").cast("string"))))
+    .where(F.col("p") == inference.TYPE).groupBy(t.lexical(F.col("o")).alias("cls")).agg(F.count_distinct("s").alias("labels"))
+)
 plan("rcc8_closure", "SELECT 'http://example.org/nation/' || a.n_nationkey AS a, 'http://example.org/nation/' || b.n_nationkey AS b FROM nation a, nation b WHERE a.n_regionkey <> b.n_regionkey")(
     lambda s, f: regions.rcc8_closure(
         read(s, f, "nation").select(F.concat(F.lit(BASE + "nation/"), "n_nationkey").alias("a"), F.concat(F.lit(BASE + "region/"), "n_regionkey").alias("b"), F.lit(regions.mask("ntpp")).alias("relations"))
