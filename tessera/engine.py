@@ -98,7 +98,10 @@ class Dataset:
 def instantiate(s: Solutions, template: tuple) -> DataFrame:
     """Quads of a template for every solution; ill-formed ones and those with an unbound part are left out."""
     numbered = s.df.withColumn("__row", F.monotonically_increasing_id())
-    if any(isinstance(x, A.Const) and x.term[0] == "B" for q in template for x in q):
+    def made(x) -> bool:
+        return any(map(made, (x.s, x.p, x.o))) if isinstance(x, A.TripleTerm) else isinstance(x, A.Const) and x.term[0] == "B"
+
+    if any(made(x) for q in template for x in q):
         numbered = settle(numbered, "construct")
 
     def part(x):
@@ -108,6 +111,9 @@ def instantiate(s: Solutions, template: tuple) -> DataFrame:
             return F.lit(x)
         if isinstance(x, A.Const):
             return F.concat(F.lit(x.term + "_"), F.col("__row").cast("string")) if x.term[0] == "B" else F.lit(x.term)
+        if isinstance(x, A.TripleTerm):
+            a, b, c = map(part, (x.s, x.p, x.o))
+            return F.when(a.rlike("^[IB]") & b.startswith("I"), F.concat(F.lit("T"), a, F.lit("\x02"), b, F.lit("\x02"), c))
         return t.to_term(s.val(x.name)) if x.name in s.kinds else F.lit(None).cast("string")
 
     structs = [F.struct(part(a).alias("s"), part(b).alias("p"), part(c).alias("o"), part(g).alias("g"), F.lit(g is not None).alias("_named")) for a, b, c, g in template]

@@ -251,7 +251,7 @@ def _same_value(a: Val, b: Val) -> Val:
 
 
 def _component(k: int) -> Callable[[Val], Val]:
-    return lambda a: Val("term", F.when(a.col.startswith("T"), F.get(F.split(F.substring(a.col, 2, 1 << 30), "\x02", 3), F.lit(k))))
+    return lambda a: Val("term", F.when(t.to_term(a).startswith("T"), F.get(F.split(F.substring(t.to_term(a), 2, 1 << 30), "\x02", 3), F.lit(k))))
 
 
 def _triple(s: Val, p: Val, o: Val) -> Val:

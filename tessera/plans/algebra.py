@@ -25,6 +25,15 @@ class Triple:
     o: Any
 
 
+@dataclass(frozen=True)
+class TripleTerm:
+    """A triple as an object, with variables in it or blank nodes of a template."""
+
+    s: Any
+    p: Any
+    o: Any
+
+
 # property paths
 @dataclass(frozen=True)
 class Link:

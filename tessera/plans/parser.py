@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from typing import Any
 from urllib.parse import urljoin
 
-from ..functions.terms import RDF, XSD, iri, literal
+from ..functions.terms import RDF, XSD, iri, literal, triple
 from . import algebra as A
 
 _TOKENS = re.compile(
@@ -19,7 +20,7 @@ _TOKENS = re.compile(
   |(?P<blank>_:[A-Za-z0-9_](?:[\w.\-]*[\w\-])?)
   |(?P<pname>(?:[A-Za-z\u00c0-\uffff](?:[\w.\-]*[\w\-])?)?:(?:(?:[\w:\-]|%[0-9A-Fa-f]{2}|\\[_~.\-!$&'()*+,;=/?\#@%])(?:(?:[\w.:\-]|%[0-9A-Fa-f]{2}|\\[_~.\-!$&'()*+,;=/?\#@%])*(?:[\w:\-]|%[0-9A-Fa-f]{2}|\\[_~.\-!$&'()*+,;=/?\#@%]))?)?)
   |(?P<word>[A-Za-z_][A-Za-z0-9_\-]*)
-  |(?P<op>\^\^|\|\||&&|!=|<=|>=|<<\(|\)>>|<<|>>|[{}()\[\];,.=<>!+\-*/|^?&])""",
+  |(?P<op>\^\^|\|\||&&|!=|<=|>=|<<\(|\)>>|<<|>>|\{\||\|\}|[{}()\[\];,.=<>!+\-*/|^?&~])""",
     re.VERBOSE | re.DOTALL,
 )
 _ESCAPES = {"t": "\t", "n": "\n", "r": "\r", "b": "\b", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
@@ -56,7 +57,7 @@ class Parser:
         self.tokens.append(("end", ""))
         self.at, self.prefixes, self.base, self.fresh = 0, dict(prefixes or {}), base, 0
         self.custom_aggregates = aggregates
-        self.in_template = False
+        self.in_template, self.counter = False, itertools.count()
 
     # tokens
     def peek(self, ahead: int = 0) -> tuple[str, str]:
@@ -160,13 +161,15 @@ class Parser:
                 triples.append(A.Triple(node, A.Link(RDF + "rest"), nodes[k + 1] if k + 1 < len(nodes) else A.Const(iri(RDF + "nil"))))
             return nodes[0] if nodes else A.Const(iri(RDF + "nil"))
         if self.op("<<("):
-            parts = [self.term(triples) for _ in range(1)] + [A.Const(iri(RDF + "type" if self.a() else self.iri()))] + [self.term(triples)]
+            parts = self.term(triples), self.plain_verb(), self.term(triples)
             self.need(")>>")
-            if not all(isinstance(p, A.Const) for p in parts):
-                raise SparqlSyntaxError("variables in triple terms are not supported here; use TRIPLE()")
-            from ..functions.terms import triple
-
-            return A.Const(triple(*(p.term for p in parts)))
+            return self.triple_term(*parts)
+        if self.op("<<"):
+            parts = self.term(triples), self.plain_verb(), self.term(triples)
+            node = self.reifier() if self.op("~") else self.blank()
+            self.need(">>")
+            triples.append(A.Triple(node, A.Link(RDF + "reifies"), self.triple_term(*parts)))
+            return node
         if self.op("-"):
             return A.Const(self.literal().replace("\x01\x01", "\x01\x01-"))
         self.op("+")
@@ -178,6 +181,37 @@ class Parser:
             return True
         return False
 
+    def plain_verb(self) -> Any:
+        """A predicate that is a variable or an IRI."""
+        if self.peek()[0] == "var":
+            return A.Var(self.take()[1][1:])
+        return A.Const(iri(RDF + "type" if self.a() else self.iri()))
+
+    def triple_term(self, s: Any, p: Any, o: Any) -> Any:
+        """A constant, unless there are variables or blank nodes in it."""
+        ground = all(isinstance(x, A.Const) and x.term[0] != "B" for x in (s, p, o))
+        return A.Const(triple(s.term, p.term, o.term)) if ground else A.TripleTerm(s, p, o)
+
+    def reifier(self) -> Any:
+        """What stands behind a tilde; without a name a blank node."""
+        return self.term([]) if self.peek()[0] in ("var", "iri", "pname", "blank") else self.blank()
+
+    def annotations(self, subject: Any, verb: Any, obj: Any, triples: list) -> None:
+        """Reifiers of the triple just read, and what is said of them."""
+        named = None
+        while self.peek() in (("op", "~"), ("op", "{|")):
+            if not isinstance(verb, (A.Var, A.Link)):
+                raise SparqlSyntaxError("a path cannot be annotated")
+            block = self.take()[1] == "{|"
+            if not block or named is None:
+                named = self.blank() if block else self.reifier()
+                p = verb if isinstance(verb, A.Var) else A.Const(iri(verb.iri))
+                triples.append(A.Triple(named, A.Link(RDF + "reifies"), self.triple_term(subject, p, obj)))
+            if block:
+                self.properties(named, triples)
+                self.need("|}")
+                named = None
+
     def blank(self) -> Any:
         if self.in_template:
             self.fresh += 1
@@ -193,19 +227,21 @@ class Parser:
             else:
                 verb = self.path()
             while True:
-                triples.append(A.Triple(subject, verb, self.term(triples)))
+                obj = self.term(triples)
+                triples.append(A.Triple(subject, verb, obj))
+                self.annotations(subject, verb, obj, triples)
                 if not self.op(","):
                     break
             again = False
             while self.op(";"):
                 again = True
-            if not again or self.peek()[1] in ("}", "]", ".", ""):
+            if not again or self.peek()[1] in ("}", "]", ".", "|}", ""):
                 return
 
     def triples(self, until: tuple[str, ...]) -> list:
         out: list = []
         while self.peek()[1] not in until:
-            boxed = self.peek()[1] in ("[", "(")
+            boxed = self.peek()[1] in ("[", "(", "<<")
             subject = self.term(out)
             if not (boxed and self.peek()[1] in (".", "}")):
                 self.properties(subject, out)
@@ -295,7 +331,7 @@ class Parser:
                     inner = A.Union(inner, self.group())
                 now = join(now, inner)
             else:
-                now = join(now, patterns(self.triples(("}", "{", *_STOP))))
+                now = join(now, patterns(self.triples(("}", "{", *_STOP)), self.counter))
             self.op(".")
         for f in filters:
             now = A.Filter(now, f)
@@ -550,7 +586,7 @@ class Parser:
                 return A.Call("agg:" + name, args, distinct, separator)
             return A.Call(name, self.arguments())
         if kind == "op" and text == "<<(":
-            return self.term([])
+            return as_expression(self.term([]))
         return A.Const(self.literal())
 
     # updates
@@ -649,15 +685,48 @@ def join(left: Any, right: Any) -> Any:
     return A.Join(left, right)
 
 
-def patterns(triples: list) -> Any:
-    """Triples as one BGP and the paths that aren't single links."""
-    simple, out = [], A.Unit()
+def as_expression(x: Any) -> Any:
+    return A.Call("TRIPLE", tuple(map(as_expression, (x.s, x.p, x.o)))) if isinstance(x, A.TripleTerm) else x
+
+
+def taken_apart(t: A.Triple, count: itertools.count) -> Any:
+    """A pattern whose object is a triple term: any object there, which must be a triple whose parts agree.
+
+    Variables of the term that the pattern doesn't have yet are bound to the parts, so joins with other patterns are on them.
+    """
+    whole = A.Var(f"__tt{next(count)}")
+    out: Any = A.Bgp((A.Triple(t.s, t.p, whole),))
+    known, waiting = {x.name for x in (t.s, t.p) if isinstance(x, A.Var)}, [(whole, t.o)]
+    while waiting:
+        held, term = waiting.pop()
+        out = A.Filter(out, A.Call("ISTRIPLE", (held,)))
+        for name, part in (("SUBJECT", term.s), ("PREDICATE", term.p), ("OBJECT", term.o)):
+            found = A.Call(name, (held,))
+            if isinstance(part, A.TripleTerm):
+                inner = A.Var(f"__tt{next(count)}")
+                out = A.Extend(out, inner.name, found)
+                waiting.append((inner, part))
+            elif isinstance(part, A.Var) and part.name not in known:
+                out = A.Extend(out, part.name, found)
+                known.add(part.name)
+            else:
+                out = A.Filter(out, A.Call("SAMETERM", (found, part)))
+    return out
+
+
+def patterns(triples: list, count: itertools.count) -> Any:
+    """Triples as one BGP, those with variables in a triple term, and the paths that aren't single links."""
+    simple, apart, out = [], [], A.Unit()
     for t in triples:
         p = A.Const(iri(t.p.iri)) if isinstance(t.p, A.Link) else t.p
+        if isinstance(t.s, A.TripleTerm) or isinstance(t.o, A.TripleTerm) and not isinstance(p, (A.Const, A.Var)):
+            raise SparqlSyntaxError("a triple term can only be the object of a predicate")
         if isinstance(p, (A.Const, A.Var)):
-            simple.append(A.Triple(t.s, p, t.o))
+            (apart if isinstance(t.o, A.TripleTerm) else simple).append(A.Triple(t.s, p, t.o))
     if simple:
         out = A.Bgp(tuple(simple))
+    for t in apart:
+        out = join(out, taken_apart(t, count))
     for t in triples:
         if not isinstance(t.p, (A.Link, A.Var)):
             out = join(out, A.Path(t.s, t.p, t.o))

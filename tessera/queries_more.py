@@ -9,8 +9,8 @@ from .functions import geo, jsonata
 from .functions import terms as t
 from .operators import graph, scans, shacl
 from .operators.update import GraphStore
-from .queries import BASE, QUERIES, SQL, Q, dataset, plan, read, sparql
-from .shared import fresh_path
+from .queries import BASE, QUERIES, SQL, Q, dataset, on_quads, plan, read, sparql
+from .shared import fresh_path, settle
 from .sources import formats, rdf
 from .sources.mapping import tpch
 
@@ -351,3 +351,17 @@ sparql(
     "SELECT ?name WHERE { ?c :c_name ?name OPTIONAL { ?c :ofNation ?n ; :c_acctbal ?b FILTER(?b > 5000) } MINUS { ?n :inRegion :region\\/1 } }",
     "SELECT c_name AS name FROM customer WHERE NOT (c_acctbal > 5000 AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1))",
 )
+
+
+# annotations: every order's link to its customer is reified, and the order's status said of it
+def _annotated(spark: SparkSession, folder: str) -> DataFrame:
+    said = dataset(spark, folder).query("CONSTRUCT { ?o :orderedBy ?c {| :status ?st ; :priority ?p |} } WHERE { ?o :orderedBy ?c ; :o_orderstatus ?st ; :o_orderpriority ?p }")
+    return settle(said.quads, "annotated")
+
+
+on_quads("annotated_triples", "SELECT ?c ?st (COUNT(*) AS ?n) WHERE { ?o :orderedBy ?c {| :status ?st |} } GROUP BY ?c ?st",
+         "SELECT 'http://example.org/customer/' || o_custkey AS c, o_orderstatus AS st, count(*) AS n FROM orders GROUP BY 1, 2", _annotated)
+on_quads("reified_triples", "SELECT ?o ?st WHERE { << ?o :orderedBy ?c >> :status ?st ; :priority '1-URGENT' }",
+         "SELECT 'http://example.org/orders/' || o_orderkey AS o, o_orderstatus AS st FROM orders WHERE o_orderpriority = '1-URGENT'", _annotated)
+on_quads("triple_terms", "SELECT ?p (COUNT(DISTINCT ?o) AS ?n) (COUNT(DISTINCT ?c) AS ?m) WHERE { ?r <http://www.w3.org/1999/02/22-rdf-syntax-ns#reifies> <<( ?o ?p ?c )>> . ?o ?p ?c } GROUP BY ?p",
+         "SELECT 'http://example.org/orderedBy' AS p, count(*) AS n, count(DISTINCT o_custkey) AS m FROM orders", _annotated)

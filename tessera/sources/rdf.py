@@ -33,6 +33,8 @@ class TurtleParser(Parser):
         return A.Const(f"B{self.scope}g{self.fresh}")
 
     def scoped(self, x):
+        if isinstance(x, A.TripleTerm):
+            return A.Const(t.triple(*(self.scoped(p).term for p in (x.s, x.p, x.o))))
         return A.Const(f"B{self.scope}{x.term[1:]}") if isinstance(x, A.Const) and x.term[0] == "B" and not x.term.startswith(f"B{self.scope}g") else x
 
     def document(self) -> list[tuple]:
@@ -57,7 +59,7 @@ class TurtleParser(Parser):
                 self.need("}")
                 continue
             found: list = []
-            boxed = text in ("[", "(")
+            boxed = text in ("[", "(", "<<")
             subject = self.term(found)
             if not (boxed and self.peek()[1] == "."):
                 self.properties(subject, found)
