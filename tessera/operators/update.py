@@ -82,12 +82,12 @@ class GraphStore:
         if expected is not None and expected != head:
             raise ConflictError(f"{world} is at version {head.number}, not {expected.number}")
         old = self.quads(world)
-        adds = _minus(inserts.select("s", "p", "o", "g").distinct(), old)
-        removes = _minus(_common(old, deletes), inserts)
+        adds = absent(inserts.select("s", "p", "o", "g").distinct(), old)
+        removes = absent(_common(old, deletes), inserts)
         path = fresh_path(self.spark, "delta")
         adds.withColumn("change", F.lit(1)).unionByName(removes.withColumn("change", F.lit(-1))).withColumn("version", F.lit(self._count + 1)).write.parquet(path)
         delta = self.spark.read.parquet(path)
-        new = _minus(old, delta.where("change = -1")).unionByName(delta.where("change = 1").select("s", "p", "o", "g"))
+        new = absent(old, delta.where("change = -1")).unionByName(delta.where("change = 1").select("s", "p", "o", "g"))
         version = self._write(new, head, head.graphs if graphs is None else graphs, path)
         if self.heads[world] is not head:
             raise ConflictError(f"{world} moved during the commit")
@@ -176,7 +176,7 @@ class GraphStore:
     def diff(self, a: str, b: str) -> DataFrame:
         """(s, p, o, g, change): 1 for what b has and a has not, -1 for the reverse."""
         x, y = self.quads(a), self.quads(b)
-        return _minus(y, x).withColumn("change", F.lit(1)).unionByName(_minus(x, y).withColumn("change", F.lit(-1)))
+        return absent(y, x).withColumn("change", F.lit(1)).unionByName(absent(x, y).withColumn("change", F.lit(-1)))
 
     def history(self, world: str = "main") -> list[Version]:
         out, at = [], self.heads[world]
@@ -198,7 +198,7 @@ def _keyed(df: DataFrame, mark: str) -> DataFrame:
     return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(mark + c) for c in "spog"])
 
 
-def _minus(left: DataFrame, right: DataFrame) -> DataFrame:
+def absent(left: DataFrame, right: DataFrame) -> DataFrame:
     return _match(left, right, "left_anti")
 
 
