@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import OWL, RDF, RDFS, iri
@@ -80,21 +80,36 @@ def types_of(triples: DataFrame) -> Callable[[str], list[str]]:
     return lambda cls: [cls, *sorted(below.get(cls, ()))]
 
 
+#: Predicates and classes of axioms that a rule needs at least one of.
+_AXIOMS = frozenset((SUBCLASS, SUBPROPERTY, DOMAIN, RANGE, SAME, *map(_o, """equivalentProperty inverseOf equivalentClass oneOf unionOf intersectionOf hasValue onProperty someValuesFrom
+    allValuesFrom maxCardinality propertyChainAxiom hasKey disjointWith complementOf members differentFrom propertyDisjointWith sourceIndividual assertionProperty targetIndividual targetValue""".split())))
+_KINDS = frozenset(map(_o, "SymmetricProperty TransitiveProperty FunctionalProperty InverseFunctionalProperty AllDisjointClasses IrreflexiveProperty AsymmetricProperty".split()))
+
+
 class _Rules:
-    """The OWL 2 RL rules over one state of the triples; each gives derived triples (s, p, o)."""
+    """The OWL 2 RL rules over one state of the triples; each gives derived triples (s, p, o).
+
+    Which kinds of axiom the state has at all is asked once; a rule without its axioms is then an empty relation, which
+    the optimizer takes out with all its joins.
+    """
 
     def __init__(self, t: DataFrame, members: DataFrame):
         self.t = t
         self.members = members  # (head, member) of every RDF list
+        used = t.where(F.col("p").isin(*_AXIOMS) | (F.col("p") == TYPE) & F.col("o").isin(*_KINDS))
+        self.absent = (_AXIOMS | _KINDS) - {r["x"] for r in used.select(F.when(F.col("p") == TYPE, F.col("o")).otherwise(F.col("p")).alias("x")).distinct().collect()}
+
+    def _where(self, condition: Column, axiom: str) -> DataFrame:
+        return self.t.where(F.lit(False) if axiom in self.absent else condition)
 
     def of(self, predicate: str, s: str, o: str) -> DataFrame:
-        return self.t.where(F.col("p") == predicate).select(F.col("s").alias(s), F.col("o").alias(o))
+        return self._where(F.col("p") == predicate, predicate).select(F.col("s").alias(s), F.col("o").alias(o))
 
     def facts(self, s: str, p: str, o: str) -> DataFrame:
         return self.t.select(F.col("s").alias(s), F.col("p").alias(p), F.col("o").alias(o))
 
     def typed(self, cls: str, name: str) -> DataFrame:
-        return self.t.where((F.col("p") == TYPE) & (F.col("o") == cls)).select(F.col("s").alias(name))
+        return self._where((F.col("p") == TYPE) & (F.col("o") == cls), cls).select(F.col("s").alias(name))
 
     @staticmethod
     def out(df: DataFrame, s, p, o) -> DataFrame:
