@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -133,7 +134,10 @@ def _own_hash(of: np.ndarray, row: list[np.ndarray], doc: np.ndarray, start: np.
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """128-bit hashes (w, v) of the windows in the ranges given for each row; repeats within a block are `sure`."""
+    """128-bit hashes (w, v) of the windows in the ranges given for each row; repeats within a block are `sure`.
+
+    Rows of the batch that is being added are `fresh`; all others stand before them.
+    """
     for batch in batches:
         for part in blocks(batch, "_text"):
             row = [part.column(k).to_numpy(zero_copy_only=False) for k in range(len(KEY))]
@@ -146,91 +150,128 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc = np.repeat(np.arange(part.num_rows), np.diff(at))
             doc, first, n = np.repeat(doc, n), np.repeat(start, n), n.astype(np.int64)
             start = first + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
-            word = block.first[:-1][doc] + start
+            word, fresh = block.first[:-1][doc] + start, part.column(len(KEY) + 2).to_numpy(zero_copy_only=False)
             w, v = _rolled(block.hashes(0), WINDOW, _STEPS[1])[word], _rolled(block.hashes(1), WINDOW, _STEPS[0])[word]
-            order, sure = _settled((w, v), (*[k[doc] for k in row], start))
+            order, sure = _settled((w, v), (fresh[doc], *[k[doc] for k in row], start))
             w, v, doc, start = w[order], v[order], doc[order], start[order]
             w[sure] = _own_hash(w[sure], row, doc[sure], start[sure])
-            columns = (w.view(np.int64), v.view(np.int64), *[k[doc] for k in row], start.astype(np.int32), sure)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["w", "v", *KEY, "start", "sure"])
+            columns = (w.view(np.int64), v.view(np.int64), *[k[doc] for k in row], start.astype(np.int32), sure, fresh[doc])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["w", "v", *KEY, "start", "sure", "fresh"])
 
 
 class WindowIndex:
     """Immutable runs of window fingerprints, each sorted by anchor within buckets that all runs share.
 
-    The runs are the partitions of one bucketed table in the shared folder, so a new run is merged with the history
-    bucket by bucket, and the history never moves. Its rows are postings: consecutive windows of a document
-    with the same anchor (the first of their GRAM-word sequences with the smallest hash, which depends on a window's
-    words alone, so equal windows have equal anchors). Of equal windows that of the smaller id is the earlier one, in
-    whichever run it is.
+    The runs are the partitions of one bucketed table in the shared folder. Adding a batch writes its run, merges it with
+    the runs before it bucket by bucket, and answers at once which windows of the batch stand earlier; the history never
+    moves and is not answered again. Rows are postings: consecutive windows of a document with the same anchor (the first
+    of their GRAM-word sequences with the smallest hash, which depends on a window's words alone, so equal windows have
+    equal anchors). A second table, bucketed by row, logs the texts that were added, so that open windows of the history
+    can be verified without its source.
+
+    Whatever an earlier batch holds is earlier; within a batch the smaller id is, and within a document the smaller place.
     """
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, fan_in: int = FAN_IN):
         self.spark, self.fan_in = spark, fan_in
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs = 0
+        self.answers: list[DataFrame] = []
+        self.log, self.log_path = f"tessera_texts_{uuid.uuid4().hex}", fresh_path(spark, "window-texts")
         self._new_table()
 
     def _new_table(self) -> None:
         self.name, self.path = f"tessera_windows_{uuid.uuid4().hex}", fresh_path(self.spark, "window-index")
 
+    def _save(self, df: DataFrame, name: str, path: str, part: str, by: tuple[str, ...], sort: bool) -> None:
+        writer = df.write.mode("append").partitionBy(part).bucketBy(self.buckets, *by)
+        writer = writer.sortBy(*by) if sort else writer
+        writer.option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+
     def _write(self, postings: DataFrame) -> None:
-        dealt = postings.repartition(self.buckets, "a").withColumn("run", F.lit(self.runs))
-        writer = dealt.write.mode("append").partitionBy("run").bucketBy(self.buckets, "a").sortBy("a").option("path", self.path).option("compression", "zstd")
-        writer.format("parquet").saveAsTable(self.name)
+        """A run of postings that are already dealt by bucket."""
+        self._save(postings.withColumn("run", F.lit(self.runs)), self.name, self.path, "run", ("a",), True)
         self.runs += 1
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Ingests a batch as a new run; compacts when there are fan_in of them."""
-        keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("_text"))
-        self._write(keyed.mapInArrow(thrifty(_postings), _POSTING))
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """(key columns, spans) of the rows of this batch: their windows that occur earlier, here or in what was added before.
+
+        The batch becomes a run; when there are fan_in of them, they are compacted. A row added again repeats itself.
+        """
+        keyed, batch = _keyed(docs, id_col, text_col), len(self.answers)
+        self._rest = keyed.schema["_rest"].dataType
+        plain = F.struct(*[F.col("_rest").getField(f.name).alias(f"_{k}") for k, f in enumerate(self._rest.fields)])
+        logged = keyed.withColumn("_rest", plain).repartition(self.buckets, *KEY).withColumn("batch", F.lit(batch))
+        self._save(logged, self.log, self.log_path, "batch", KEY, False)
+        postings = keyed.select(*KEY, "_text").mapInArrow(thrifty(_postings), _POSTING)
+        self._write(postings.repartition(self.buckets, "a"))
+        self.answers.append(self._answer(batch))
         if self.runs >= self.fan_in:
             self.compact()
+        return self.answers[-1]
 
     def compact(self) -> None:
-        """Merges all runs into one, with the same postings."""
-        merged, name, path = self.postings(), self.name, self.path
+        """Merges all runs into one that has the first posting of each kind; later ones are answered and can't be first again.
+
+        The runs share their buckets, so that nothing is shuffled.
+        """
+        here = Window.partitionBy("a", "c").orderBy("run", *KEY, "start")
+        merged = self.spark.table(self.name).where("NOT sure").withColumn("_nth", F.row_number().over(here)).where("_nth = 1").drop("run", "_nth")
+        name, path = self.name, self.path
         self._new_table()
         self.runs = 0
         self._write(merged)
         self._drop(name, path)
 
-    def drop(self) -> None:
+    def close(self) -> None:
+        """Drops the postings; answers that were given, and the texts they rest on, stay."""
         self._drop(self.name, self.path)
 
+    def drop(self) -> None:
+        self.close()
+        self._drop(self.log, self.log_path)
+
     def _drop(self, name: str, path: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         delete_path(self.spark, path)
 
-    def postings(self) -> DataFrame:
-        return self.spark.table(self.name).drop("run")
+    def texts(self) -> DataFrame:
+        """(key columns, _rest, _text) of all rows that were added, dealt by key."""
+        return self.spark.table(self.log).select(*KEY, F.col("_rest").cast(self._rest).alias("_rest"), "_text")
+
+    def _suspects(self) -> DataFrame:
+        """From one merge of the newest run with those before it: its postings that are repeats, and what is open.
 
-    def suspects(self) -> DataFrame:
-        """Postings that are repeats, and first ones whose anchor has other postings too, from one merge of all runs."""
-        here = Window.partitionBy("a", "c", "sure").orderBy(*KEY, "start")
-        merged = self.postings().withColumn("_nth", F.rank().over(here))
+        Open are first postings of the newest run whose anchor has other postings too, with those others.
+        """
+        fresh = F.col("run") == self.runs - 1
+        merged = self.spark.table(self.name).where(fresh | ~F.col("sure")).withColumn("fresh", fresh)
+        nth = F.rank().over(Window.partitionBy("a", "c", "sure").orderBy("run", *KEY, "start"))
+        merged = merged.withColumn("repeat", F.col("sure") | (nth > 1)).where("fresh OR NOT repeat")
         all_of = Window.partitionBy("a")
-        merged = merged.withColumn("_low", F.min("c").over(all_of)).withColumn("_high", F.max("c").over(all_of))
-        repeat = F.col("sure") | (F.col("_nth") > 1)
-        return merged.where(repeat | (F.col("_low") != F.col("_high"))).select(*KEY, "start", "n", repeat.alias("repeat"))
+        merged = merged.withColumn("_low", F.min("c").over(all_of)).withColumn("_high", F.max("c").over(all_of)).withColumn("_open", F.max(F.col("fresh") & ~F.col("repeat")).over(all_of))
+        return merged.where("repeat OR (_open AND _low != _high)").select(*KEY, "start", "n", "repeat", "fresh")
 
-    def repeats(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(key columns, spans): windows of the rows of docs, which must hold all that was added, that occur earlier.
+    def _answer(self, batch: int) -> DataFrame:
+        """The repeats of the newest batch.
 
-        Whole postings that repeat an earlier one are settled by the merge. First postings whose anchor occurs with
-        other words around it are verified window by window: their texts are fetched and 128-bit hashes of the windows
-        compared.
+        Whole postings that repeat an earlier one are settled by the merge. The others are verified window by window:
+        their texts are taken from the log and 128-bit hashes of the windows compared.
         """
-        suspects = cut(self.suspects(), "suspects")
+        suspects = cut(self._suspects(), "suspects")
         open_ = suspects.where("NOT repeat").groupBy(*KEY).agg(F.collect_set(F.struct("start", "n")).alias("spans"))
-        texts = _keyed(docs, id_col, text_col)
-        runs = open_.select(*renamed_key("_o"), "spans")
-        # with all columns, so that dedup's own join with the texts uses the same exchange again
-        wanted = texts.join(runs, same_row("_o")).select(*KEY, "_text", "spans", "_rest")
-        windows = wanted.mapInArrow(thrifty(_window_rows), f"w long, v long, {KEY_TYPES}, start int, sure boolean")
-        nth = F.rank().over(Window.partitionBy("w", "v", "sure").orderBy(*KEY, "start"))
-        again = windows.withColumn("_nth", nth).where("sure OR _nth > 1").select(*KEY, "start", F.lit(1).alias("n"))
-        return suspects.where("repeat").select(*KEY, "start", "n").unionByName(again).groupBy(*KEY).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+        logged = self.spark.table(self.log).where(F.col("batch") <= batch)
+        wanted = logged.join(open_.select(*renamed_key("_o"), "spans"), same_row("_o")).select(*KEY, "_text", "spans", (F.col("batch") == batch).alias("fresh"))
+        windows = wanted.mapInArrow(thrifty(_window_rows), f"w long, v long, {KEY_TYPES}, start int, sure boolean, fresh boolean")
+        nth = F.rank().over(Window.partitionBy("w", "v", "sure").orderBy("fresh", *KEY, "start"))
+        again = windows.withColumn("_nth", nth).where("fresh AND (sure OR _nth > 1)").select(*KEY, "start", F.lit(1).alias("n"))
+        found = suspects.where("repeat").select(*KEY, "start", "n").unionByName(again)
+        return found.groupBy(*KEY).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+
+    def repeats(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """(key columns, spans): the answers that were given for rows of docs."""
+        rows = docs.select(*row_key(id_col, text_col))
+        return reduce(DataFrame.unionByName, self.answers).join(rows, list(KEY), "left_semi")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -272,18 +313,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     texts are told apart and ordered by a hash of their text; rows that agree in id and text count as one document and
     all get its result. Columns may have any names; an empty table gives an empty result.
 
-    The rows are added in `batches` by id to a WindowIndex, each as a run that is merged with those before it.
+    The rows are added in `batches` by id to a WindowIndex, each as a run that is merged with those before it and answered
+    then. The index's log of texts stays in the shared folder, since the result is read from it.
     """
     spark = docs.sparkSession
-    index = WindowIndex(spark, fan_in=max(FAN_IN, batches + 1))
+    index = WindowIndex(spark)
     id_ = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     at = docs.agg(F.percentile_approx(id_, [k / batches for k in range(1, batches)], 1000)).first()[0] if batches > 1 else []
     bounds = [None, *(at or []), None]
     for low, high in zip(bounds, bounds[1:]):
         part = docs if low is None else docs.where(id_ > low)
         index.add(part if high is None else part.where(id_ <= high), id_col, text_col)
-    spans = index.repeats(docs, id_col, text_col).select(*renamed_key("_s"), "spans")
-    joined = _keyed(docs, id_col, text_col).join(spans, same_row("_s"), "left").select("_rest", "_text", "spans")
+    index.close()
+    spans = reduce(DataFrame.unionByName, index.answers).select(*renamed_key("_s"), "spans")
+    joined = index.texts().join(spans, same_row("_s"), "left").select("_rest", "_text", "spans")
 
     def clean(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
