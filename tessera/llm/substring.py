@@ -19,9 +19,9 @@ WINDOW = 20
 #: Words of the short sequences of which the one with the smallest hash anchors a window.
 GRAM = 6
 #: Batches that a table is dealt into by id for op3, each of which adds a run to the index.
-BATCHES = 2
+BATCHES = 3
 #: Runs of an index from which on they are compacted to one.
-FAN_IN = 4
+FAN_IN = 2
 
 #: Seeds of the two hashes of a word, and steps that bind a word to its place.
 _SEEDS = (0x9E6C63D0676A9A99, 0xC2B2AE3D27D4EB4F)
@@ -193,10 +193,11 @@ class WindowIndex:
         self._save(postings.withColumn("run", F.lit(self.runs)), self.name, self.path, "run", ("a",), True)
         self.runs += 1
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", compact: bool = True) -> DataFrame:
         """(key columns, spans) of the rows of this batch: their windows that occur earlier, here or in what was added before.
 
-        The batch becomes a run; when there are fan_in of them, they are compacted. A row added again repeats itself.
+        The batch becomes a run; when there are fan_in of them, they are compacted (not with compact=False, for a
+        last batch). A row added again repeats itself.
         """
         keyed, batch = _keyed(docs, id_col, text_col), len(self.answers)
         self._rest = keyed.schema["_rest"].dataType
@@ -206,7 +207,7 @@ class WindowIndex:
         postings = keyed.select(*KEY, "_text").mapInArrow(thrifty(_postings), _POSTING)
         self._write(postings.repartition(self.buckets, "a"))
         self.answers.append(self._answer(batch))
-        if self.runs >= self.fan_in:
+        if compact and self.runs >= self.fan_in:
             self.compact()
         return self.answers[-1]
 
@@ -323,7 +324,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     bounds = [None, *(at or []), None]
     for low, high in zip(bounds, bounds[1:]):
         part = docs if low is None else docs.where(id_ > low)
-        index.add(part if high is None else part.where(id_ <= high), id_col, text_col)
+        index.add(part if high is None else part.where(id_ <= high), id_col, text_col, compact=high is not None)
     index.close()
     spans = reduce(DataFrame.unionByName, index.answers).select(*renamed_key("_s"), "spans")
     joined = index.texts().join(spans, same_row("_s"), "left").select("_rest", "_text", "spans")

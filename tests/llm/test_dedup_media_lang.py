@@ -104,6 +104,30 @@ def test_index_is_incremental_and_compacts(spark):
     index.drop()
 
 
+def test_a_batch_is_answered_without_the_source_of_the_history(spark, tmp_path):
+    import shutil
+
+    long = " ".join("q%d" % i for i in range(30))
+    other = " ".join("z%d" % i for i in range(25))
+    index = substring.WindowIndex(spark, buckets=3, fan_in=2)
+
+    def add(rows, name):
+        path = str(tmp_path / name)
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+        found = {x._id: sorted({s["start"] + k for s in x.spans for k in range(s["n"])}) for x in index.add(spark.read.parquet(path)).collect()}
+        shutil.rmtree(path)
+        return found
+
+    assert add([(5, "a b " + long + " c d"), (6, None), (7, "")], "one") == {}
+    # the words around differ, so that windows are verified against the texts of the batch before; its rows are not answered again
+    assert add([(8, "e f " + long + " g h"), (9, other)], "two") == {8: list(range(2, 13))}
+    assert index.runs == 1
+    # what an earlier batch holds is earlier, whatever its id, also after compaction
+    assert add([(1, "x " + long), (2, "y " + other + " y"), (3, "s t u " + other)], "three") == {1: list(range(1, 12)), 2: list(range(1, 7)), 3: list(range(3, 9))}
+    assert index.runs == 1
+    index.drop()
+
+
 def _repeats(spark, df, fan_in):
     index = substring.WindowIndex(spark, fan_in=fan_in)
     index.add(df)
