@@ -244,3 +244,14 @@ def test_feeds(spark, tmp_path):
     checkpoint = fresh_path(spark, "test-cp")
     feeds.maintained_closure(feeds.delta_feed(spark, folder), "Ip", target, checkpoint).awaitTermination()
     assert spark.read.parquet(f"{target}/0").count() == 3
+
+
+def test_repeated_geometries_are_worked_out_once(monkeypatch):
+    calls = []
+    monkeypatch.setattr(geo, "_KEPT", {})
+    monkeypatch.setattr(geo, "KEPT", 2)
+    f = lambda x: calls.append(x) or geo.area(geo.parse_wkt(x))
+    assert [geo.kept("area", f, (x,)) for x in (SQUARE, SQUARE, "oops", "oops")] == [16, 16, None, None] and calls == [SQUARE, "oops"]
+    long = SQUARE + " " * geo.SHORT
+    assert [geo.kept("area", f, (long,)) for _ in "ab"] == [16, 16] and calls[2:] == [long, long] and len(geo._KEPT) == 2
+    assert geo.kept("other", f, (SQUARE,)) == 16 and calls[4:] == [SQUARE] and len(geo._KEPT) == 1
