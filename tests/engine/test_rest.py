@@ -1,6 +1,8 @@
 import json
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.engine import Dataset
 from tessera.functions import geo, jsonata, jsonschema
@@ -255,3 +257,13 @@ def test_repeated_geometries_are_worked_out_once(monkeypatch):
     long = SQUARE + " " * geo.SHORT
     assert [geo.kept("area", f, (long,)) for _ in "ab"] == [16, 16] and calls[2:] == [long, long] and len(geo._KEPT) == 2
     assert geo.kept("other", f, (SQUARE,)) == 16 and calls[4:] == [SQUARE] and len(geo._KEPT) == 1
+
+
+def test_relations_keep_the_answers_for_equal_pairs(spark):
+    df = spark.createDataFrame([(SQUARE, "POINT(1 1)")] * 3000 + [(SQUARE, "oops"), (None, SQUARE)], "a string, b string").coalesce(1)
+    r = df.select(geo.relations(["sfContains", "sfDisjoint"], F.col("a"), F.col("b")).alias("r"))
+    started = time.monotonic()
+    got = [x.r for x in r.collect()]
+    assert got == [[True, False]] * 3000 + [None, None] and time.monotonic() - started < 15
+    answer = geo.relations(["sfEquals"], F.col("a"), F.col("b"))
+    assert [x.r for x in df.limit(1).select(answer.alias("r")).collect()] == [[False]]  # other names, another answer
