@@ -2,6 +2,8 @@ import duckdb
 import pytest
 
 from tessera import queries
+from tessera.operators import inference
+from tessera.sources import rdf
 from tessera.sources.mapping import tpch
 
 FOLDER = "/root/testdata/sf0.001"
@@ -29,3 +31,16 @@ def test_rows_are_those_of_the_sql(spark, name):
     want = sorted(map(tuple, db.sql(queries.SQL[name]).fetchall()))
     got = sorted(map(tuple, queries.QUERIES[name](spark, FOLDER).collect()))
     assert got == want and got
+
+
+def test_a_predicate_leaves_the_columns_that_have_it(spark):
+    found = tpch(spark, FOLDER).quads().distinct().where("p = 'Ihttp://example.org/n_name'")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "n_name" in plan and found.count() == 25
+
+
+def test_rdfs_takes_repeats_and_known_triples(spark):
+    text = "@prefix : <http://x/> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . :A rdfs:subClassOf :B . :B rdfs:subClassOf :C . :p rdfs:domain :A ; rdfs:subPropertyOf :q . :x :p :y . :x a :B . :x :q :y . :z a :A ."
+    d = spark.createDataFrame(rdf.parse_turtle(text), rdf.QUADS)
+    got = sorted(tuple(x.rsplit("/", 1)[-1].rsplit("#", 1)[-1] for x in r) for r in inference.rdfs(d.unionByName(d)).collect())
+    assert got == sorted([("A", "subClassOf", "C"), ("x", "type", "A"), ("x", "type", "C"), ("z", "type", "B"), ("z", "type", "C")])
