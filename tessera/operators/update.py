@@ -14,7 +14,7 @@ from ..functions import terms as t
 from ..plans import algebra as A
 from ..plans.compiler import compile_pattern
 from ..plans.parser import parse_update
-from ..shared import fresh_path
+from ..shared import fresh_path, settle
 
 
 class ConflictError(RuntimeError):
@@ -23,13 +23,18 @@ class ConflictError(RuntimeError):
 
 @dataclass(frozen=True)
 class Version:
-    """A snapshot in the shared folder, with what it added to and took from its parent."""
+    """A snapshot in the shared folder, with what it added to and took from its parent.
+
+    Without a path it is the quads of `base` (a frame over data that don't change, such as mapped tables) and the deltas
+    since, none of which are written again.
+    """
 
     number: int
-    path: str
+    path: str | None
     parent: "Version | None"
     graphs: frozenset[str]
     delta: str | None = None
+    base: DataFrame | None = field(default=None, compare=False, repr=False)
 
 
 @dataclass
@@ -55,9 +60,17 @@ class GraphStore:
         self._count += 1
         return Version(self._count, path, parent, graphs, delta)
 
+    @staticmethod
+    def over(spark: SparkSession, quads: DataFrame) -> "GraphStore":
+        """A store whose first version is a set of quads that stays where it is; commits write their deltas only."""
+        return GraphStore(spark, heads={"main": Version(1, None, None, frozenset(), base=quads)}, _count=1)
+
     def _publish(self) -> None:
         """The heads as the next generation of the manifest, if there is one; a reader takes the last that is complete."""
         if self.manifest is not None:
+            for w, v in self.heads.items():
+                if v.path is None:  # a manifest names folders
+                    self.heads[w] = self._write(self._read(v), v.parent, v.graphs, v.delta)
             self._generation += 1
             heads = {w: {"number": v.number, "path": v.path, "graphs": sorted(v.graphs), "delta": v.delta} for w, v in self.heads.items()}
             text = json.dumps({"generation": self._generation, "count": self._count, "heads": heads})
@@ -71,7 +84,27 @@ class GraphStore:
         return GraphStore(spark, heads=heads, manifest=manifest, _count=found["count"], _generation=found["generation"])
 
     def quads(self, world: str = "main") -> DataFrame:
-        return self.spark.read.schema(QUADS).parquet(self.heads[world].path)
+        return self._read(self.heads[world])
+
+    def _read(self, version: Version) -> DataFrame:
+        if version.path is not None:
+            return self.spark.read.schema(QUADS).parquet(version.path)
+        if version.delta is None:
+            return version.base
+        # the last change of a quad since the base says whether it is there
+        changes, at = None, version
+        while at.delta is not None:
+            one = self.spark.read.parquet(at.delta)
+            changes = one if changes is None else changes.unionByName(one)
+            at = at.parent
+        last = changes.groupBy("s", "p", "o", "g").agg(F.max_by("change", "version").alias("change"))
+        return absent(version.base, last, self._predicates(last)).unionByName(last.where("change = 1").select("s", "p", "o", "g"))
+
+    @staticmethod
+    def _predicates(quads: DataFrame) -> list[str] | None:
+        """The distinct predicates, or None if there are too many for a condition."""
+        found = [r["p"] for r in quads.select("p").distinct().limit(201).collect()]
+        return found if len(found) <= 200 else None
 
     def dataset(self, world: str = "main", **options) -> Dataset:
         return Dataset(self.spark, self.quads(world), **options)
@@ -82,13 +115,24 @@ class GraphStore:
         if expected is not None and expected != head:
             raise ConflictError(f"{world} is at version {head.number}, not {expected.number}")
         old = self.quads(world)
-        adds = absent(inserts.select("s", "p", "o", "g").distinct(), old)
-        removes = absent(_common(old, deletes), inserts)
+        if head.path is None:  # what is deleted and inserted is written, and the data are read where they have its predicates
+            inserts, deletes = settle(inserts.select("s", "p", "o", "g").distinct(), "inserts"), settle(deletes.select("s", "p", "o", "g").distinct(), "deletes")
+            into, out_of = self._predicates(inserts), self._predicates(deletes)
+            adds = absent(inserts, old if into is None else old.where(F.col("p").isin(into) if into else F.lit(False)))
+            removes = absent(_common(old if out_of is None else old.where(F.col("p").isin(out_of) if out_of else F.lit(False)), deletes), inserts)
+        else:
+            adds = absent(inserts.select("s", "p", "o", "g").distinct(), old)
+            removes = absent(_common(old, deletes), inserts)
         path = fresh_path(self.spark, "delta")
         adds.withColumn("change", F.lit(1)).unionByName(removes.withColumn("change", F.lit(-1))).withColumn("version", F.lit(self._count + 1)).write.parquet(path)
         delta = self.spark.read.parquet(path)
-        new = absent(old, delta.where("change = -1")).unionByName(delta.where("change = 1").select("s", "p", "o", "g"))
-        version = self._write(new, head, head.graphs if graphs is None else graphs, path)
+        graphs = head.graphs if graphs is None else graphs
+        if head.path is None:
+            self._count += 1
+            version = Version(self._count, None, head, graphs, path, head.base)
+        else:
+            new = absent(old, delta.where("change = -1")).unionByName(delta.where("change = 1").select("s", "p", "o", "g"))
+            version = self._write(new, head, graphs, path)
         if self.heads[world] is not head:
             raise ConflictError(f"{world} moved during the commit")
         self.heads[world] = version
@@ -175,7 +219,17 @@ class GraphStore:
 
     def diff(self, a: str, b: str) -> DataFrame:
         """(s, p, o, g, change): 1 for what b has and a has not, -1 for the reverse."""
-        x, y = self.quads(a), self.quads(b)
+        x, y = self.heads[a], self.heads[b]
+        if x.path is None and y.path is None and x.base is y.base:  # quads that no delta names are in both
+            named = None
+            for v in (*self.history(a), *self.history(b)):
+                if v.delta is not None:
+                    one = self.spark.read.parquet(v.delta).select("p")
+                    named = one if named is None else named.unionByName(one)
+            touched = [] if named is None else self._predicates(named)
+            x, y = (self._read(v) if touched is None else self._read(v).where(F.col("p").isin(touched) if touched else F.lit(False)) for v in (x, y))
+        else:
+            x, y = self._read(x), self._read(y)
         return absent(y, x).withColumn("change", F.lit(1)).unionByName(absent(x, y).withColumn("change", F.lit(-1)))
 
     def history(self, world: str = "main") -> list[Version]:
@@ -198,8 +252,14 @@ def _keyed(df: DataFrame, mark: str) -> DataFrame:
     return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(mark + c) for c in "spog"])
 
 
-def absent(left: DataFrame, right: DataFrame) -> DataFrame:
-    return _match(left, right, "left_anti")
+def absent(left: DataFrame, right: DataFrame, predicates: list[str] | None = None) -> DataFrame:
+    """The rows of left that right has not; with the predicates of right, the others are not compared."""
+    if predicates is None:
+        return _match(left, right, "left_anti")
+    if not predicates:
+        return left
+    mine = F.col("p").isin(predicates)
+    return left.where(~mine).unionByName(_match(left.where(mine), right, "left_anti"))
 
 
 def _common(left: DataFrame, right: DataFrame) -> DataFrame:

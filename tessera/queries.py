@@ -332,9 +332,7 @@ plan("ask", "SELECT true AS answer")(lambda s, f: s.createDataFrame([(quad_datas
 
 
 def _store(spark: SparkSession, folder: str, quads: Q = all_quads) -> GraphStore:
-    store = GraphStore(spark)
-    store.insert(quads(spark, folder))
-    return store
+    return GraphStore.over(spark, quads(spark, folder))
 
 
 @plan("update_modify", "SELECT 'http://example.org/nation/' || n_nationkey AS s, lower(n_name) AS o FROM nation")

@@ -3,6 +3,7 @@ import pytest
 
 from tessera import queries
 from tessera.operators import inference
+from tessera.operators.update import GraphStore
 from tessera.sources import rdf
 from tessera.sources.mapping import tpch
 
@@ -44,3 +45,18 @@ def test_rdfs_takes_repeats_and_known_triples(spark):
     d = spark.createDataFrame(rdf.parse_turtle(text), rdf.QUADS)
     got = sorted(tuple(x.rsplit("/", 1)[-1].rsplit("#", 1)[-1] for x in r) for r in inference.rdfs(d.unionByName(d)).collect())
     assert got == sorted([("A", "subClassOf", "C"), ("x", "type", "A"), ("x", "type", "C"), ("z", "type", "B"), ("z", "type", "C")])
+
+
+def test_a_store_over_quads_writes_its_changes_only(spark):
+    text = "@prefix : <http://x/> . :a :p 1 , 2 ; :q 3 . :b :p 1 ."
+    d = spark.createDataFrame(rdf.parse_turtle(text), rdf.QUADS)
+    lazy, full = GraphStore.over(spark, d), GraphStore(spark)
+    full.insert(d)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    for store in (lazy, full):
+        store.fork("w")
+    for text in ("DELETE DATA { :a :p 1 }", "DELETE { ?s :p ?o } INSERT { ?o :was ?s . ?s :p 1 } WHERE { ?s :p ?o }"):
+        for store in (lazy, full):
+            store.update(text, "w", {"": "http://x/"})
+    assert rows(lazy.quads("w")) == rows(full.quads("w")) and rows(lazy.diff("main", "w")) == rows(full.diff("main", "w"))
+    assert lazy.heads["w"].path is None and rows(lazy.quads()) == rows(d)
