@@ -383,7 +383,7 @@ SELECT DISTINCT 'http://example.org/customer/' || o_custkey, 'http://example.org
     lambda s, f: inference.rdfs(all_rows(s, f).unionByName(s.createDataFrame(rdf.parse_turtle(_SCHEMA_ALL), rdf.QUADS))).where(F.col("p") == inference.TYPE).select(t.lexical(F.col("s")).alias("s"), t.lexical(F.col("o")).alias("o"))
 )
 plan("owl_rl_inverse", "SELECT 'http://example.org/region/' || n_regionkey AS s, 'http://example.org/nation/' || n_nationkey AS o FROM nation")(
-    lambda s, f: inference.owl_rl(_triples(s, f))[0].where(F.col("p") == t.iri(BASE + "holds")).select(t.lexical(F.col("s")).alias("s"), t.lexical(F.col("o")).alias("o"))
+    lambda s, f: inference.owl_rl(_triples(s, f, all_rows))[0].where(F.col("p") == t.iri(BASE + "holds")).select(t.lexical(F.col("s")).alias("s"), t.lexical(F.col("o")).alias("o"))
 )
 plan("type_expansion", "SELECT count(*) AS n FROM nation")(
     lambda s, f: Dataset(s, _triples(s, f), prefixes={"": BASE}, types_of=inference.types_of(_triples(s, f))).select("SELECT (COUNT(*) AS ?n) WHERE { ?s a :Thing }")

@@ -71,3 +71,24 @@ def test_a_path_starts_from_the_nodes_it_is_joined_with(spark, monkeypatch):
     got = sorted((r.s[-1], r.y[-1]) for r in d.select("SELECT ?s ?y { ?s :n ?x . ?s :next* ?y }").collect())
     assert got == [("a", "a"), ("a", "b"), ("a", "c"), ("d", "a"), ("d", "b"), ("d", "c"), ("d", "d"), ("e", "e")]
     assert len(seen) == 1 and seen[0].count() == 3
+
+
+def test_owl_rl_writes_what_its_axioms_name(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(inference, "settle", lambda df, what="step", settle=inference.settle: (written.append((out := settle(df, what)).count()), out)[1])
+    got = sorted(map(tuple, queries.QUERIES["owl_rl_inverse"](spark, FOLDER).collect()))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW nation AS SELECT * FROM '{FOLDER}/nation.parquet'")
+    assert got == sorted(map(tuple, db.sql(queries.SQL["owl_rl_inverse"]).fetchall())) and got
+    assert sum(written) < 2000 < tpch(spark, FOLDER).quads().count()
+
+
+def test_owl_rl_takes_repeats_derived_axioms_and_late_cliques(spark):
+    text = """@prefix : <http://x/> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . @prefix owl: <http://www.w3.org/2002/07/owl#> .
+      :p rdfs:subPropertyOf rdfs:subClassOf . :A :p :B . :u a :A . :q owl:inverseOf :r . :a :q :b . :r a owl:FunctionalProperty . :c :q :b . :a :n 1 . :c :n 2 ."""
+    d = spark.createDataFrame(rdf.parse_turtle(text), rdf.QUADS)
+    closed, cliques = inference.owl_rl(d.unionByName(d))
+    short = lambda x: x.rsplit("/", 1)[-1].rsplit("#", 1)[-1].rsplit("\x01", 1)[-1]
+    got = [tuple(map(short, r)) for r in closed.collect()]
+    assert len(got) == len(set(got)) and {("u", "type", "B"), ("A", "subClassOf", "B"), ("b", "r", "a"), ("a", "n", "1"), ("a", "n", "2")} <= set(got)
+    assert not any(r[0] == "c" for r in got) and ("c", "a") in {(short(r.node), short(r.component)) for r in cliques.collect()}
