@@ -12,6 +12,7 @@ from .functions import geo, jsonata, jsonschema
 from .functions import terms as t
 from .operators import graph, inference, multiway, paths, regions, scans, shacl, temporal
 from .operators.update import GraphStore
+from .shared import settle
 from .sources import canonical, rdf
 from .sources.mapping import BASE, tpch
 
@@ -181,11 +182,16 @@ sparql("path_star", "SELECT (COUNT(*) AS ?n) WHERE { ?c :n_name ?name . ?c :inRe
 sparql("path_optional", "SELECT ?k (COUNT(*) AS ?n) WHERE { ?c :n_nationkey ?k . ?c :inRegion? ?x } GROUP BY ?k", "SELECT n_nationkey AS k, 2::BIGINT AS n FROM nation")
 
 
-def part_links(spark: SparkSession, folder: str) -> DataFrame:
-    """Edges between the parts of successive lines of an order."""
+def part_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """(src, dst) of the parts of successive lines of an order, as often as they come."""
     lines = read(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     after = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    return lines.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(after).alias("dst")).where("dst IS NOT NULL AND src <> dst").distinct()
+    return lines.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(after).alias("dst")).where("dst IS NOT NULL AND src <> dst")
+
+
+def part_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges between the parts of successive lines of an order."""
+    return part_steps(spark, folder).distinct()
 
 
 _LINKS = """e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst),
@@ -467,9 +473,10 @@ plan("star_keys", "SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey IN
 
 @plan("hypercube_triangles", f"WITH {_LINKS} SELECT 6 * count(*) AS n FROM u x JOIN u y ON x.dst = y.src JOIN u z ON z.src = x.src AND z.dst = y.dst")
 def _hypercube(spark: SparkSession, folder: str) -> DataFrame:
-    both = graph.both_ways(graph.undirected(part_links(spark, folder)))
-    a, b, c = (both.toDF(*names) for names in (("a", "b"), ("b", "c"), ("c", "a")))
-    return multiway.hypercube_triangles(a, b, c).agg(F.count(F.lit(1)).alias("n"))
+    # a triangle stands six times in the edges both ways, once in those from the smaller part to the larger
+    edges = settle(graph.undirected(part_steps(spark, folder)), "hypercube")
+    ab, bc, ac = (edges.toDF(*names) for names in (("a", "b"), ("b", "c"), ("a", "c")))
+    return multiway.hypercube_triangles(ab, bc, ac).agg((F.lit(6) * F.count(F.lit(1))).alias("n"))
 
 
 plan("canonical_labels", f"SELECT '{BASE}' || upper(o[1]) || o[2:] AS cls, count(DISTINCT s) AS labels FROM ({_all_terms()}) WHERE p = 'type' GROUP BY 1")(

@@ -217,3 +217,32 @@ def test_owl_syntaxes(spark):
     for bad in ("Ontology(Nonsense(:a))", "Prefix(:=<http://x/>) Ontology(SubClassOf(:a Wrong(:b)))"):
         with pytest.raises((ValueError, KeyError)):
             owl.parse_functional(bad)
+
+
+def test_hypercube_packs_integers_and_keeps_multiplicity(spark):
+    r = random.Random(5)
+    for kind, value in (("int", lambda k: k), ("bigint", lambda k: (-1) ** k * k * 2**58 if k else None), ("string", lambda k: f"v{k}" if k else None)):
+        rows = [[(value(r.randrange(9)), value(r.randrange(9))) for _ in range(60)] for _ in range(3)]
+        frames = [spark.createDataFrame(x, f"{m} {kind}, {n} {kind}") for x, (m, n) in zip(rows, ("ab", "bc", "ca"))]
+        want = sorted((a, b, c) for a, b in rows[0] for b2, c in rows[1] if None not in (a, b, c) and b == b2 for c2, a2 in rows[2] if (c, a) == (c2, a2))
+        for side in (None, 3):
+            found = multiway.hypercube_triangles(*frames, side)
+            assert sorted(map(tuple, found.collect())) == want and want and [x[1] for x in found.dtypes] == [kind] * 3
+        # pairs of two relations are not sorted: integers are looked up in the cells, others hashed
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert ("ShuffledHashJoin" in plan) if kind == "string" else ("Join" not in plan)
+    empty = spark.createDataFrame([], "a int, b int")
+    assert multiway.hypercube_triangles(empty, empty.toDF("b", "c"), empty.toDF("c", "a")).count() == 0
+
+
+def test_hypercube_slices_what_it_extends(spark, monkeypatch):
+    import pyarrow as pa
+
+    e = [(r.src, r.dst) for r in graph.both_ways(graph.random_graph(spark, 30, 0.3, 4)).collect()]
+    monkeypatch.setattr(multiway, "SLICE", 7)
+    batch = pa.RecordBatch.from_arrays([pa.array([x for x, _ in e], pa.int64()), pa.array([y for _, y in e], pa.int64())], names=["x", "y"])
+    cells = [x for k in range(3) for x in multiway._packer(k, 2)(iter([batch]))]
+    whole = pa.Table.from_batches(cells).sort_by("cell").to_batches()
+    got = [t for b in multiway._joined_cells(iter(whole)) for t in zip(*b.to_pydict().values())]
+    edges = set(e)
+    assert sorted(got) == sorted((a, b, c) for a, b in edges for b2, c in edges if b == b2 and (c, a) in edges) and len(got) > 100
