@@ -480,7 +480,7 @@ def _hypercube(spark: SparkSession, folder: str) -> DataFrame:
 
 
 plan("canonical_labels", f"SELECT '{BASE}' || upper(o[1]) || o[2:] AS cls, count(DISTINCT s) AS labels FROM ({_all_terms()}) WHERE p = 'type' GROUP BY 1")(
-    lambda s, f: canonical.labelled(dataset(s, f).mapping.quads().distinct().withColumn("s", F.concat(F.lit("B"), F.xxhash64("s").cast("string"))))
+    lambda s, f: canonical.labelled(*[df.withColumn("s", F.concat(F.lit("B"), F.xxhash64("s").cast("string"))) for df in (tpch(s, f).quads(), tpch(s, f).stars())])
     .where(F.col("p") == inference.TYPE).groupBy(t.lexical(F.col("o")).alias("cls")).agg(F.count_distinct("s").alias("labels"))
 )
 plan("rcc8_closure", "SELECT 'http://example.org/nation/' || a.n_nationkey AS a, 'http://example.org/nation/' || b.n_nationkey AS b FROM nation a, nation b WHERE a.n_regionkey <> b.n_regionkey")(

@@ -246,3 +246,24 @@ def test_hypercube_slices_what_it_extends(spark, monkeypatch):
     got = [t for b in multiway._joined_cells(iter(whole)) for t in zip(*b.to_pydict().values())]
     edges = set(e)
     assert sorted(got) == sorted((a, b, c) for a, b in edges for b2, c in edges if b == b2 and (c, a) in edges) and len(got) > 100
+
+
+def test_nodes_that_nothing_connects_are_labelled_by_hashes(spark, monkeypatch):
+    one, two = t.literal("1"), t.literal("2")
+    rows = [("Ba", f"I{X}p", one, None), ("Ba", f"I{X}p", two, None), ("Bb", f"I{X}p", one, None), ("Bc", f"I{X}p", "Bc", None), (f"I{X}i", f"I{X}p", "Bb", f"I{X}g"), (f"I{X}i", f"I{X}q", one, "Bg"), ("Bx", f"I{X}p", "By", None), (f"I{X}i", f"I{X}p", f"I{X}j", None)]
+    new = {"Ba": "Bn7", "Bb": "Bn3", "Bc": "Bn1", "Bg": "Bn9", "Bx": "Bn2", "By": "Bn8"}
+    other = [tuple(new.get(x, x) for x in q) for q in rows]
+    found = lambda *x: sorted({tuple(map(str, r)) for r in canonical.labelled(*x).collect()})
+    want = found(quads(spark, rows))
+    assert len(want) == len(rows) and len({x for q in want for x in (q[0], q[2], q[3]) if x[0] == "B"}) == 6 and not {x for q in want for x in q} & set(new)
+    assert found(quads(spark, other + other[:3])) == want
+    # the same from rows that hold a part of a subject's quads each, some of them twice
+    parts: dict = {}
+    for s, p, o, g in other:
+        parts.setdefault(s, []).append((p, o, g))
+    stars = [(s, part) for s, x in parts.items() for part in (x[:1], x)]
+    assert found(quads(spark, other), spark.createDataFrame(stars, "s string, quads array<struct<p string, o string, g string>>")) == want
+    # no Python, and no quads as text, for nodes that nothing connects
+    monkeypatch.setattr(canonical, "Canonicalizer", None)
+    plan = canonical.labelled(quads(spark, rows[:6]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct" not in plan and "MapInArrow" not in plan
