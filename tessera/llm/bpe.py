@@ -5,37 +5,41 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import thrifty
 
-#: Words whose ids a worker remembers in each of two generations.
+#: Pieces whose ids a worker remembers in each of two generations.
 CACHE_WORDS = 100_000
-#: Longer segments are encoded without being remembered.
+#: Longer pieces are encoded one by one and without being remembered.
 CACHE_WORD_CHARS = 64
 #: Neighbours whose fit a worker remembers.
 CACHE_FITS = 1_000_000
-#: Characters of text whose new words are encoded together.
+#: Characters of text whose new pieces are encoded together.
 BLOCK_CHARS = 1 << 20
+#: Longest piece in bytes that is encoded together with others: as many positions can be marked as dead in a word.
+MASK_BITS = 63
+#: Pieces that are encoded together at most; with fewer than FEW left, the rest of them is encoded one by one.
+MOST, FEW = 1 << 16, 32
 
-#: Fixed value: the one pattern whose matches are known to end in front of a space that follows a character other than
-#: white space, and between letters and the marks of _ENDS. Texts under any other pattern are split by the pattern alone.
+#: Fixed value: the one pattern that is also compiled by `re` with its classes spelled out, as that takes a third of the
+#: time. Texts under any other pattern are split by the pattern as it is.
 KNOWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_CUT = re.compile(r"(?<=\S) ")
-_SPACE_BEHIND_SPACE = re.compile(r"^ |\s ").search
-_ENDS = frozenset(".,;:!?")
 _LOADED: dict[tuple[str, str], "ByteBpe"] = {}
 #: No UTF-8 text has this byte, so it parts pieces that are looked at together.
-_PART, _PART_LETTER = "\udcff", "\xff"
+_PART, _PART_LETTER, _PART_BYTE = "\udcff", "\xff", b"\xff"
 _BITS = 24
 _START = (1 << _BITS) - 1
+_SLOT_BITS = 19
 
 
 class _Fits(dict):
@@ -55,6 +59,40 @@ class _Fits(dict):
         return token
 
 
+class _FitTable:
+    """The same for arrays of keys: each key has one slot, and what isn't in its slot is asked of `fits` and put there."""
+
+    def __init__(self, fits: _Fits):
+        self.fits = fits
+        self.keys, self.values = np.full(1 << _SLOT_BITS, -1, np.int64), np.zeros(1 << _SLOT_BITS, np.int64)
+
+    def look_up(self, keys: np.ndarray) -> np.ndarray:
+        slots = (keys.view(np.uint64) * np.uint64(0x9FB21C651E98DF25) >> np.uint64(64 - _SLOT_BITS)).view(np.int64)
+        out = self.values[slots]
+        missed = np.flatnonzero(self.keys[slots] != keys)
+        if len(missed):
+            asked = keys[missed]
+            out[missed] = found = np.fromiter(map(self.fits.__getitem__, asked.tolist()), np.int64, len(asked))
+            # one by one in effect: of keys that share a slot the last is kept, with its own value
+            last = dict(zip(slots[missed].tolist(), range(len(missed))))
+            kept, where = np.fromiter(last.values(), np.int64, len(last)), np.fromiter(last, np.int64, len(last))
+            self.keys[where], self.values[where] = asked[kept], found[kept]
+        return out
+
+
+def _spelled_out(regex) -> re.Pattern:
+    """KNOWN_PATTERN for `re`, with the characters of the basic plane that `regex` has in its classes."""
+    every = "".join(chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000)
+
+    def inside(name: str) -> str:
+        codes = np.array([ord(c) for c in regex.findall(name, every)])
+        firsts, lasts = codes[np.diff(codes, prepend=-2) != 1].tolist(), codes[np.diff(codes, append=1 << 20) != 1].tolist()
+        return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(firsts, lasts))
+
+    letter, number, space = map(inside, (r"\p{L}", r"\p{N}", r"\s"))
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
 class ByteBpe:
     """Encodes and decodes by merge ranks.
 
@@ -62,7 +100,7 @@ class ByteBpe:
     every two neighbours are compatible: merging the bytes of both gives these two tokens again. So the automaton runs
     over a piece once and gives its longest matches from the left; where one doesn't fit its neighbour, the next shorter
     token is taken and the automaton goes on behind it, and if none is left, the position is marked as dead and the
-    last token taken back.
+    last token taken back. New pieces of a block go through that together in rounds, up to the first that is dead.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
@@ -90,22 +128,22 @@ class ByteBpe:
                     break
         self.history = lru_cache(1 << 13)(self._history)
         self.fits = _Fits(self.compatible, self.shorter.get)
-        #: segment -> (ids as text, decoded bytes); spaced: the same for a space and the word that is the key
+        self.fit_table = _FitTable(self.fits)
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.text_sizes, self.byte_sizes = self.sizes.copy(), self.sizes.copy()
+        for token, rank in ranks.items():
+            self.text_sizes[rank], self.byte_sizes[rank] = len(self.text_of[rank]), len(token)
+        self.sizes[list(self.size_of)] = list(self.size_of.values())
+        self.less = np.full(len(self.sizes), -1)
+        self.less[list(self.shorter)] = list(self.shorter.values())
+        #: tokens that merging never gives; they stand only for a piece that is equal to them
+        self.unreachable = {token.decode("latin-1") for token in ranks if token not in reachable}
+        #: whether no match reaches over what parts pieces
+        self.parted = _PART_BYTE in reachable and not any(_PART_BYTE in token[:-1] or token.endswith(_PART_BYTE) and len(token) > 1 for token in ranks)
+        #: piece -> (ids as text, decoded bytes)
         self.memo: dict[str, tuple[str, bytes]] = {}
-        self.spaced: dict[str, tuple[str, bytes]] = {}
         self.older: dict[str, tuple[str, bytes]] = {}
-        self.older_spaced: dict[str, tuple[str, bytes]] = {}
-        self.known = pattern == KNOWN_PATTERN
-        self.odd = self._odd_letters(regex) if self.known else set()
-
-    @staticmethod
-    def _odd_letters(regex) -> set[str]:
-        """Characters that str.isalpha and the pattern's letter class tell apart (versions of Unicode differ)."""
-        every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-        return set(regex.findall(r"\p{L}", every)) ^ {c for c in every if c.isalpha()}
-
-    def _letters(self, word: str) -> bool:
-        return word.isalpha() and (word.isascii() or self.odd.isdisjoint(word))
+        self.spelled_out = _spelled_out(regex).findall if pattern == KNOWN_PATTERN else None
 
     @staticmethod
     def load(path: str, pattern: str) -> "ByteBpe":
@@ -199,104 +237,156 @@ class ByteBpe:
         return self.encode_letters(piece.decode("latin-1"))
 
     def forget(self) -> None:
-        """Lets go of the older generations, for tasks of other kinds that may come next."""
-        self.older, self.older_spaced = {}, {}
+        """Lets go of the older generation, for tasks of other kinds that may come next."""
+        self.older = {}
 
     def encode(self, text: str) -> list[int]:
-        return [i for piece in self.split(text) for i in self.encode_piece(piece.encode())]
+        return [i for piece in self.pieces(text) for i in self.encode_piece(piece.encode())]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def _entries(self, pieces: list[str]) -> list[tuple[str, bytes]]:
-        """(ids as text, each behind a space; decoded bytes) of matches of the pattern."""
-        text_of, bytes_of, encode, out = self.text_of, self.bytes_of, self.encode_letters, []
-        if pieces:
-            for letters in _PART.join(pieces).encode("utf-8", "surrogateescape").decode("latin-1").split(_PART_LETTER):
-                ids = encode(letters)
-                if len(ids) == 1:
-                    out.append((text_of[ids[0]], bytes_of[ids[0]]))
-                else:
-                    out.append(("".join([text_of[i] for i in ids]), b"".join([bytes_of[i] for i in ids])))
+    def _next(self, last: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The longest token shorter than each that begins like it and fits behind the last; -1 if there is none."""
+        less = self.less[token]
+        out = np.full(len(less), -1)
+        some = np.flatnonzero(less >= 0)
+        out[some] = self.fit_table.look_up(last[some] << _BITS | less[some])
         return out
 
-    def _learn(self, words: Iterable[str], memo: dict, older: dict, before: str) -> dict:
-        """Puts the entries of `before` and each word in the memo, or hands back those of words that are too long for it."""
-        plain, ended, others, others_pieces, counts, letters = [], [], [], [], [], self._letters
-        for word in words:
-            if (found := older.get(word)) is not None:
-                memo[word] = found
-            elif letters(word):
-                plain.append(word)
-            elif word[-1:] in _ENDS and letters(word[:-1]):
-                ended.append(word)
-            else:
-                pieces = self.split(before + word)
-                others.append(word)
-                others_pieces += pieces
-                counts.append(len(pieces))
-        # a letter and one of the marks never share a match
-        stems = {word[:-1] for word in ended}.difference(memo, plain)
-        plain += [stem for stem in stems if older.get(stem) is None or memo.setdefault(stem, older[stem]) is None]
-        memo.update(zip(plain, self._entries([before + word for word in plain])))
-        marks = {mark: (self.text_of[rank], self.bytes_of[rank]) for mark in _ENDS for rank in [self.ranks[mark.encode()]]}
-        for word in ended:
-            (ids, data), (id_, byte) = memo[word[:-1]], marks[word[-1]]
-            memo[word] = (ids + id_, data + byte)
-        entries, long = iter(self._entries(others_pieces)), {}
-        for word, n in zip(others, counts):
-            parts = list(islice(entries, n))
-            found = parts[0] if n == 1 else ("".join([p[0] for p in parts]), b"".join([p[1] for p in parts]))
-            (memo if len(word) <= CACHE_WORD_CHARS else long)[word] = found
-        for word in (*plain, *ended):
-            if len(word) > CACHE_WORD_CHARS:
-                long[word] = memo.pop(word)
-        return long
-
-    def segments(self, text: str) -> list[str]:
-        """The text cut in front of spaces behind a character that isn't white space.
-
-        White space stands only at the start of a match of the known pattern, so a match ends there in any case, and
-        what the pattern looks ahead at lies inside one segment.
+    def _together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, in the order of the pieces; how many of them each piece has) of matches of the pattern.
+
+        What encode_letters does, for all pieces at once. Each round is one pass of the automaton over what is left of
+        them: tokens are taken up to the first that doesn't fit, then the next shorter one is, or tokens are taken back.
         """
-        first, *parts = _CUT.split(text)
-        return [first, *[" " + part for part in parts]]
+        n, part = len(pieces), self.ranks.get(_PART_BYTE)
+        letters = _PART.join(pieces).encode("utf-8", "surrogateescape").decode("latin-1").split(_PART_LETTER)
+        length = np.fromiter(map(len, letters), np.int64, n)
+        alone = length > MASK_BITS
+        if not self.parted:
+            alone[:] = True
+        elif self.unreachable:
+            alone |= np.fromiter(map(self.unreachable.__contains__, letters), bool, n)
+        taken = np.empty((n, MASK_BITS), np.int32)
+        depth, at, last, dead = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, _START), np.zeros(n, np.uint64)
+        which = np.flatnonzero(~alone & (length > 0))
+        while len(which) >= FEW:
+            text = "".join([letters[i][a:] + _PART_LETTER for i, a in zip(which.tolist(), at[which].tolist())])
+            tokens = np.fromiter(map(itemgetter(1), self.automaton.iter_long(text)), np.int64)
+            behind, parts = np.cumsum(self.sizes[tokens]), np.flatnonzero(tokens == part)
+            if behind[-1] != len(text) or len(parts) != len(which):
+                raise ValueError("a byte of the text is not in the vocabulary")
+            found = np.diff(parts, prepend=-1)
+            row, starts = np.repeat(np.arange(len(which)), found), parts - found + 1
+            behind += np.repeat(length[which] + 1 - behind[parts], found)  # now counted from the start of the piece
+            before = np.empty_like(tokens)
+            before[1:] = tokens[:-1]
+            before[starts] = last[which]
+            tokens[parts] = before[parts] = _START  # fits behind itself
+            best = self.fit_table.look_up(before << _BITS | tokens)
+            wrong = best != tokens
+            barred = dead[which]
+            if barred.any():
+                wrong |= (barred[row] >> np.minimum(behind, MASK_BITS).astype(np.uint64) & np.uint64(1)).astype(bool) & (tokens != _START)
+            misfits = np.flatnonzero(wrong)
+            misfits = misfits[np.diff(row[misfits], prepend=-1) != 0]
+            until = parts.copy()
+            until[row[misfits]] = misfits
+            nth = np.arange(len(tokens))
+            kept = np.flatnonzero(nth < until[row])
+            taken[which[row[kept]], depth[which[row[kept]]] + kept - starts[row[kept]]] = tokens[kept]
+            depth[which] += until - starts
+            which, best, last_of = which[row[misfits]], best[misfits], before[misfits]
+            at[which], last[which] = np.where(misfits > starts[row[misfits]], behind[misfits - 1], at[which]), last_of
+            which = self._settled(which, best, taken, depth, at, last, dead)
+            which = which[at[which] < length[which]]
+        alone[which] = True
+        single = np.flatnonzero(alone)
+        by_one = [self.encode_letters(letters[i]) for i in single.tolist()]
+        depth[single] = 0
+        owner = np.repeat(np.arange(n), depth)
+        ids = taken[np.arange(MASK_BITS) < depth[:, None]].astype(np.int64)
+        if by_one:
+            owner = np.concatenate([owner, np.repeat(single, [len(found) for found in by_one])])
+            ids = np.concatenate([ids, np.fromiter(chain.from_iterable(by_one), np.int64)])
+            ids = ids[np.argsort(owner, kind="stable")]
+        return ids, np.bincount(owner, minlength=n)
+
+    def _settled(self, rows: np.ndarray, best: np.ndarray, taken: np.ndarray, depth: np.ndarray, at: np.ndarray, last: np.ndarray, dead: np.ndarray) -> np.ndarray:
+        """The rows again, each with one more token taken: `best`, a shorter one, or one behind tokens that are taken back."""
+        settled = []
+        while len(rows):
+            while True:
+                barred = np.flatnonzero(best >= 0)
+                to = (at[rows[barred]] + self.sizes[best[barred]]).astype(np.uint64)
+                barred = barred[(dead[rows[barred]] >> to & np.uint64(1)).astype(bool)]
+                if not len(barred):
+                    break
+                best[barred] = self._next(last[rows[barred]], best[barred])
+            good = best >= 0
+            done, token = rows[good], best[good]
+            taken[done, depth[done]] = token
+            depth[done] += 1
+            at[done] += self.sizes[token]
+            last[done] = token
+            settled.append(done)
+            rows = rows[~good]
+            if not depth[rows].all():
+                raise ValueError("a byte of the text is not in the vocabulary")
+            dead[rows] |= np.uint64(1) << at[rows].astype(np.uint64)
+            depth[rows] -= 1
+            back = taken[rows, depth[rows]].astype(np.int64)
+            at[rows] -= self.sizes[back]
+            last[rows] = np.where(depth[rows] > 0, taken[rows, depth[rows] - 1], _START)
+            best = self._next(last[rows], back)
+        return np.concatenate(settled) if settled else rows
+
+    def _entries(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(ids as text, each behind a space; decoded bytes) of matches of the pattern."""
+        ids, counts = self._together(pieces)
+        ends = np.cumsum(counts)
+        listed = ids.tolist()
+        parts = []
+        for values, sizes, nothing in ((self.text_of, self.text_sizes, ""), (self.bytes_of, self.byte_sizes, b"")):
+            joined = nothing.join(map(values.__getitem__, listed))
+            at = np.concatenate([[0], np.cumsum(sizes[ids])])[np.concatenate([[0], ends])].tolist()
+            parts.append([joined[a:b] for a, b in zip(at, at[1:])])
+        return zip(*parts)
+
+    def pieces(self, text: str) -> list[str]:
+        """The matches of the pattern."""
+        if self.spelled_out and (text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text)):
+            return self.spelled_out(text)
+        return self.split(text)
 
     def _block(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
-        cut = []
-        for text in texts:
-            if _SPACE_BEHIND_SPACE(text):
-                cut.append((self.segments(text), []))
-            else:
-                first, *rest = text.split(" ")
-                cut.append(([first] if first else [], rest))
+        cut = [self.pieces(text) for text in texts]
         if len(self.memo) >= CACHE_WORDS:
             self.memo, self.older = {}, self.memo
-        if len(self.spaced) >= CACHE_WORDS:
-            self.spaced, self.older_spaced = {}, self.spaced
-        long = self._learn(set().union(*[c[0] for c in cut]).difference(self.memo), self.memo, self.older, "")
-        long_spaced = self._learn(set().union(*[c[1] for c in cut]).difference(self.spaced), self.spaced, self.older_spaced, " ")
-        memo, spaced = self.memo | long if long else self.memo, self.spaced | long_spaced if long_spaced else self.spaced
-        for whole, rest in cut:
+        memo, older = self.memo, self.older
+        new = []
+        for piece in set().union(*cut).difference(memo):
+            if (found := older.get(piece)) is not None:
+                memo[piece] = found
+            else:
+                new.append(piece)
+        for first in range(0, len(new), MOST):
+            memo.update(zip(new[first : first + MOST], self._entries(new[first : first + MOST])))
+        if long := {piece: memo.pop(piece) for piece in new if len(piece) > CACHE_WORD_CHARS}:
+            memo = memo | long
+        for found in cut:
             ids_hash, bytes_hash, n = hashlib.sha256(), hashlib.sha256(), 0
-            for segments, known in ((whole, memo), (rest, spaced)):
-                for first in range(0, len(segments), 4096):
-                    ids, decoded = zip(*map(known.__getitem__, segments[first : first + 4096]))
-                    line = "".join(ids)
-                    ids_hash.update((line if n else line[1:]).encode())
-                    bytes_hash.update(b"".join(decoded))
-                    n += line.count(" ")
+            for first in range(0, len(found), 4096):
+                entries = list(map(memo.__getitem__, found[first : first + 4096]))
+                line = "".join(map(itemgetter(0), entries))
+                ids_hash.update((line if n else line[1:]).encode())
+                bytes_hash.update(b"".join(map(itemgetter(1), entries)))
+                n += line.count(" ")
             yield n, ids_hash.hexdigest(), bytes_hash.hexdigest()
 
-    def _by_pattern(self, text: str) -> tuple[int, str, str]:
-        ids = self.encode(text)
-        return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
-
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """(number of ids, SHA-256 of the ids in decimal, SHA-256 of the decoded bytes) of each text."""
-        if not self.known:
-            yield from map(self._by_pattern, texts)
-            return
         some, chars = [], 0
         for text in texts:
             some.append(text)

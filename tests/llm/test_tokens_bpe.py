@@ -117,3 +117,62 @@ def test_memos_that_overflow_change_nothing(monkeypatch):
     lib, own = _encoding(), bpe.ByteBpe({**bpe.ByteBpe.load(RANKS, public_tokenizers.PATTERN).ranks}, public_tokenizers.PATTERN)
     texts = [_random(i) + " strengthening, the. words! a" for i in range(120)]
     assert [f[0] for f in own.digests(texts)] == [len(lib.encode_ordinary(t)) for t in texts]
+
+
+@pytest.mark.parametrize("few", [1, bpe.FEW])
+def test_new_pieces_are_encoded_together(monkeypatch, few):
+    monkeypatch.setattr(bpe, "FEW", few)
+    lib, own = _encoding(), bpe.ByteBpe(bpe.ByteBpe.load(RANKS, public_tokenizers.PATTERN).ranks, public_tokenizers.PATTERN)
+    r, alone = random.Random(5), []
+    one_by_one = own.encode_letters
+    monkeypatch.setattr(own, "encode_letters", lambda letters: alone.append(letters) or one_by_one(letters))
+    bits = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve", "tion", "ing", "ble", "é", "ß", "日本"]
+    words = {"".join(r.choice(bits) for _ in range(r.randrange(1, 14))) for _ in range(6000)} | {"abc" * n for n in range(1, 40)}
+    text = " ".join(sorted(words))
+    ids = lib.encode_ordinary(text)
+    assert list(own.digests([text])) == [(len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())]
+    assert len([letters for letters in alone if len(letters) <= bpe.MASK_BITS]) < bpe.FEW
+    assert any(len(letters) > bpe.MASK_BITS for letters in alone)
+
+
+def test_small_vocabularies_take_tokens_back():
+    import tiktoken
+
+    r = random.Random(11)
+    for _ in range(60):
+        every = [bytes([b]) for b in range(256)]
+        while len(every) < 300:
+            a, b = r.choice(every[97:101] + every[256:]), r.choice(every[97:101] + every[256:])
+            if len(a + b) < 12 and a + b not in every:
+                every.append(a + b)
+        if r.random() < 0.5:
+            every += [b"dcbadcba"] * (b"dcbadcba" not in every)  # merging may never give it
+        ranks = {token: rank for rank, token in enumerate(every)}
+        lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        own = bpe.ByteBpe(ranks, public_tokenizers.PATTERN)
+        pieces = sorted({"".join(r.choice("abcd") for _ in range(r.randrange(1, 70))) for _ in range(300)} | {"dcbadcba", ""})
+        ids, counts = own._together(pieces)
+        expected = [lib.encode_ordinary(piece) for piece in pieces]
+        assert counts.tolist() == [len(e) for e in expected]
+        assert ids.tolist() == [i for e in expected for i in e]
+
+
+def test_bytes_outside_the_vocabulary_are_an_error():
+    ranks = {token: rank for token, rank in bpe.ByteBpe.load(RANKS, public_tokenizers.PATTERN).ranks.items() if b"q" not in token}
+    own = bpe.ByteBpe(ranks, public_tokenizers.PATTERN)
+    for pieces in (["q"], [f"a{c}q" for c in "bcdefghijklmnop"] * 4, [f"{c}s" for c in "qbcdefghijklmnop"] * 4):
+        with pytest.raises(ValueError):
+            own._together(pieces)
+
+
+def test_the_spelled_out_pattern_splits_as_the_pattern_does():
+    own = bpe.ByteBpe.load(RANKS, public_tokenizers.PATTERN)
+    assert own.spelled_out is not None
+    for low in range(0, 0x11000, 64):
+        some = [chr(c) for c in range(low, low + 64) if not 0xD800 <= c < 0xE000]
+        text = "".join(f"a{c}1{c}{c} {c}\n{c}' {c} {c}s  {c}" for c in some) + "".join(some)
+        assert own.pieces(text) == own.split(text)
+    r = random.Random(2)
+    for _ in range(3000):
+        text = "".join(r.choice("ab1² '\n\t\x1c\x85\u00a0é.stre🙂") for _ in range(r.randrange(30)))
+        assert own.pieces(text) == own.split(text)
