@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, KEY_TYPES, blocks, flat, fresh_path, mix, renamed_key, row_key, same_row, thrifty
+from .common import KEY, KEY_TYPES, blocks, delete_path, flat, fresh_path, mix, renamed_key, row_key, same_row, thrifty
 
 UNIT = 576
 SIDE = 24
@@ -19,6 +20,8 @@ SIDE = 24
 SMALLEST, LARGEST, AVERAGE_BITS = 512, 16_384, 11
 #: Level of the compression of chunks, and of texts that are shuffled.
 LEVEL = 15
+#: Bits of the filter of marked rows: so many for each of them, but no more in all than FILTER_MOST (8 MB).
+FILTER_BITS, FILTER_MOST = 16, 1 << 26
 
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -105,12 +108,47 @@ def _texts(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch,
         yield part, [raw[a:b] for a, b in zip(at, at[1:])]
 
 
+_STORED = [("n_bytes", pa.int64()), ("media_sha256", pa.binary()), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("blobs", pa.list_(pa.binary())), ("shared", pa.list_(pa.int32())), ("whole", pa.bool_())]
+
+
+def _stored(front: list[pa.Array], texts: Iterable[bytes], owned: Iterable, named: Iterable, squeeze) -> pa.RecordBatch:
+    """The rows of a store: behind (_n, doc) what _STORED names."""
+    rows = []
+    for text, owns, names in zip(texts, owned, named):
+        media, cs = chunks(text)
+        names, owns = set(names or ()), set(owns or ())
+        rows.append(
+            {
+                "n_bytes": len(text),
+                "media_sha256": hashlib.sha256(media).digest(),
+                "digests": [digest(c) for c in cs],
+                "sizes": [len(c) for c in cs],
+                "blobs": framed(cs, owns, names, squeeze),
+                "shared": sorted(owns),
+                "whole": not names,
+            }
+        )
+    return pa.RecordBatch.from_arrays([*front, *[pa.array([r[n] for r in rows], t) for n, t in _STORED]], names=["_n", "doc", *[n for n, _ in _STORED]])
+
+
+def _row_filter(marks: DataFrame) -> np.ndarray:
+    """Bits, at places told by the hash of a row's text: 1 where a marked row may be, 0 where surely none is."""
+    n = FILTER_BITS * marks.count()
+    bits = min(1 << max(n - 1, 63).bit_length(), FILTER_MOST)
+    at = F.col("_mtie").bitwiseAND(F.lit(bits - 1).cast("long"))
+    words = marks.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_mtie & 63L as int))")).alias("word")).toArrow()
+    found = np.zeros(bits // 64, np.int64)
+    found[words.column("at").to_numpy()] = words.column("word").to_numpy()
+    return found
+
+
 def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the media of all rows to `path`: for each row the ordered chunk list, and the chunks that it owns.
 
     Digests of all chunks meet in joins first: of the places of a chunk that occurs more than once the first (smallest
-    id) owns it, the others only name it. Then the marks of shared chunks are joined to the texts by row, which for this
-    are shuffled once, compressed.
+    id) owns it, the others only name it. These marks are written, and a filter of bounded size tells for each row whether
+    it may have some. Rows that surely have none are stored where they are read; for the others the marks are joined to the
+    texts by row, which for this are shuffled once, compressed. A full filter lets more rows through, and loses none.
     """
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,14 +157,6 @@ def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 found = [[digest(c) for c in chunks(t)[1]] for t in texts]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(KEY)], pa.array(found, pa.list_(pa.binary()))], names=[*KEY, "digests"])
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
-        for batch in batches:
-            for part, texts in _texts(batch, "_text"):
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([squeeze(t) for t in texts], pa.binary())], names=[*part.schema.names[:-1], "_packed"])
-
     keys, text = row_key(id_col, text_col), F.col(text_col).alias("_text")
     listed = docs.select(*keys, text).mapInArrow(thrifty(digests), f"{KEY_TYPES}, digests array<binary>")
     places = listed.select(*KEY, F.posexplode("digests").alias("seq", "digest"))
@@ -134,6 +164,31 @@ def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     shared = places.groupBy("digest").agg(F.min(place).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("_d"), "owner")
     marks = places.join(shared, F.col("digest") == F.col("_d")).groupBy(*renamed_key("_m"))
     marks = marks.agg(F.collect_set(F.when(place == F.col("owner"), F.col("seq"))).alias("owned"), F.collect_set(F.when(place != F.col("owner"), F.col("seq"))).alias("named"))
+    marks_path = fresh_path(docs.sparkSession, "media-marks")
+    marks.write.option("compression", "zstd").parquet(marks_path)
+    marks = docs.sparkSession.read.schema(marks.schema).parquet(marks_path)
+    maybe = _row_filter(marks)
+
+    def chosen(batch: pa.RecordBatch, marked: bool) -> pa.RecordBatch:
+        tie = batch.column(batch.schema.get_field_index("_tie")).to_numpy(zero_copy_only=False)
+        at = tie & (64 * len(maybe) - 1)
+        return batch.filter(pa.array((maybe[at >> 6] >> (at & 63) & 1 == 1) == marked))
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
+        for batch in batches:
+            for part, texts in _texts(chosen(batch, False), "_text"):
+                yield _stored(part.columns[:2], texts, repeat(()), repeat(()), squeeze)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
+        for batch in batches:
+            for part, texts in _texts(chosen(batch, True), "_text"):
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([squeeze(t) for t in texts], pa.binary())], names=[*part.schema.names[:-1], "_packed"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -141,28 +196,14 @@ def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         squeeze, expand = zstandard.ZstdCompressor(level=LEVEL).compress, zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for part in blocks(batch, "_packed"):
-                rows = []
-                for text, owned, named in zip(map(expand, part.column(4).to_pylist()), part.column(2).to_pylist(), part.column(3).to_pylist()):
-                    media, cs = chunks(text)
-                    named, owned = set(named or ()), set(owned or ())
-                    rows.append(
-                        {
-                            "n_bytes": len(text),
-                            "media_sha256": hashlib.sha256(media).digest(),
-                            "digests": [digest(c) for c in cs],
-                            "sizes": [len(c) for c in cs],
-                            "blobs": framed(cs, owned, named, squeeze),
-                            "shared": sorted(owned),
-                            "whole": not named,
-                        }
-                    )
-                fields = [("n_bytes", pa.int64()), ("media_sha256", pa.binary()), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("blobs", pa.list_(pa.binary())), ("shared", pa.list_(pa.int32())), ("whole", pa.bool_())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array([r[n] for r in rows], t) for n, t in fields]], names=["_n", "doc", *[n for n, _ in fields]])
+                yield _stored(part.columns[:2], map(expand, part.column(4).to_pylist()), part.column(2).to_pylist(), part.column(3).to_pylist(), squeeze)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_doc"), F.monotonically_increasing_id().alias("_n"), *keys, text)
-    rows = rows.mapInArrow(thrifty(packed), f"_doc {kind}, _n long, {KEY_TYPES}, _packed binary").join(marks.hint("merge"), same_row("_m"), "left").select("_n", "_doc", "owned", "named", "_packed")
-    rows.mapInArrow(thrifty(write), f"_n long, doc {kind}, n_bytes long, media_sha256 binary, digests array<binary>, sizes array<int>, blobs array<binary>, shared array<int>, whole boolean").write.option("compression", "zstd").parquet(path)
+    schema = f"_n long, doc {kind}, n_bytes long, media_sha256 binary, digests array<binary>, sizes array<int>, blobs array<binary>, shared array<int>, whole boolean"
+    rows = docs.select(F.monotonically_increasing_id().alias("_n"), F.col(id_col).alias("_doc"), *keys, text)
+    met = rows.mapInArrow(thrifty(packed), f"_n long, _doc {kind}, {KEY_TYPES}, _packed binary").join(marks.hint("merge"), same_row("_m"), "left").select("_n", "_doc", "owned", "named", "_packed")
+    rows.mapInArrow(thrifty(alone), schema).unionByName(met.mapInArrow(thrifty(write), schema)).write.option("compression", "zstd").parquet(path)
+    delete_path(docs.sparkSession, marks_path)
 
 
 def feature(payload: bytes) -> str:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -313,3 +314,36 @@ def test_word_hashes_tell_mirrored_letters_apart():
     ends = np.cumsum([len(w) + 1 for w in raw]) - 1
     found = word_hashes(joined, ends - [len(w) for w in raw], ends, 7).tolist()
     assert len(set(found)) == len(set(raw)) == len(set(zip(raw, found)))
+
+
+def test_texts_without_shared_chunks_are_stored_where_they_are_read(spark, tmp_path):
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stages = sc.statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    say = lambda n: " ".join(r.choice("abcdefgh") + str(r.randrange(10**9)) for _ in range(n))
+    texts = [say(2000) for _ in range(40)]
+    texts += [texts[3], texts[3][:15_000] + say(500), "", None]
+    before = shuffled()
+    media.store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), f"{tmp_path}/store")
+    assert shuffled() - before < 0.25 * sum(len(t or "") for t in texts) / 2  # compressed they are about half as long
+    got = {x.doc_id: x.media_sha256 for x in media.read(spark.read.parquet(f"{tmp_path}/store")).collect()}
+    assert got == {k: hashlib.sha256(media.to_media((t or "").encode())).hexdigest() for k, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("most", [1, 64])
+def test_a_full_filter_loses_no_mark(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(media, "FILTER_MOST", 64 * most)
+    say = lambda n: " ".join(r.choice("abcdefgh") + str(r.randrange(10**9)) for _ in range(n))
+    one = say(3000)
+    texts = [one[: 1000 * k] for k in range(20)] * 2 + [say(50) for _ in range(100)]
+    media.store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), f"{tmp_path}/store")
+    stored = spark.read.parquet(f"{tmp_path}/store")
+    digests = [[media.digest(c) for c in media.chunks(t.encode())[1]] for t in texts]
+    assert stored.select("_n").distinct().count() == len(texts)
+    assert sum(len(x.shared) for x in stored.collect()) == sum(n > 1 for n in Counter(d for ds in digests for d in ds).values())
+    got = {x.doc_id: x.media_sha256 for x in media.read(stored).collect()}
+    assert got == {k: hashlib.sha256(media.to_media(t.encode())).hexdigest() for k, t in enumerate(texts)}
