@@ -342,8 +342,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     return joined.mapInArrow(thrifty(clean), _schema(joined.schema["_rest"].dataType))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """docs with the repeated words cut from their texts; all rows and columns stay, length_col (if any) is the new length."""
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", batches: int = 1) -> DataFrame:
+    """docs with the repeated words cut from their texts; all rows and columns stay, length_col (if any) is the new length.
+
+    A table that is there as a whole is one batch: more batches give the same rows, but write (and compact) a run for each.
+    """
 
     def column(name: str):
         if name == text_col:
@@ -352,7 +355,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return F.char_length("text").cast(docs.schema[name].dataType).alias(name)
         return F.col(f"_rest.`{name}`")
 
-    return dedup(docs, id_col, text_col).select(*map(column, docs.columns))
+    return dedup(docs, id_col, text_col, batches).select(*map(column, docs.columns))
 
 
 def _schema(rest):

@@ -347,3 +347,13 @@ def test_a_full_filter_loses_no_mark(spark, tmp_path, monkeypatch, most):
     assert sum(len(x.shared) for x in stored.collect()) == sum(n > 1 for n in Counter(d for ds in digests for d in ds).values())
     got = {x.doc_id: x.media_sha256 for x in media.read(stored).collect()}
     assert got == {k: hashlib.sha256(media.to_media(t.encode())).hexdigest() for k, t in enumerate(texts)}
+
+
+def test_a_whole_table_is_one_run_of_the_index(spark, monkeypatch):
+    saved, save = [], substring.WindowIndex._save
+    monkeypatch.setattr(substring.WindowIndex, "_save", lambda self, df, name, *a: (saved.append(name), save(self, df, name, *a))[1])
+    words = [str(k) for k in range(60)]
+    docs = spark.createDataFrame([(k, " ".join(words[k : k + 30])) for k in range(9)], "doc_id long, text string")
+    got = {x.doc_id: x.text for x in substring.without_repeats(docs).collect()}
+    assert len(saved) == 2  # the log of texts and one run, nothing to compact
+    assert got == {k: " ".join(words[k : k + 30]) if k == 0 else words[k + 29] for k in range(9)}
